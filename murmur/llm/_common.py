@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -79,3 +80,9 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root))
     spark.sparkContext.addPyFile(str(target))
     _shipped.add(app)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more; it waits for a collection otherwise."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
