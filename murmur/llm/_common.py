@@ -61,8 +61,9 @@ def once(df: DataFrame, **exprs) -> DataFrame:
     """df with the given columns, each computed once a row: the optimiser neither copies the expressions
     into later ones nor moves filters below them, as it does with plain projections."""
     (tmp,) = spare(df, "once_")
-    df = df.drop(*exprs).select("*", F.explode(F.array(F.struct(*[e.alias(n) for n, e in exprs.items()]))).alias(tmp))
-    return df.select(*[c for c in df.columns if c != tmp], *[F.col(f"{tmp}.{n}") for n in exprs])
+    kept = [c for c in df.columns if c.lower() not in {n.lower() for n in exprs}]
+    df = df.select("*", F.explode(F.array(F.struct(*[e.alias(n) for n, e in exprs.items()]))).alias(tmp))
+    return df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"{tmp}.{n}") for n in exprs])
 
 
 _shipped: set[str] = set()

@@ -35,33 +35,33 @@ def _hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(F.lower(text), SEPARATORS), lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", *, low: float = IDF_LOW, high: float = IDF_HIGH) -> bytes:
-    """A byte for each term bucket: 1 if its document frequency over all docs is in the band.
+def lexicon(docs: DataFrame, text_col: str = "text", *, low: float = IDF_LOW, high: float = IDF_HIGH) -> list[int]:
+    """BUCKETS / 64 numbers with a bit for each term bucket: set if its document frequency over all docs is in the band.
 
     Null texts are documents without terms.  With no documents, or one, every bucket is in the band.
-    The driver receives BUCKETS / 64 numbers, whatever the input.
+    That is all the driver receives, whatever the input.
     """
     n = docs.count()
     if n < 2:
-        return b"\x01" * BUCKETS
+        return [-1] * (BUCKETS // 64)
     least, most = n ** (1 - high), n ** (1 - low)
     terms = docs.select(F.explode(F.array_distinct(F.transform(_hashes(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), lambda h: h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")))).alias("b"))
     band = terms.groupBy("b").count().where(F.col("count").between(math.ceil(least - 1e-9), math.floor(most + 1e-9)))
     words = band.groupBy(F.shiftright("b", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, b & 63))").alias("bits")).toArrow()
-    out = bytearray(BUCKETS)
+    out = [0] * (BUCKETS // 64)
     for w, bits in zip(words["w"].to_pylist(), words["bits"].to_pylist()):
-        for k in range(64):
-            if bits >> k & 1:
-                out[w * 64 + k] = 1
-    return bytes(out)
+        out[w] = bits
+    return out
 
 
-def with_fingerprint(df: DataFrame, text: Column, lex: bytes, out_col: str) -> DataFrame:
+def with_fingerprint(df: DataFrame, text: Column, lex: list[int], out_col: str) -> DataFrame:
     """df with out_col: SUBSETS * LEVELS hashes in one string.  Equal texts have equal fingerprints; a
     text without terms in the band, such as null or the empty text, shows EMPTY throughout."""
     (band,) = spare(df, "band_")
-    kept = F.filter(_hashes(F.coalesce(text, F.lit(""))), lambda h: F.substring(F.lit(lex), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01"))
-    df = once(df, **{band: F.sort_array(kept)})
+    hashes = once(df, **{band: _hashes(F.coalesce(text, F.lit("")))})
+    table = f"from_json('[{','.join(map(str, lex))}]', 'array<bigint>')"  # folded to a literal
+    inside = f"(shiftrightunsigned(t[CAST(shiftright(h & {BUCKETS - 1}L, 6) AS INT)], CAST(h & 63L AS INT)) & 1L) = 1L"
+    df = once(hashes, **{band: F.expr(f"sort_array(transform(array({table}), t -> filter(`{band}`, h -> {inside}))[0])")})
     # per place k: the nested subsets of all levels, each the terms whose bits under the mask are zero;
     # transform(array(x), v -> ...)[0] binds x to v
     masks = ",".join(f"{_signed((1 << (2 * level + 1)) - 1 << 9 * k)}L" for k in range(SUBSETS) for level in range(LEVELS))
