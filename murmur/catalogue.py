@@ -1,10 +1,522 @@
-"""Queries over the driver's tables, with the SQL that gives the same rows."""
+"""Queries over the driver's tables, with the SQL that gives the same rows.
+
+The tables stand in for stored events: a row of ``events`` is a detection, its type the class, its value over 100 the
+confidence (1 at most), its user the clip or place, and value minutes its length; a user's day is an event.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from murmur.functions import scalars as S
+from murmur.functions import text as X
+from murmur.functions import vocabulary as V
+from murmur.operators import graph, intervals, metrics, provenance, runs, vectors
+from murmur.operators.risk import score_events
+from murmur.plans import serving
+from murmur.sources.readers import table
+from murmur.streaming.alerts import payload, sessions, tumbling
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+TIERS = {"error": "Critical", "purchase": "High", "signup": "Medium", "click": "Negative", "view": "Negative"}
+HOUR = 3_600_000_000
+
+_T = "CASE event_type WHEN 'error' THEN 'Critical' WHEN 'purchase' THEN 'High' WHEN 'signup' THEN 'Medium' ELSE 'Negative' END"
+_W = "CASE event_type WHEN 'error' THEN 1.0 WHEN 'purchase' THEN 0.7 WHEN 'signup' THEN 0.4 ELSE 0.05 END"
+_D = f"(SELECT event_id, user_id, ts, CAST(ts AS DATE) AS day, event_type, least(value / 100, CAST(1 AS DOUBLE)) AS p, {_T} AS tier, CAST({_W} AS DOUBLE) AS w FROM events)"
+_I = "(SELECT event_id, user_id, event_type, epoch_us(ts) AS s, epoch_us(ts) + CAST(floor(value * 60000000) AS BIGINT) AS e FROM events)"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def detections(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.select("event_id", "user_id", "ts", F.to_date("ts").alias("day"), F.col("event_type").alias("class_id"), F.least(F.col("value") / 100, F.lit(1.0)).alias("confidence"), F.col("event_id").alias("ord"))
+
+
+def spans(spark: SparkSession, d: str) -> DataFrame:
+    s = S.micros("ts")
+    return table(spark, d, "events").select("event_id", "user_id", "event_type", s.alias("start"), (s + F.floor(F.col("value") * 60000000)).alias("end"))
+
+
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    return score_events(detections(spark, d), V.tiers(spark, TIERS), key=["user_id", "day"])
+
+
+_R = f"""(SELECT user_id, day, count(*) AS n_detections, count(*) FILTER (WHERE p >= 0.1) AS n_usable,
+  coalesce(max(w * p) FILTER (WHERE p >= 0.1), 0.0) AS m, arg_max(event_type, (p, -event_id)) FILTER (WHERE p >= 0.1) AS dominant_class,
+  arg_max(tier, (p, -event_id)) FILTER (WHERE p >= 0.1) AS dt, coalesce(bool_or(tier <> 'Negative' AND p >= 0.6), false) AS alerting
+  FROM {_D} GROUP BY user_id, day)"""
+_RS = f"""(SELECT *, least(1.0, m) AS score, coalesce(dt = 'Negative' AND NOT alerting, false) AS blocked FROM {_R})"""
+_SEV = "CASE WHEN blocked THEN 'LOW' WHEN score >= 0.8 THEN 'CRITICAL' WHEN score >= 0.6 THEN 'HIGH' WHEN score >= 0.35 THEN 'MEDIUM' ELSE 'LOW' END"
+_RISK = f"""SELECT user_id, CAST(day AS VARCHAR) AS day, n_detections, n_usable, floor(score * 10000 + 0.5) / 10000 AS risk_score, {_SEV} AS severity, dominant_class,
+  concat_ws(',', CASE WHEN n_usable < n_detections THEN 'confidence_floor' END, CASE WHEN blocked THEN 'group_b_block' END) AS guards FROM {_RS}"""
+
+
+@query(_RISK)
+def risk_score(spark, d):
+    return scored(spark, d).select("user_id", F.col("day").cast("string").alias("day"), "n_detections", "n_usable", "risk_score", "severity", "dominant_class", F.array_join("guards", ",").alias("guards"))
+
+
+def flagship(spark, d):
+    """The hundred most severe events."""
+    return risk_score(spark, d).orderBy(F.desc("risk_score"), "user_id", "day").limit(100)
+
+
+@query(f"SELECT severity, count(*) AS n FROM ({_RISK}) GROUP BY severity")
+def severity_histogram(spark, d):
+    return scored(spark, d).groupBy("severity").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' AND event_type = 'error' ORDER BY ts DESC, event_id LIMIT 50 OFFSET 20")
+def event_page(spark, d):
+    e = table(spark, d, "events").withColumn("severity", F.col("event_type"))
+    where = serving.filters(start="2024-01-05", end="2024-01-20", level="error", time_col="ts")
+    limit, offset = serving.page_bounds(50, 20)
+    return e.where(where).orderBy(F.desc("ts"), "event_id").offset(offset).limit(limit).select("event_id", "user_id", "event_type", "value")
+
+
+@query("SELECT count(*) AS total FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' AND event_type = 'error'")
+def event_page_total(spark, d):
+    e = table(spark, d, "events").withColumn("severity", F.col("event_type"))
+    return e.where(serving.filters(start="2024-01-05", end="2024-01-20", level="error", time_col="ts")).agg(F.count("*").alias("total"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT user_id FROM events WHERE event_type = 'error')")
+def event_by_class(spark, d):
+    hit = table(spark, d, "events").where("event_type = 'error'").select(F.col("user_id").alias("c_custkey"))
+    return table(spark, d, "customer").join(hit, "c_custkey", "left_semi").select("c_custkey", "c_name")
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events WHERE event_id = 77")
+def point_lookup(spark, d):
+    from murmur.sources.readers import by_key
+
+    return by_key(table(spark, d, "events"), "event_id", 77).select("event_id", "user_id", "event_type", "value")
+
+
+@query("SELECT c_custkey, n_name AS location, count(o_orderkey) AS n_orders FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL")
+def event_location_summary(spark, d):
+    n = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return c.join(n, "c_custkey", "left").select("c_custkey", F.col("n_name").alias("location"), F.coalesce("n", F.lit(0)).alias("n_orders"))
+
+
+@query("SELECT event_type AS class_id, count(*) AS n, sum(count(*)) OVER ()::BIGINT AS total FROM events GROUP BY event_type")
+def event_summary_counts(spark, d):
+    by = table(spark, d, "events").rollup("event_type").agg(F.grouping("event_type").alias("t"), F.count("*").alias("n"))
+    total = by.where("t = 1").select(F.col("n").alias("total"), F.lit(1).alias("k"))
+    return by.where("t = 0").withColumn("k", F.lit(1)).join(F.broadcast(total), "k").select(F.col("event_type").alias("class_id"), "n", "total")
+
+
+@query("SELECT CASE WHEN count(*) > 0 THEN floor((1 - count(*) FILTER (WHERE toxic = 1)::DOUBLE / count(*)) * 10000 + 0.5) / 10000 END AS false_alarm_rate FROM labels")
+def false_alarm_rate(spark, d):
+    f = table(spark, d, "labels").select((F.col("toxic") == 1).alias("is_true_alarm"))
+    return serving.summary(scored(spark, d), detections(spark, d), f)["false_alarms"]
+
+
+@query("SELECT CASE WHEN count(*) > 0 THEN 1.0 END AS false_alarm_rate FROM labels WHERE toxic > 1")
+def false_alarm_rate_unmeasured(spark, d):
+    f = table(spark, d, "labels").where("toxic > 1").select((F.col("toxic") == 1).alias("is_true_alarm"))
+    return serving.summary(scored(spark, d), detections(spark, d), f)["false_alarms"]
+
+
+@query(f"SELECT user_id, event_id, event_type, p AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p DESC, event_id) AS r FROM {_D}) WHERE r = 1")
+def dominant_detection(spark, d):
+    rows = detections(spark, d).select("user_id", "event_id", F.col("class_id").alias("event_type"), "confidence", (-F.col("event_id")).alias("t"))
+    return runs.latest(rows, ["user_id"], ["confidence", "t"]).drop("t")
+
+
+_Q0 = "(SELECT embedding AS q FROM embeddings WHERE vec_id = 0)"
+_SIM = "(SELECT vec_id, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), list_transform(CAST(q AS DOUBLE[]), lambda x: round(x, 6))) AS similarity FROM embeddings, {0})".format(_Q0)
+
+
+def _query_vector(spark, d):
+    return table(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()[0]
+
+
+def _near(spark, d, **kw):
+    df = vectors.nearest(table(spark, d, "embeddings"), _query_vector(spark, d), id_col="vec_id", **kw)
+    return df.select("vec_id", S.rounded("similarity", 6).alias("similarity"))
+
+
+@query(f"SELECT vec_id, floor(similarity * 1000000 + 0.5) / 1000000 AS similarity FROM {_SIM} ORDER BY similarity DESC, vec_id LIMIT 10")
+def knn_topk(spark, d):
+    return _near(spark, d, k=10, min_similarity=None)
+
+
+@query(f"SELECT vec_id, floor(similarity * 1000000 + 0.5) / 1000000 AS similarity FROM {_SIM} WHERE similarity >= 0.52")
+def knn_threshold(spark, d):
+    return _near(spark, d, k=None)
+
+
+@query(f"SELECT vec_id, floor(similarity * 1000000 + 0.5) / 1000000 AS similarity FROM {_SIM} WHERE similarity >= 0.1")
+def knn_threshold_low(spark, d):
+    return _near(spark, d, k=None, min_similarity=0.1)
+
+
+@query(f"SELECT vec_id, floor(similarity * 1000000 + 0.5) / 1000000 AS similarity FROM {_SIM} WHERE label IN (1, 2) ORDER BY similarity DESC, vec_id LIMIT 5")
+def hybrid_filter_knn(spark, d):
+    return _near(spark, d, k=5, min_similarity=None, where=F.col("label").isin(1, 2))
+
+
+@query("""SELECT query_id, vec_id, rank FROM (SELECT a.vec_id AS query_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(CAST(b.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) DESC, b.vec_id) AS rank
+  FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) a, embeddings b) WHERE rank <= 5""")
+def knn_batch(spark, d):
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectors.nearest_batch(e, q, k=5, id_col="vec_id").select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
+
+
+_ISL = f"(SELECT user_id, s, e, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {_I} WHERE e > s)"
+
+
+@query(f"SELECT user_id, sum(greatest(0, e - greatest(s, coalesce(reach, s))))::BIGINT AS covered FROM {_ISL} GROUP BY user_id")
+def interval_union(spark, d):
+    return intervals.merged(spans(spark, d), ["user_id"], bucket=24 * HOUR).groupBy("user_id").agg(F.sum(F.col("end") - F.col("start")).alias("covered"))
+
+
+@query(f"""SELECT a.user_id, n, coalesce(c.covered, 0) AS covered, total, span, coalesce(c.covered, 0)::DOUBLE / nullif(span, 0) AS coverage, coalesce(c.covered, 0)::DOUBLE / nullif(total, 0) AS compression
+  FROM (SELECT user_id, count(*) AS n, sum(greatest(0, e - s))::BIGINT AS total, max(e) - min(s) AS span FROM {_I} GROUP BY user_id) a
+  LEFT JOIN (SELECT user_id, sum(greatest(0, e - greatest(s, coalesce(reach, s))))::BIGINT AS covered FROM {_ISL} GROUP BY user_id) c ON a.user_id = c.user_id""")
+def interval_coverage(spark, d):
+    return intervals.coverage(spans(spark, d), ["user_id"])
+
+
+@query(f"""SELECT user_id, gap_start, gap_end FROM (SELECT user_id, max(e) AS gap_end0, max(e) AS gap_start, lead(min(s)) OVER (PARTITION BY user_id ORDER BY min(s)) AS gap_end
+  FROM (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM {_ISL}) GROUP BY user_id, g) WHERE gap_end IS NOT NULL""")
+def interval_gaps(spark, d):
+    return intervals.gaps(spans(spark, d), ["user_id"])
+
+
+@query(f"SELECT a.user_id, a.event_id AS a_id, b.event_id AS b_id FROM {_I} a JOIN {_I} b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.s < b.e AND b.s < a.e")
+def overlap_pairs(spark, d):
+    i = spans(spark, d)
+    return intervals.overlap_join(i, i, ["user_id"], width=HOUR).where("event_id < b_event_id").select("user_id", F.col("event_id").alias("a_id"), F.col("b_event_id").alias("b_id"))
+
+
+_FRAG = f"(SELECT r.event_id, count(p.event_id) AS n FROM (SELECT * FROM {_I} WHERE event_type = 'purchase') r LEFT JOIN (SELECT * FROM {_I} WHERE event_type = 'view') p ON r.user_id = p.user_id AND r.s < p.e AND p.s < r.e GROUP BY r.event_id)"
+
+
+@query(f"SELECT count(*) AS n_ref, count(*) FILTER (WHERE n >= 2) AS n_fragmented, count(*) FILTER (WHERE n >= 2)::DOUBLE / nullif(count(*), 0) AS rate FROM {_FRAG}")
+def fragmentation_rate(spark, d):
+    i = spans(spark, d)
+    f = intervals.fragmentation(i.where("event_type = 'purchase'"), i.where("event_type = 'view'"), ["user_id"], id_col="event_id", width=HOUR)
+    return f.agg(F.count("*").alias("n_ref"), F.count_if("fragmented").alias("n_fragmented")).withColumn("rate", S.ratio("n_fragmented", "n_ref"))
+
+
+@query(f"SELECT a.event_type AS reference, b.event_type AS predicted, count(*) AS n FROM {_I} a JOIN {_I} b ON a.user_id = b.user_id AND a.s < b.e AND b.s < a.e AND a.event_type <> b.event_type GROUP BY ALL")
+def confusion_pairs(spark, d):
+    i = spans(spark, d)
+    p = intervals.overlap_join(i, i, ["user_id"], width=HOUR).where("event_type <> b_event_type")
+    return p.groupBy(F.col("event_type").alias("reference"), F.col("b_event_type").alias("predicted")).agg(F.count("*").alias("n")).orderBy(F.desc("n"))
+
+
+_RUN = """(WITH f AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS p, value >= 0.5 * max(value) OVER (PARTITION BY user_id) AS f, max(value) OVER (PARTITION BY user_id) AS peak, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+ t AS (SELECT *, p - row_number() OVER (PARTITION BY user_id ORDER BY p) AS i FROM f WHERE f),
+ r AS (SELECT user_id, i, min(p) AS s, max(p) + 1 AS e, any_value(n) AS n, any_value(peak) AS peak FROM t GROUP BY user_id, i)
+ SELECT user_id, s, e, n, peak FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY e - s DESC, s) AS k FROM r) WHERE k = 1)"""
+
+
+def _frames(spark, d):
+    w = F.max("value").over(runs.Window.partitionBy("user_id"))
+    return table(spark, d, "events").select("user_id", "ts", "event_id", "value", w.alias("peak"))
+
+
+@query(f'SELECT user_id, s AS "start", e AS "end" FROM {_RUN}')
+def longest_run(spark, d):
+    return runs.longest_run(_frames(spark, d), ["user_id"], ["ts", "event_id"], F.col("value") >= F.col("peak") * 0.5)
+
+
+@query(f"SELECT user_id, floor(greatest(0.0, s * (10.0::DOUBLE / n) - 0.05) * 1000 + 0.5) / 1000 AS onset, floor(least(10.0, e * (10.0::DOUBLE / n) + 0.05) * 1000 + 0.5) / 1000 AS offset FROM {_RUN}".replace(" AS offset", ' AS "offset"'))
+def boundary_proposal(spark, d):
+    order = F.row_number().over(runs.Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    f = table(spark, d, "events").select("user_id", order.alias("frame"), F.col("value").alias("prob"), F.lit(10.0).alias("duration"))
+    return runs.boundaries(f, ["user_id"]).select("user_id", "onset", "offset")
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id)::BIGINT AS number, 'EVT_' || strftime(ts, '%Y%m%d') || '_' || lpad(CAST(row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS VARCHAR), 6, '0') AS name FROM events")
+def daily_sequence(spark, d):
+    e = runs.daily_numbers(table(spark, d, "events"), "ts", "event_id")
+    return e.select("event_id", F.col("number").cast("long").alias("number"), S.event_id("ts", "number").alias("name"))
+
+
+@query("SELECT event_id, list_sort(near)[len(near) // 2 + 1] AS median FROM (SELECT event_id, list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM events)")
+def median_filter(spark, d):
+    return runs.median_filter(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value").select("event_id", "median")
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def latest_row(spark, d):
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
+    return runs.latest(e, ["user_id"], ["ts", "event_id"]).drop("ts")
+
+
+@query("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents) ORDER BY k, lang LIMIT 30")
+def stratified_sample(spark, d):
+    return runs.round_robin_sample(table(spark, d, "documents").select("doc_id", "lang"), F.col("lang"), [F.col("doc_id")], 30)
+
+
+_WP = """(SELECT event_type, value, 1.0::DOUBLE / ((SELECT count(DISTINCT event_type) FROM events) * count(*) OVER (PARTITION BY event_type)) AS w FROM events)"""
+
+
+@query(f"""WITH s AS (SELECT value, sum(w) AS w FROM {_WP} GROUP BY value), c AS (SELECT value, sum(w) OVER (ORDER BY value) AS c, sum(w) OVER () AS t FROM s)
+  SELECT share, min(value) FILTER (WHERE c >= t * share - 1e-12) AS value FROM c, (SELECT unnest([0.05, 0.5, 0.95])::DOUBLE AS share) GROUP BY share""")
+def weighted_percentiles(spark, d):
+    return metrics.weighted_percentiles(metrics.class_weights(table(spark, d, "events"), "event_type"), "value", "weight", [0.05, 0.5, 0.95])
+
+
+_DIST = "SELECT {0} AS \"group\", count(*) AS n, quantile_cont({1}, 0.05) AS p05, quantile_cont({1}, 0.5) AS p50, quantile_cont({1}, 0.95) AS p95, max({1}) AS max, count(*) FILTER (WHERE {1} >= {3})::DOUBLE / count(*) AS share_0, count(*) FILTER (WHERE {1} >= {4})::DOUBLE / count(*) AS share_1 FROM {2} GROUP BY ROLLUP({0})"
+
+
+@query("SELECT coalesce(\"group\", 'total') AS \"group\", * EXCLUDE (\"group\") FROM (" + _DIST.format("l_returnflag", "l_quantity", "lineitem", 20, 40) + ")")
+def duration_distribution(spark, d):
+    return metrics.distribution(table(spark, d, "lineitem"), "l_quantity", "l_returnflag", (20.0, 40.0))
+
+
+@query("SELECT coalesce(\"group\", 'total') AS \"group\", * EXCLUDE (\"group\") FROM (" + _DIST.format("event_type", "value", "events", 50, 200) + ")")
+def value_distribution(spark, d):
+    return metrics.distribution(table(spark, d, "events"), "value", "event_type", (50.0, 200.0))
+
+
+_PY = "(SELECT event_type AS g, least(value / 100, CAST(1 AS DOUBLE)) AS p, event_id % 2 AS y, least(floor(least(value / 100, CAST(1 AS DOUBLE)) * 10), 9)::INT AS bin FROM events)"
+
+
+def _calibration(spark, d):
+    return detections(spark, d).withColumn("y", F.col("event_id") % 2)
+
+
+@query(f"""SELECT "group", sum(n)::BIGINT AS n, floor(sum(gap) / sum(n) * 1e8 + 0.5) / 1e8 AS ece FROM (
+  SELECT g AS "group", bin, count(*) AS n, abs(sum(p) - sum(y)) AS gap FROM {_PY} GROUP BY g, bin UNION ALL SELECT 'pooled', bin, count(*), abs(sum(p) - sum(y)) FROM {_PY} GROUP BY bin) GROUP BY "group" """)
+def ece_by_class(spark, d):
+    return metrics.ece(_calibration(spark, d), "confidence", "y", group="class_id").withColumn("ece", S.rounded("ece", 8))
+
+
+@query(f"""SELECT CAST(b AS INT) AS bin, count(p) AS n, floor(avg(p) * 1e8 + 0.5) / 1e8 AS mean_prob, avg(y::DOUBLE) AS mean_label FROM range(10) t(b) LEFT JOIN {_PY} ON bin = b GROUP BY b""")
+def reliability_bins(spark, d):
+    return metrics.reliability(_calibration(spark, d), "confidence", "y").withColumn("mean_prob", S.rounded("mean_prob", 8))
+
+
+@query("SELECT 'quality' AS metric, avg(quality) AS mean, count(quality) AS n_measured, count(*) - count(quality) AS n_unmeasured FROM documents LEFT JOIN labels USING (doc_id) UNION ALL SELECT 'toxic', avg(toxic), count(toxic), count(*) - count(toxic) FROM documents LEFT JOIN labels USING (doc_id)")
+def null_skipping_means(spark, d):
+    return metrics.mean_measured(table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left"), ["quality", "toxic"])
+
+
+@query("SELECT lang, tp, fp, fn, tp::DOUBLE / nullif(tp + fp, 0) AS precision, tp::DOUBLE / nullif(tp + fn, 0) AS recall, 2.0 * tp / nullif(2 * tp + fp + fn, 0) AS f1 FROM (SELECT lang, count(*) FILTER (WHERE n_chars >= 500 AND quality = 1) AS tp, count(*) FILTER (WHERE n_chars >= 500 AND quality <> 1) AS fp, count(*) FILTER (WHERE n_chars < 500 AND quality = 1) AS fn FROM documents JOIN labels USING (doc_id) GROUP BY lang)")
+def label_precision_recall(spark, d):
+    df = table(spark, d, "documents").select("doc_id", "lang", "n_chars").join(table(spark, d, "labels"), "doc_id")
+    return metrics.precision_recall(df, F.col("n_chars") >= 500, F.col("quality") == 1, ["lang"])
+
+
+@query("SELECT class_id, count(*) AS n FROM (SELECT regexp_extract_all(lower(text), '[\\p{L}\\p{N}'']+') AS w FROM documents) d, (SELECT unnest(['the', 'and', 'of']) AS class_id) p, LATERAL (SELECT unnest(w) AS x) u WHERE x = class_id GROUP BY class_id")
+def lexicon_match(spark, d):
+    lex = spark.createDataFrame([(w, "en", w) for w in ("the", "and", "of")], "class_id string, lang string, phrase string")
+    hits = X.phrase_matches(table(spark, d, "documents").select("doc_id", "text"), lex, key="doc_id")
+    return hits.groupBy("class_id").agg(F.sum("n").alias("n"))
+
+
+@query("""WITH w AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM benchmark)
+  SELECT a.item_id AS a, b.item_id AS b, floor(len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) * 1e8 + 0.5) / 1e8 AS jaccard FROM w a JOIN w b ON a.item_id < b.item_id WHERE len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) >= 0.3""")
+def token_jaccard(spark, d):
+    b = table(spark, d, "benchmark")
+    words = b.select("item_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != ""))).alias("w"))
+    n = words.groupBy("item_id").agg(F.count("*").alias("n"))
+    o = words.select(F.col("item_id").alias("b"), "w")
+    both = words.join(o, "w").where("item_id < b").groupBy(F.col("item_id").alias("a"), "b").agg(F.count("*").alias("k"))
+    j = both.join(n.select(F.col("item_id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("item_id").alias("b"), F.col("n").alias("nb")), "b")
+    share = S.ratio("k", F.col("na") + F.col("nb") - F.col("k"))
+    return j.where(share >= 0.3).select("a", "b", S.rounded(share, 8).alias("jaccard"))
+
+
+_TG = "(SELECT 'Brand#' || x || y AS brand, CASE WHEN x + y = 2 THEN 0 ELSE 10 * x * y END AS target FROM range(1, 7) a(x), range(1, 6) b(y))"
+
+
+@query(f"""SELECT t.brand AS class_id, t.target, count(p_partkey) AS n, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS sources,
+  CASE WHEN t.target = 0 THEN NULL WHEN count(p_partkey) >= t.target THEN 'ok' WHEN count(p_partkey) >= 20 THEN 'short' ELSE 'missing' END AS status FROM {_TG} t LEFT JOIN part ON p_brand = t.brand GROUP BY t.brand, t.target""")
+def inventory_status(spark, d):
+    targets = spark.createDataFrame([(f"Brand#{x}{y}", 0 if x + y == 2 else 10 * x * y, 20) for x in range(1, 7) for y in range(1, 6)], "class_id string, target long, least long")
+    clips = table(spark, d, "part").select(F.col("p_brand").alias("class_id"), F.col("p_retailprice").alias("duration_bank"), F.col("p_type").alias("source_dataset"))
+    df = provenance.inventory(clips, targets)
+    return df.select("class_id", "target", "n", F.when(F.size("sources") > 0, F.array_join("sources", ",")).alias("sources"), "status")
+
+
+@query("SELECT r_name AS room, median(s_acctbal) AS median, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def room_median(spark, d):
+    df = table(spark, d, "supplier").join(F.broadcast(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    return df.groupBy(F.col("r_name").alias("room")).agg(F.median("s_acctbal").alias("median"), F.count("*").alias("n"))
+
+
+@query("SELECT slice, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN value >= 100 THEN 'long_event' END, CASE WHEN value < 20 THEN 'low_snr' END, CASE WHEN event_type = 'error' THEN 'overlap' END], lambda x: x IS NOT NULL)) AS slice FROM events) GROUP BY slice")
+def slice_counts(spark, d):
+    e = table(spark, d, "events").select(F.array_compact(F.array(F.when(F.col("value") >= 100, "long_event"), F.when(F.col("value") < 20, "low_snr"), F.when(F.col("event_type") == "error", "overlap"))).alias("slices"), F.lit(1).alias("n_events"))
+    return provenance.slice_summary(e)[1]
+
+
+@query("SELECT value >= 100 AS long_event, event_type = 'error' AS overlap, count(*) AS n, avg(value) AS mean FROM events GROUP BY CUBE (value >= 100, event_type = 'error')")
+def slice_cross_cuts(spark, d):
+    e = table(spark, d, "events").select((F.col("value") >= 100).alias("long_event"), (F.col("event_type") == "error").alias("overlap"), "value")
+    return e.cube("long_event", "overlap").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+
+
+@query("SELECT l_orderkey AS source, count(DISTINCT l_suppkey % 3) AS n_splits FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey % 3) > 1")
+def split_leakage(spark, d):
+    return provenance.leaked(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("source"), (F.col("l_suppkey") % 3).alias("split")), "source", "split")
+
+
+@query("SELECT count(*) FILTER (WHERE a) AS n_a, count(*) FILTER (WHERE b) AS n_b, count(*) FILTER (WHERE a AND b) AS n_both, count(*) FILTER (WHERE a AND b)::DOUBLE / nullif(count(*) FILTER (WHERE a), 0) AS ratio FROM (SELECT l_partkey, bool_or(l_suppkey % 3 = 0) AS a, bool_or(l_suppkey % 3 = 1) AS b FROM lineitem GROUP BY l_partkey)")
+def shared_sources(spark, d):
+    return provenance.shared_sources(table(spark, d, "lineitem").withColumn("split", F.col("l_suppkey") % 3), "l_partkey", "split", 0, 1)
+
+
+def _edges(spark, d):
+    n = table(spark, d, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("child"))
+    c = table(spark, d, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("parent"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("child"))
+    return n.union(c)
+
+
+_EDGES = "(SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer)"
+_CLOSURE = f"(WITH RECURSIVE c AS (SELECT child AS node, parent AS ancestor FROM {_EDGES} UNION SELECT c.node, e.parent FROM c JOIN {_EDGES} e ON e.child = c.ancestor) SELECT * FROM c)"
+
+
+@query(f"SELECT node, ancestor FROM {_CLOSURE}")
+def ancestors(spark, d):
+    return graph.ancestors(_edges(spark, d))
+
+
+@query(f"""WITH l AS (SELECT o_orderkey AS key, 'c' || o_custkey AS label FROM orders UNION SELECT o_orderkey, 'n' || c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey)
+  SELECT key, label FROM l WHERE NOT EXISTS (SELECT 1 FROM l m JOIN {_CLOSURE} c ON m.label = c.node WHERE m.key = l.key AND c.ancestor = l.label)""")
+def most_specific(spark, d):
+    o = table(spark, d, "orders")
+    a = o.select(F.col("o_orderkey").alias("key"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("label"))
+    b = o.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("key"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("label"))
+    return graph.most_specific(a.union(b).distinct(), graph.ancestors(_edges(spark, d)), "key")
+
+
+@query()
+def dup_groups(spark, d):
+    from murmur.sources.checkpoints import ensure
+
+    ensure(spark)
+    return graph.groups(table(spark, d, "lineitem").where("l_linenumber = 1"), "l_orderkey", "l_partkey")
+
+
+@query("SELECT o_orderkey AS file_id, o_orderpriority AS reason_code FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')) UNION ALL SELECT DISTINCT l_orderkey, 'new' FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45")
+def exclusion_merge(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("file_id"), F.col("o_orderstatus").alias("stage"), F.col("o_orderpriority").alias("reason_code"))
+    li = table(spark, d, "lineitem").where("l_returnflag = 'R'")
+    new = li.where("l_quantity > 45").select(F.col("l_orderkey").alias("file_id"), F.lit("F").alias("stage"), F.lit("new").alias("reason_code")).distinct()
+    return provenance.merge_exclusions(o, li.select(F.col("l_orderkey").alias("file_id")), new, "F").select("file_id", "reason_code")
+
+
+@query("SELECT count(*) AS added FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey <= 20)")
+def seed_missing(spark, d):
+    have = table(spark, d, "supplier").where("s_suppkey <= 20").select(F.col("s_nationkey").alias("n_nationkey"))
+    return provenance.absent(table(spark, d, "nation"), have, ["n_nationkey"]).agg(F.count("*").alias("added"))
+
+
+@query("SELECT s_nationkey AS k, 'a' AS side FROM (SELECT DISTINCT s_nationkey FROM supplier) WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey <= 40) UNION ALL SELECT c_nationkey, 'b' FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_custkey <= 40) WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+def taxonomy_differences(spark, d):
+    a = table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
+    return provenance.differences(a, table(spark, d, "customer").where("c_custkey <= 40").select(F.col("c_nationkey").alias("k")), ["k"])
+
+
+@query(f"""WITH o AS (SELECT user_id, CAST(to_timestamp(s // 1000000) AT TIME ZONE 'UTC' AS DATE) AS day, list(event_type ORDER BY s, event_id) AS t, list(s ORDER BY s, event_id) AS s, list(e ORDER BY s, event_id) AS e FROM {_I} GROUP BY ALL)
+  SELECT user_id, CAST(day AS VARCHAR) AS day, CASE WHEN len(t) = 1 THEN upper(t[1][1]) || t[1][2:] || ' is heard.'
+    WHEN s[1] < e[2] AND s[2] < e[1] THEN upper(t[1][1]) || (array_to_string(t[:-2], ', ') || ' and ' || t[-1])[2:] || ' are heard at the same time.'
+    ELSE upper(t[1][1]) || t[1][2:] || ' is followed by ' || CASE WHEN len(t) = 2 THEN t[2] ELSE array_to_string(t[2:-2], ', ') || ' and ' || t[-1] END || '.' END AS caption FROM o""")
+def caption_templates(spark, d):
+    i = spans(spark, d).withColumn("day", F.to_date(F.timestamp_micros("start")))
+    g = i.groupBy("user_id", "day").agg(F.array_sort(F.collect_list(F.struct("start", "event_id", "end", "event_type"))).alias("a"))
+    items = F.transform("a", lambda x: F.struct(x["event_type"].alias("class_id"), x["start"].cast("double").alias("onset"), x["end"].cast("double").alias("offset")))
+    return X.captions(g.withColumn("detections", items)).select("user_id", F.col("day").cast("string").alias("day"), F.col("caption_en").alias("caption"))
+
+
+_LOC = "(ts + INTERVAL 7 HOUR)"
+
+
+@query(f"""SELECT event_id, event_type || chr(10) || event_type || chr(10) || 'user ' || user_id || chr(10) || 'place ' || (user_id % 4) || CASE user_id % 2 WHEN 0 THEN ' (trường học)' ELSE ' (office)' END || chr(10) || strftime({_LOC}, '%H:%M ngày %d/%m/%Y') || ', ' ||
+  CASE WHEN hour({_LOC}) BETWEEN 5 AND 10 THEN 'buổi sáng' WHEN hour({_LOC}) BETWEEN 11 AND 13 THEN 'buổi trưa' WHEN hour({_LOC}) BETWEEN 14 AND 17 THEN 'buổi chiều' WHEN hour({_LOC}) BETWEEN 18 AND 22 THEN 'buổi tối' ELSE 'ban đêm' END || chr(10) || 'mức cao' AS document FROM events""")
+def local_time_document(spark, d):
+    e = table(spark, d, "events")
+    df = e.select("event_id", F.array("event_type").alias("class_ids"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("caption_vi"), F.concat(F.lit("place "), (F.col("user_id") % 4).cast("string")).alias("location"), F.when(F.col("user_id") % 2 == 0, "school").otherwise("office").alias("area_type"), F.lit("HIGH").alias("severity"), F.col("ts").alias("window_start"))
+    return df.select("event_id", X.document().alias("document"))
+
+
+@query(f"""SELECT user_id, event_id AS first, e3 AS last FROM (SELECT user_id, event_id, event_type, e, lead(event_type) OVER w AS t2, lead(s) OVER w AS s2, lead(e) OVER w AS e2, lead(event_type, 2) OVER w AS t3, lead(s, 2) OVER w AS s3, lead(event_id, 2) OVER w AS e3 FROM {_I} WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id))
+  WHERE event_type = 'view' AND t2 = 'click' AND t3 = 'purchase' AND s2 - e BETWEEN 0 AND {48 * HOUR} AND s3 - e2 BETWEEN 0 AND {48 * HOUR}""")
+def chain_match(spark, d):
+    i = spans(spark, d)
+    return runs.chains(i, ["user_id"], ("view", "click", "purchase"), ((0, 48), (0, 48)), class_col="event_type", start="start", end="end", tie="event_id", unit=HOUR).select("user_id", "first", "last")
+
+
+@query("""WITH c AS (SELECT value AS v, count(*) FILTER (WHERE event_type = 'click') AS a, count(*) FILTER (WHERE event_type <> 'click') AS b FROM events WHERE event_type IN ('click', 'error') GROUP BY value),
+  r AS (SELECT sum(a) OVER (ORDER BY v)::DOUBLE / sum(a) OVER () AS fa, sum(b) OVER (ORDER BY v)::DOUBLE / sum(b) OVER () AS fb FROM c)
+  SELECT (SELECT sum(a)::BIGINT FROM c) AS n_a, (SELECT sum(b)::BIGINT FROM c) AS n_b, max(abs(fa - fb)) AS ks FROM r""")
+def ks_two_sample(spark, d):
+    return metrics.ks(table(spark, d, "events").where("event_type IN ('click', 'error')"), "value", F.col("event_type") == "click")
+
+
+@query("SELECT DISTINCT user_id, event_type, unnest(range(lo, greatest(lo + 1, hi)))::BIGINT AS frame FROM (SELECT user_id, event_type, least(99, floor(hour(ts) / 24.0::DOUBLE * 100))::BIGINT AS lo, least(100, ceil((hour(ts) + least(value / 60, 3.0)) / 24.0::DOUBLE * 100))::BIGINT AS hi FROM events)")
+def frame_expand(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_type", F.hour("ts").cast("double").alias("onset"), (F.hour("ts") + F.least(F.col("value") / 60, F.lit(3.0))).alias("offset"))
+    return runs.expand_frames(e, ["user_id", "event_type"], n_frames=100, duration=24.0).withColumn("frame", F.col("frame").cast("long"))
+
+
+@query("SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n, avg(value) AS mean FROM events GROUP BY ALL")
+def json_props(spark, d):
+    return table(spark, d, "events").groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+
+
+@query(f"""WITH t AS (SELECT unnest(range(1, 20)) / 20.0::DOUBLE AS threshold), c AS (SELECT threshold, count(*) FILTER (WHERE p >= threshold AND y > 0) AS tp, count(*) FILTER (WHERE p >= threshold AND y = 0) AS fp, count(*) FILTER (WHERE p < threshold AND y > 0) AS fn FROM {_PY}, t GROUP BY threshold)
+  SELECT threshold, tp, fp, fn, 2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0) AS f1, row_number() OVER (ORDER BY 2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0) DESC NULLS LAST, threshold) = 1 AS best FROM c""")
+def threshold_sweep(spark, d):
+    return metrics.sweep(_calibration(spark, d), "confidence", "y", [k / 20.0 for k in range(1, 20)])
+
+
+@query()
+def event_f1(spark, d):
+    e = table(spark, d, "events").where("event_type IN ('view', 'click')")
+    df = e.select(F.concat_ws("/", F.col("user_id").cast("string"), F.to_date("ts").cast("string")).alias("clip"), F.lit("any").alias("class_id"), F.when(F.col("event_type") == "view", "reference").otherwise("predicted").alias("side"), (S.micros("ts") / 1e6).alias("onset"), (S.micros("ts") / 1e6 + F.col("value")).alias("offset"))
+    return metrics.f1(metrics.event_counts(df, key=["clip", "class_id"], collar=3600.0))
+
+
+@query("SELECT user_id, sha256(string_agg(event_type, ',' ORDER BY event_type)) AS digest FROM events GROUP BY user_id")
+def label_fingerprint(spark, d):
+    return metrics.fingerprint(table(spark, d, "events"), ["user_id"], "event_type")
+
+
+@query("""WITH s AS (SELECT user_id, list_distinct(list(event_type) FILTER (WHERE value >= 50)) AS p, list_distinct(list(event_type) FILTER (WHERE event_id % 3 = 0)) AS g FROM events GROUP BY user_id)
+  SELECT user_id, len(list_filter(coalesce(p, []), lambda x: NOT list_contains(coalesce(g, []), x)))::DOUBLE / nullif(len(coalesce(p, [])), 0) AS ehr, len(list_filter(coalesce(g, []), lambda x: NOT list_contains(coalesce(p, []), x)))::DOUBLE / nullif(len(coalesce(g, [])), 0) AS eor FROM s""")
+def caption_scores(spark, d):
+    s = table(spark, d, "events").groupBy("user_id").agg(F.collect_set(F.when(F.col("value") >= 50, F.col("event_type"))).alias("said"), F.collect_set(F.when(F.col("event_id") % 3 == 0, F.col("event_type"))).alias("true"))
+    return metrics.caption_scores(s).select("user_id", "ehr", "eor")
+
+
+@query("SELECT user_id, to_timestamp(0)::TIMESTAMP + INTERVAL 1 SECOND * (floor(min(t))::BIGINT) AS \"start\", count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT user_id, event_id, epoch(ts) AS t, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 86400 THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, g")
+def session_windows(spark, d):
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return sessions(e, ["user_id"], gap="24 hours").select("user_id", F.date_trunc("second", "start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("SELECT event_type, date_trunc('hour', ts) AS \"start\", count(*) AS n, floor(sum(value) * 1000 + 0.5) / 1000 AS total FROM events GROUP BY ALL")
+def tumbling_windows(spark, d):
+    return tumbling(table(spark, d, "events"), ["event_type"]).withColumn("total", S.rounded("total", 3))
 
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").limit(10)
+@query(f"SELECT severity, count(*) AS n, max(length(severity)) AS longest FROM ({_RISK}) WHERE severity IN ('HIGH', 'CRITICAL') GROUP BY severity")
+def alert_payload(spark, d):
+    r = scored(spark, d).where("severity IN ('HIGH', 'CRITICAL')").select(F.concat_ws("_", "user_id", "day").alias("event_id"), "severity", "risk_score", F.lit(None).cast("string").alias("caption_vi"), F.col("user_id").cast("string").alias("location_id"), F.col("day").alias("window_start"))
+    return payload(r).groupBy(F.get_json_object("message", "$.severity").alias("severity")).agg(F.count("*").alias("n"), F.max(F.length(F.get_json_object("message", "$.severity"))).alias("longest"))
