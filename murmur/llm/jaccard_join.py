@@ -2,8 +2,8 @@
 
 A token is a hashed word n-gram.  Sets of sizes n whose Jaccard similarity reaches t must share a token
 among the first n - ceil(t n) + 1 tokens of each, under any global order.  Here several orders are used:
-all put tokens by how common they are (counted over all documents in a fixed number of buckets), rare ones
-first, and break ties by different hashes.  A pair is a candidate only if it shares prefix tokens under
+all put tokens by how common they are (counted over all documents, for the most common ones), rare ones first,
+and break ties by different hashes.  A pair is a candidate only if it shares prefix tokens under
 every order, and only candidates are verified, on their whole sets.
 
 Copies: documents with equal sets are one class, found by a hash of the set, and take part once.  Groups of
@@ -28,12 +28,13 @@ from murmur.llm._words import U, buffers, hashes, mix, signed, windows
 from murmur.llm.components import connected_components
 
 ORDERS = 2
-#: Buckets in which tokens are counted for the global orders.
-BUCKETS = 1 << 20
+#: Tokens whose counts the orders tell apart, at most; all others count as rare.
+COMMON = 1 << 18
+LEAST_COMMON = 8
 #: Documents that share a prefix token: up to so many give their pairs, more are chained.
 SMALL = 32
 #: Documents of one verification; a larger connected group is dealt to pairs of blocks.
-BLOCK = 1024
+BLOCK = 2048
 #: Bits of the filter on the second reading of the candidates' sets, at most.
 FILTER_BITS = 1 << 26
 
@@ -56,34 +57,56 @@ def class_of(s: np.ndarray) -> int:
     return int(signed(mix(np.array([mix(s).sum(dtype=U) ^ U(len(s))], U)))[0])
 
 
-def _prefix(s: np.ndarray, common: np.ndarray, order: int, t: Fraction) -> np.ndarray:
+class Order:
+    """How common the common tokens are: sorted tokens with a logarithm of their counts; all others are rare."""
+
+    def __init__(self, tokens: np.ndarray, grade: np.ndarray):
+        self.tokens, self.grade = tokens, grade
+
+    def grades(self, s: np.ndarray) -> np.ndarray:
+        if not len(self.tokens):
+            return np.zeros(len(s), U)
+        at = np.minimum(np.searchsorted(self.tokens, s), len(self.tokens) - 1)
+        return np.where(self.tokens[at] == s, self.grade[at], 0).astype(U)
+
+
+def _prefix(s: np.ndarray, grades: np.ndarray, order: int, t: Fraction) -> np.ndarray:
     n = len(s)
     p = n - math.ceil(t * n) + 1
     if p >= n:
         return s
-    rank = (common[(s & U(BUCKETS - 1)).astype(np.int64)].astype(U) << U(56)) | (mix(s + U(order + 1)) >> U(8))
+    rank = (grades << U(56)) | (mix(s + U(order + 1)) >> U(8))
     return s[np.argpartition(rank, p - 1)[:p]]
 
 
-def _common(docs: DataFrame, k: int) -> np.ndarray:
-    """A byte for each token bucket: a logarithm of how many documents have its tokens."""
+def _order(docs: DataFrame, k: int) -> Order:
+    """The common tokens over all docs, COMMON of them at most: those that several documents of a batch share, counted."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        seen: set[int] = set()
         for b in batches:
-            sets = shingle_sets(b.column(0), k)
-            if sets:
-                total += np.bincount((np.concatenate(sets) & U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        some = np.flatnonzero(total)
-        for at in range(0, len(some), 100_000):
-            part = some[at : at + 100_000]
-            yield pa.record_batch([pa.array(part.astype(np.int32)), pa.array(total[part])], ["b", "n"])
-
-    got = docs.mapInArrow(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n"))
-    got = got.select("b", F.least(F.lit(255), F.floor(F.log2("n") * 4)).cast("int").alias("c")).toArrow()
-    out = np.zeros(BUCKETS, np.uint8)
-    out[np.asarray(got["b"], np.int64)] = np.asarray(got["c"], np.uint8)
-    return out
+            fresh = []
+            for s in shingle_sets(b.column(0), k):
+                if len(s) and (c := class_of(s)) not in seen:
+                    seen.add(c)
+                    fresh.append(s)
+            if fresh:
+                x, n = np.unique(np.concatenate(fresh), return_counts=True)
+                some = n > 1
+                yield pa.record_batch([pa.array(signed(x[some])), pa.array(n[some])], ["token", "n"])
+
+    counts = docs.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = materialise(counts.where(F.col("n") >= LEAST_COMMON).withColumn("g", F.least(F.lit(255), F.floor(F.log2("n") * 4)).cast("int")), "tokens")
+    by_grade = sorted(((r["g"], r["count"]) for r in counts.groupBy("g").count().collect()), reverse=True)  # 255 rows at most
+    room, least = COMMON, 256
+    for g, n in by_grade:
+        if n > room:
+            break
+        room, least = room - n, g
+    got = counts.where(F.col("g") >= least).select("token", "g").toArrow()
+    tokens = np.asarray(got["token"].to_pylist(), np.int64).view(U)
+    place = np.argsort(tokens)
+    return Order(tokens[place], np.asarray(got["g"].to_pylist(), np.uint8)[place])
 
 
 def _prefixes(docs: DataFrame, k: int, t: Fraction, common) -> DataFrame:
@@ -96,8 +119,9 @@ def _prefixes(docs: DataFrame, k: int, t: Fraction, common) -> DataFrame:
             for s in shingle_sets(b.column(0), k):
                 if len(s) and (c := class_of(s)) not in seen:
                     seen.add(c)
+                    grades = common.value.grades(s)
                     for o in range(ORDERS):
-                        tokens.append((mix(_prefix(s, common.value, o, t)) & ~U(7)) | U(o))
+                        tokens.append((mix(_prefix(s, grades, o, t)) & ~U(7)) | U(o))
                         names.append(c)
                         sizes.append(len(s))
                         many.append(len(tokens[-1]))
@@ -232,8 +256,9 @@ def _verifier(t: Fraction, common):
         if not len(left) or not len(right):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "links": pa.array([], pa.float64())})
         candidate = np.ones((len(left), len(right)), bool)
+        grades = [common.value.grades(s) for s in sets]
         for o in range(ORDERS):
-            candidate &= _shared([_prefix(s, common.value, o, t) for s in sets], left, right) > 0
+            candidate &= _shared([_prefix(s, g, o, t) for s, g in zip(sets, grades)], left, right) > 0
         both = _shared(sets, left, right)
         size = np.array([len(s) for s in sets], np.float64)
         joined = size[left][:, None] + size[right][None, :] - both
@@ -294,7 +319,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     described = materialise(source.mapInArrow(describe, f"id {id_type}, cls long, n long"), "sets")
     texts = source.select("text")
-    common = sc.broadcast(_common(texts, k))
+    common = sc.broadcast(_order(texts, k))
     rows = _prefixes(texts, k, t, common).repartition("token").sortWithinPartitions("token", "n", "cls")
     pairs = rows.mapInArrow(_partners(t), "a long, b long, orders int")
     pairs = pairs.groupBy("a", "b").agg(F.expr("bit_or(orders)").alias("orders")).where(F.col("orders") == (1 << ORDERS) - 1)
