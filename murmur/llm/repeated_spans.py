@@ -102,7 +102,8 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             many = np.diff(np.r_[first, len(place)])
             known = np.zeros(len(at), bool)
             known[place[np.repeat(many > 1, many)]] = True
-            head = place[first]
+            o = np.argsort(place[first])  # in order of place: neighbours then share their keys, which compress
+            head, many = place[first][o], many[o]
             n = len(head)
             # kept places of edges seen once; no place for edges whose places follow as spans
             key1, key2 = np.asarray(b.column(0)), np.asarray(b.column(1))
