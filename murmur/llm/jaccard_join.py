@@ -34,11 +34,18 @@ LEAST_COMMON = 8
 #: Documents that share a prefix token: up to so many give their pairs, more are chained.
 SMALL = 32
 #: Documents of one verification; a larger connected group is dealt to pairs of blocks.
-BLOCK = 2048
+BLOCK = 1024
 #: Bits of the filter on the second reading of the candidates' sets, at most.
 FILTER_BITS = 1 << 26
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of a few rows, which bounds what a task holds at a time."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+
+
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text: k consecutive words, or all words if there are fewer."""
     h, rows = hashes(*buffers(texts))
@@ -86,10 +93,11 @@ def _order(docs: DataFrame, k: int) -> Order:
         seen: set[int] = set()
         for b in batches:
             fresh = []
-            for s in shingle_sets(b.column(0), k):
-                if len(s) and (c := class_of(s)) not in seen:
-                    seen.add(c)
-                    fresh.append(s)
+            for piece in sliced(iter([b])):
+                for s in shingle_sets(piece.column(0), k):
+                    if len(s) and (c := class_of(s)) not in seen:
+                        seen.add(c)
+                        fresh.append(s)
             if fresh:
                 x, n = np.unique(np.concatenate(fresh), return_counts=True)
                 some = n > 1
@@ -114,7 +122,7 @@ def _prefixes(docs: DataFrame, k: int, t: Fraction, common) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
+        for b in sliced(batches):
             tokens, names, sizes, many = [], [], [], []
             for s in shingle_sets(b.column(0), k):
                 if len(s) and (c := class_of(s)) not in seen:
@@ -209,7 +217,7 @@ def _sets_of(docs: DataFrame, k: int, words, bits: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
+        for b in sliced(batches):
             names, items = [], []
             for s in shingle_sets(b.column(0), k):
                 if len(s) and (c := class_of(s)) not in seen and in_filter(np.array([c], np.int64).view(U), words.value, bits)[0]:
@@ -313,7 +321,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     id_type = dict(source.dtypes)["id"]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             sets = shingle_sets(b.column(1), k)
             yield pa.record_batch([b.column(0), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["id", "cls", "n"])
 
