@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from murmur.llm._common import materialise, ship
 from murmur.llm._words import U, buffers, hashes, mix, spans
 
-BUCKETS = 1 << 16
+#: Buckets of each of the three kinds: few, so that each is well known from few labelled documents.
+RANGE = 1 << 12
+BUCKETS = 3 * RANGE
 LENGTH = 100.0
 #: Labelled rows that the target model is fitted on, at most: those of the least hashed ids.
 LABELLED = 20_000
@@ -44,11 +46,11 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     shape = mix(upper.astype(U) << U(16) | before.astype(U) << U(8) | last.astype(U) | U(1 << 20))
     prev = np.concatenate([[U(1)], h[:-1]])
     prev[rows[:-1][rows[:-1] < len(h)]] = U(1)
-    pair = np.where(prev == h, U(0x5EED), mix(prev * U(3) + h))
+    pair = mix(prev * U(3) + h)
     out = np.empty(3 * len(h), np.int64)
-    out[0::3] = (h & U(BUCKETS - 1)).astype(np.int64)
-    out[1::3] = (pair & U(BUCKETS - 1)).astype(np.int64)
-    out[2::3] = (shape & U(BUCKETS - 1)).astype(np.int64)
+    out[0::3] = (h & U(RANGE - 1)).astype(np.int64)
+    out[1::3] = RANGE + np.where(prev == h, 0, 1 + pair % U(RANGE - 1)).astype(np.int64)
+    out[2::3] = 2 * RANGE + (shape & U(RANGE - 1)).astype(np.int64)
     return out, rows * 3
 
 
@@ -66,8 +68,8 @@ class Weights:
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", labelled: int = LABELLED) -> Weights:
     """Fit both models: the raw one on all docs, the target one on the labelled good ones among at most
-    ``labelled`` rows of labels, which also give the cut, half way between the least mean of good and the
-    greatest of bad ones outside 1 % of either.  Without good labels all ratios are 0; without bad ones nothing is cut.
+    ``labelled`` rows of labels, which also give the cut, a quarter of the way from the greatest weight of bad
+    ones to the least of good ones, outside 1 % of either.  Without good labels all ratios are 0; without bad ones nothing is cut.
     The driver receives the labelled ids and BUCKETS counts.
     """
     spark = docs.sparkSession
@@ -95,9 +97,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     raw[np.asarray(got["b"], np.int64)], good[np.asarray(got["b"], np.int64)] = np.asarray(got["raw"], float), np.asarray(got["good"], float)
     if not good.sum():
         return Weights(np.zeros(BUCKETS), -math.inf)
-    # a pseudo-count for each bucket, shared out as raw text is, so unseen features weigh little
+    # a hundredth of the target counts is shared out as raw text is, so that nothing is impossible
     prior = (raw + 1) / (raw + 1).sum()
-    ratio = np.log((good + 50 * BUCKETS / 1000 * prior) / (good.sum() + 50 * BUCKETS / 1000)) - np.log(prior)
+    extra = 0.01 * good.sum()
+    ratio = np.log((good + extra * prior) / (good.sum() + extra)) - np.log(prior)
     fitted = Weights(ratio, -math.inf)
     ids = sorted(marks)
     keep = F.broadcast(spark.createDataFrame([(i, marks[i]) for i in ids], f"id {dict(source.dtypes)[id_col]}, q int"))  # LABELLED rows at most
@@ -106,7 +109,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     yes, no = np.sort(w[q > 0]), np.sort(w[q <= 0])
     if not len(no):
         return fitted
-    fitted.cut = float((yes[len(yes) // 100] + no[min(len(no) - 1, len(no) * 99 // 100)]) / 2)
+    low, high = no[min(len(no) - 1, len(no) * 99 // 100)], yes[len(yes) // 100]
+    fitted.cut = float(low + 0.25 * (high - low))
     return fitted
 
 
