@@ -119,7 +119,7 @@ class Model:
         if s is None:
             if len(self._seen) > 100_000:
                 self._seen.clear()
-            s = self._seen[features] = max(-3.0, min(1.0, self.bias + sum(self.weights.get(f, 0.0) for f in features)))
+            s = self._seen[features] = max(-0.5, min(1.0, self.bias + sum(self.weights.get(f, 0.0) for f in features)))
         return s
 
     def extract(self, page: str | None) -> str:
