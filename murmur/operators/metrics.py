@@ -67,14 +67,26 @@ def class_weights(df: DataFrame, group: str) -> DataFrame:
     return df.join(F.broadcast(one), group).withColumn("weight", F.lit(1.0) / (F.col("_g") * F.col("_n"))).drop("_n", "_g")
 
 
+def cumulative(rows: DataFrame, value: str, sums: list[str], by: list[str], *, stretches: int = 1000) -> DataFrame:
+    """rows with cum_<s>, the sum of s up to the row's value in its group, and all_<s>, the group's sum; a group has a
+    value once.  Sums of stretches of values come first, so that no task puts a whole group in order."""
+    lo, hi = rows.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
+    width = max((hi - lo) / stretches, 1e-12) if lo is not None else 1.0
+    cut = rows.withColumn("_s", F.floor((F.col(value) - F.lit(lo or 0.0)) / width))
+    stretch = cut.groupBy(*by, "_s").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
+    order = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)  # a row a stretch
+    before = stretch.select(*by, "_s", *[F.coalesce(F.sum(f"_{s}").over(order), F.lit(0)).alias(f"_b{s}") for s in sums], *[F.sum(f"_{s}").over(Window.partitionBy(*by)).alias(f"all_{s}") for s in sums])
+    inner = Window.partitionBy(*by, "_s").orderBy(value)
+    out = cut.join(before, [*by, "_s"])
+    return out.select(*rows.columns, *[(F.sum(s).over(inner) + F.col(f"_b{s}")).alias(f"cum_{s}") for s in sums], *[f"all_{s}" for s in sums])
+
+
 def weighted_percentiles(df: DataFrame, value: str, weight: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
     """(by, share, value): the least value at which the weight so far reaches the share of all weight.  Equal values are
     summed before they are put in order."""
     by = by or []
     sums = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(weight).alias("w"))
-    w = Window.partitionBy(*by).orderBy(value) if by else Window.orderBy(value)
-    total = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    so_far = sums.withColumn("_c", F.sum("w").over(w)).withColumn("_t", F.sum("w").over(total))
+    so_far = cumulative(sums, value, ["w"], by).withColumnRenamed("cum_w", "_c").withColumnRenamed("all_w", "_t")
     picks = [F.min(F.when(F.col("_c") >= F.col("_t") * s - 1e-12, F.col(value))).alias(f"p{i}") for i, s in enumerate(shares)]
     wide = so_far.groupBy(*by).agg(*picks)
     return wide.select(*by, F.explode(F.array(*[F.struct(F.lit(float(s)).alias("share"), F.col(f"p{i}").alias("value")) for i, s in enumerate(shares)])).alias("r")).select(*by, "r.*")
@@ -101,21 +113,9 @@ def compared(df: DataFrame, side: str, group: str, value: str, shares: list[floa
 def ks(df: DataFrame, value: str, side: Column) -> DataFrame:
     """One row: n_a, n_b and the greatest gap of the two samples' distribution functions; side is true for the first."""
     c = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count_if(side).alias("a"), F.count_if(~side).alias("b"))
-    totals = c.agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b")).withColumn("_k", F.lit(1))
-    # sums of stretches first, so that no task sees all values
-    part = F.floor(F.col("v") / F.lit(_width(c)))
-    c = c.withColumn("_s", part)
-    stretch = c.groupBy("_s").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))
-    w = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    before = stretch.select("_s", F.coalesce(F.sum("sa").over(w), F.lit(0)).alias("ba"), F.coalesce(F.sum("sb").over(w), F.lit(0)).alias("bb"))
-    inner = Window.partitionBy("_s").orderBy("v")
-    run = c.join(before, "_s").select(F.lit(1).alias("_k"), (F.sum("a").over(inner) + F.col("ba")).alias("ca"), (F.sum("b").over(inner) + F.col("bb")).alias("cb"))
-    return run.join(F.broadcast(totals), "_k").groupBy("n_a", "n_b").agg(F.max(F.abs(ratio("ca", "n_a") - ratio("cb", "n_b"))).alias("ks"))
-
-
-def _width(c: DataFrame) -> float:
-    lo, hi = c.agg(F.min("v"), F.max("v")).first()
-    return max((float(hi) - float(lo)) / 1000, 1e-12) if lo is not None else 1.0
+    run = cumulative(c, "v", ["a", "b"], [])
+    gap = F.max(F.abs(ratio("cum_a", "all_a") - ratio("cum_b", "all_b"))).alias("ks")
+    return run.groupBy(F.col("all_a").alias("n_a"), F.col("all_b").alias("n_b")).agg(gap)
 
 
 def greedy_pairs(reference: list[tuple[float, float]], predicted: list[tuple[float, float]], collar: float) -> list[tuple[int, int]]:
