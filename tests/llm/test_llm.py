@@ -133,9 +133,10 @@ def test_large_groups_and_blocks(spark, monkeypatch):
     assert set(got.values()) == {0}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components(spark, few):
     e = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
-    got = {r.node: r.comp for r in connected_components(spark.createDataFrame(e, "a long, b long")).collect()}
+    got = {r.node: r.comp for r in connected_components(spark.createDataFrame(e, "a long, b long"), few=few).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
