@@ -34,7 +34,7 @@ LEAST_COMMON = 8
 #: Documents that share a prefix token: up to so many give their pairs, more are chained.
 SMALL = 32
 #: Documents of one verification; a larger connected group is dealt to pairs of blocks.
-BLOCK = 1024
+BLOCK = 2048
 #: Bits of the filter on the second reading of the candidates' sets, at most.
 FILTER_BITS = 1 << 26
 
