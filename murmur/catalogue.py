@@ -410,7 +410,8 @@ def dup_groups(spark, d):
     from murmur.sources.checkpoints import ensure
 
     ensure(spark)
-    return graph.groups(table(spark, d, "lineitem").where("l_linenumber = 1"), "l_orderkey", "l_partkey")
+    # a part alone links all orders into one group; a part of one supplier does not
+    return graph.groups(table(spark, d, "lineitem").withColumn("lot", F.struct("l_partkey", "l_suppkey")), "l_orderkey", "lot")
 
 
 @query("SELECT o_orderkey AS file_id, o_orderpriority AS reason_code FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')) UNION ALL SELECT DISTINCT l_orderkey, 'new' FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45")

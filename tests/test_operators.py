@@ -240,6 +240,23 @@ def test_graph(spark):
     assert {r.i: r.group for r in g.collect()} == {1: 1, 2: 1, 3: 1, 9: 9}
 
 
+def test_dup_groups_over_the_whole_table(spark, tmp_path):
+    from murmur import catalogue
+
+    rows = [(1, 7, 7, 1), (1, 8, 8, 2), (2, 8, 8, 3), (2, 9, 9, 1), (3, 9, 9, 2), (4, 7, 6, 1), (5, 5, 5, 4)]
+    r = random.Random(9)
+    rows += [(100 + r.randrange(60), r.randrange(20), r.randrange(5), 1 + r.randrange(7)) for _ in range(90)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = {i: i for i, *_ in rows}
+    for _ in want:
+        for a in rows:
+            for b in rows:
+                if a[1:3] == b[1:3]:
+                    want[a[0]] = want[b[0]] = min(want[a[0]], want[b[0]])
+    got = catalogue.QUERIES["dup_groups"](spark, str(tmp_path)).collect()
+    assert {x.l_orderkey: x.group for x in got} == want and len(got) == len(want) and len(set(want.values())) > 2
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([(i, [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(np.linspace(0, 3, 20))] + [(99, None)], "event_id int, embedding array<double>")
     ids = lambda k: [r.event_id for r in vectors.nearest(df, [1.0, 0.0], k=k).collect()]
