@@ -24,14 +24,13 @@ def nearest(vectors: DataFrame, query: list[float], *, k: int | None = V.TOP_K,
 
 
 def nearest_batch(vectors: DataFrame, queries: DataFrame, *, k: int, id_col: str, vector: str = "embedding", query_id: str = "query_id", max_queries: int = 1000) -> DataFrame:
-    """(query_id, id_col, similarity, rank) for a batch of query vectors: all queries ride along as one array, bounded by
-    max_queries, each row meets it once, and only the k best of a query leave a task."""
-    rows = queries.select(query_id, vector).limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise ValueError(f"more than {max_queries} queries; run them in blocks")
-    if not rows:
-        return vectors.select(F.lit(None).cast("long").alias(query_id), id_col, F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("int").alias("rank")).limit(0)
-    held = F.array(*[F.struct(F.lit(r[0]).alias("q"), F.array(*[F.lit(float(x)) for x in r[1]]).alias("v")) for r in rows])
-    scored = vectors.where(F.col(vector).isNotNull()).select(id_col, vector, F.explode(held).alias("h")).select(F.col("h.q").alias(query_id), id_col, cosine(vector, F.col("h.v")).alias("similarity"))
+    """(query_id, id_col, similarity, rank) for a batch of query vectors: queries are dealt by id to blocks of about
+    max_queries, each an array in a row of its own; each row of vectors meets each block once, and only the k best of a
+    query leave a task."""
+    blocks = -(-queries.count() // max_queries) or 1
+    held = queries.select(F.struct(F.col(query_id).alias("q"), F.transform(vector, lambda x: x.cast("double")).alias("v")).alias("h"))
+    held = held.groupBy(F.pmod(F.xxhash64("h.q"), F.lit(blocks)).alias("block")).agg(F.collect_list("h").alias("held")).select("held")
+    rows = vectors.where(F.col(vector).isNotNull()).select(id_col, vector)
+    scored = rows.crossJoin(held).select(id_col, vector, F.explode("held").alias("h")).select(F.col("h.q").alias(query_id), id_col, cosine(vector, F.col("h.v")).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("similarity"), id_col))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)

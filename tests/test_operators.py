@@ -266,6 +266,19 @@ def test_vectors(spark):
     assert [r[0] for r in n] == [[0.6, 0.8], [0.0, 0.0]]
 
 
+def test_batch_of_more_queries_than_a_block(spark):
+    r = random.Random(5)
+    rows = [(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(60)]
+    df = spark.createDataFrame([*rows, (99, None)], "vec_id long, embedding array<double>")
+    q = df.where("vec_id < 25").select(F.col("vec_id").alias("query_id"), "embedding")
+    x = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    want = {(a, b, k + 1) for a in range(25) for k, b in enumerate(sorted(x, key=lambda i: -x[a] @ x[i])[:3])}
+    for size in (4, 1000):
+        got = vectors.nearest_batch(df, q, k=3, id_col="vec_id", max_queries=size).collect()
+        assert {(g.query_id, g.vec_id, g["rank"]) for g in got} == want and len(got) == len(want)
+    assert vectors.nearest_batch(df, q.limit(0), k=3, id_col="vec_id").count() == 0
+
+
 def test_signal_kernels():
     rate = 8000
     t = np.arange(rate) / rate
