@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def ancestors(edges: DataFrame, *, depth: int = 32) -> DataFrame:
-    """(node, ancestor) over edges (parent, child): all nodes above a node, to the given depth.  In a cycle a node is its
-    own ancestor.  Only pairs found last are extended, and none is found twice, so cycles end."""
-    up = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct().cache()
-    seen, new = up, up
-    for _ in range(depth):
-        step = new.join(up.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("above")), "ancestor").select("node", F.col("above").alias("ancestor")).distinct()
-        new = step.join(seen, ["node", "ancestor"], "left_anti").cache()
-        if not new.limit(1).count():
-            break
+from murmur.sources.checkpoints import ensure
+
+
+def ancestors(edges: DataFrame) -> DataFrame:
+    """(node, ancestor) over edges (parent, child): all nodes above a node, however far.  In a cycle a node is its own
+    ancestor.  Only pairs found last are extended, by all pairs so far, so rounds grow with the logarithm of the depth; no pair
+    is found twice, so cycles end; pairs are checkpointed each round."""
+    ensure(edges.sparkSession)
+    seen = new = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct().checkpoint()
+    while new.limit(1).count():
+        step = new.join(seen.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("above")), "ancestor").select("node", F.col("above").alias("ancestor")).distinct()
+        new = step.join(seen, ["node", "ancestor"], "left_anti").checkpoint()
         seen = seen.union(new)
     return seen
 

@@ -240,6 +240,15 @@ def test_graph(spark):
     assert {r.i: r.group for r in g.collect()} == {1: 1, 2: 1, 3: 1, 9: 9}
 
 
+def test_ancestors_of_a_long_path(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(50, 48)], "parent int, child int")
+    want = {(b, a) for a in range(51) for b in range(a + 1, 51)} | {(b, a) for b in (48, 49, 50) for a in (48, 49, 50)}
+    closure = graph.ancestors(e)
+    assert sorted(tuple(r) for r in closure.collect()) == sorted(want)
+    labels = spark.createDataFrame([(1, 0), (1, 47), (2, 3)], "key int, label int")
+    assert sorted(tuple(r) for r in graph.most_specific(labels, closure, "key").collect()) == [(1, 47), (2, 3)]
+
+
 def test_dup_groups_over_the_whole_table(spark, tmp_path):
     from murmur import catalogue
 
