@@ -4,9 +4,9 @@ The terms of a document that lie in a band of inverse document frequency are sor
 distinct, and hashed once for each of several random subsets of that lexicon.  Two documents whose
 terms in a subset agree have the same hash there, so the share of equal hashes tells how alike they are.
 
-Everything is a built-in Spark expression.  Document frequencies are counted over all documents in a
-fixed number of term buckets, so the lexicon is a literal of BUCKETS bytes, however large the corpus;
-terms that share a bucket are in or out together.  A subset keeps the terms whose hash has a run of
+Everything is a built-in Spark expression.  Document frequencies are counted over all documents for each
+term, known by 62 bits of its hash.  Up to MAX_LITERAL terms in the band are a literal, a hash table in which
+a term has two places; beyond, the band is a table that terms are joined with.  A subset keeps the terms whose hash has a run of
 zero bits at its own place: LEVELS rates (1/2, 1/8, ...) times SUBSETS places, so that texts of a few
 words and of many thousands both have subsets which hold a few of their terms.
 """
@@ -15,12 +15,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmur.llm._common import once, spare
+from murmur.llm._common import materialise, once, spare
 
-BUCKETS = 1 << 20
+#: Terms in the band that a literal holds, in 4 places of 8 bytes each at most.
+MAX_LITERAL = 1 << 21
 #: The band: idf as a share of its greatest value, ln N, for N documents.
 IDF_LOW, IDF_HIGH = 0.25, 0.9
 SUBSETS, LEVELS = 7, 5
@@ -35,33 +37,65 @@ def _hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(F.lower(text), SEPARATORS), lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", *, low: float = IDF_LOW, high: float = IDF_HIGH) -> list[int]:
-    """BUCKETS / 64 numbers with a bit for each term bucket: set if its document frequency over all docs is in the band.
+def _key(h: Column) -> Column:
+    """62 bits of a term's hash, the highest two set: 16 hex digits always, and never 0."""
+    return h.bitwiseOR(F.lit(-(1 << 62)))
 
-    Null texts are documents without terms.  With no documents, or one, every bucket is in the band.
-    That is all the driver receives, whatever the input.
+
+def lexicon(docs: DataFrame, text_col: str = "text", *, low: float = IDF_LOW, high: float = IDF_HIGH) -> DataFrame | bytes | None:
+    """The keys of the terms whose document frequency over all docs is in the band: a table of places for MAX_LITERAL
+    keys at most, else a DataFrame (key).
+
+    Null texts are documents without terms.  With no documents, or one, every term is in the band: None.
     """
     n = docs.count()
     if n < 2:
-        return [-1] * (BUCKETS // 64)
+        return None
     least, most = n ** (1 - high), n ** (1 - low)
-    terms = docs.select(F.explode(F.array_distinct(F.transform(_hashes(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), lambda h: h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")))).alias("b"))
-    band = terms.groupBy("b").count().where(F.col("count").between(math.ceil(least - 1e-9), math.floor(most + 1e-9)))
-    words = band.groupBy(F.shiftright("b", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, b & 63))").alias("bits")).toArrow()
-    out = [0] * (BUCKETS // 64)
-    for w, bits in zip(words["w"].to_pylist(), words["bits"].to_pylist()):
-        out[w] = bits
-    return out
-
-
-def with_fingerprint(df: DataFrame, text: Column, lex: list[int], out_col: str) -> DataFrame:
+    terms = docs.select(F.explode(_hashes(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("h")).select(_key(F.col("h")).alias("key"))
+    band = terms.groupBy("key").count().where(F.col("count").between(math.ceil(least - 1e-9), math.floor(most + 1e-9)))
+    band = materialise(band.select("key"), "band")
+    if band.count() > MAX_LITERAL:
+        return band
+    return places(band.toArrow()["key"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+def places(keys: np.ndarray) -> bytes:
+    """Distinct keys, not 0, in a power of two of places of 8 bytes: each at its low bits or at its high half's low bits."""
+    size = 64
+    while size < 2 * len(keys):
+        size *= 2
+    while True:
+        table, mask = np.zeros(size, np.uint64), np.uint64(size - 1)
+        one, two = lambda k: k & mask, lambda k: k >> np.uint64(32) & mask
+        k, at = keys, one(keys)
+        for _ in range(1000):
+            out = table[at]
+            table[at] = k
+            put = table[at] == k
+            gone = put & (out != 0)
+            k, at = np.r_[k[~put], out[gone]], np.r_[at[~put], at[gone]]
+            at = np.where(at == one(k), two(k), one(k))
+            if not len(k):
+                return table.astype(">u8").tobytes()
+        size *= 2
+
+
+def with_fingerprint(df: DataFrame, text: Column, lex: DataFrame | bytes | None, out_col: str) -> DataFrame:
     """df with out_col: SUBSETS * LEVELS hashes in one string.  Equal texts have equal fingerprints; a
     text without terms in the band, such as null or the empty text, shows EMPTY throughout."""
-    (band,) = spare(df, "band_")
-    hashes = once(df, **{band: _hashes(F.coalesce(text, F.lit("")))})
-    table = f"from_json('[{','.join(map(str, lex))}]', 'array<bigint>')"  # folded to a literal
-    inside = f"(shiftrightunsigned(t[CAST(shiftright(h & {BUCKETS - 1}L, 6) AS INT)], CAST(h & 63L AS INT)) & 1L) = 1L"
-    df = once(hashes, **{band: F.expr(f"sort_array(transform(array({table}), t -> filter(`{band}`, h -> {inside}))[0])")})
+    band, name, found = spare(df, "band_", "name_", "found_")
+    df = once(df, **{band: _hashes(F.coalesce(text, F.lit("")))})
+    if isinstance(lex, bytes):
+        table, mask = F.lit(bytearray(lex)), len(lex) // 8 - 1
+        at = lambda p: F.call_function("substring", table, (p.bitwiseAND(F.lit(mask)) * 8 + 1).cast("int"), F.lit(8))
+        inside = lambda h, k: (at(h) == k) | (at(F.shiftrightunsigned(h, 32)) == k)
+        df = once(df, **{band: F.filter(band, lambda h: inside(h, F.unhex(F.hex(_key(h)))))})
+    elif lex is not None:
+        df = df.withColumn(name, F.sha2(F.coalesce(text, F.lit("")), 256))
+        terms = df.select(name, F.explode(band).alias("h")).withColumn("key", _key(F.col("h"))).join(lex, "key", "left_semi")
+        df = df.join(terms.groupBy(name).agg(F.collect_set("h").alias(found)), name, "left").withColumn(band, F.coalesce(found, F.array().cast("array<bigint>"))).drop(name, found)
+    df = once(df, **{band: F.sort_array(band)})
     # per place k: the nested subsets of all levels, each the terms whose bits under the mask are zero;
     # transform(array(x), v -> ...)[0] binds x to v
     masks = ",".join(f"{_signed((1 << (2 * level + 1)) - 1 << 9 * k)}L" for k in range(SUBSETS) for level in range(LEVELS))

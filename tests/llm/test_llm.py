@@ -220,6 +220,32 @@ def test_fingerprints(spark):
     assert one.edited_sha256 == hashlib.sha256(b"abca").hexdigest()
 
 
+def test_lexicon_is_exact_for_rare_terms(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choices([f"w{j}" for j in range(400)], k=20) + [f"once{i}x{j}" for j in range(2000)])) for i in range(400)]
+    freq = Counter(w for _, x in rows for w in set(x.split()))
+    lo, hi = 400**0.1, 400**0.75
+    bare = [(i, " ".join(w for w in x.split() if lo <= freq[w] <= hi)) for i, x in rows]
+    got = {}
+    for few in (imatch.MAX_LITERAL, 0):
+        monkeypatch.setattr(imatch, "MAX_LITERAL", few)
+        lex = imatch.lexicon(frame(spark, rows))
+        assert isinstance(lex, bytes) == bool(few)
+        for name, texts in (("all", rows), ("bare", bare)):
+            df = imatch.with_fingerprint(frame(spark, texts + [(1000 + i, x) for i, x in enumerate(ODD)]), F.col("text"), lex, "f")
+            got[few, name] = {x.doc_id: x.f for x in df.collect()}
+    first, *others = got.values()
+    assert len(set(first.values())) > 390 and all(o == first for o in others)
+
+
+@pytest.mark.parametrize("n", [0, 1, 64, 5000])
+def test_places_hold_every_key(n):
+    keys = np.unique(np.random.default_rng(n).integers(1, 1 << 63, n).astype(np.uint64) | np.uint64(3 << 62))
+    table = np.frombuffer(imatch.places(keys), ">u8")
+    mask = np.uint64(len(table) - 1)
+    assert ((table[keys & mask] == keys) | (table[keys >> np.uint64(32) & mask] == keys)).all() and (table != 0).sum() == n
+
+
 def test_next_rows_over_many_blocks(spark):
     rows = [(i * 3, f"t{i}") for i in range(997)] + [(None, "first"), (30, "tie")]
     random.Random(1).shuffle(rows)
