@@ -1,21 +1,28 @@
 """License scans: normalised units of a text against licence templates by the Dice coefficient of word bigrams.
 
-Units are the lines, the paragraphs (runs of lines between blank ones) and the whole text.  A template can
-reach the threshold only if the numbers of bigrams are alike, so units of other sizes are never compared with
+Units are the lines, the paragraphs (runs of lines between blank ones) and the whole text; and, in what is left
+without the units that matched, windows of words sized to each template, across lines and paragraphs.  A template
+can reach the threshold only if the numbers of bigrams are alike, so units of other sizes are never compared with
 it; and only units that hold enough bigrams of any template are compared at all.  Everything is a built-in
 Spark expression within one row: no shuffle.
+
+A window is as long as its template, or longer up to the size bound.  Only windows that begin or end with a run of the
+template's bigrams are compared: another one of the same length has no more of them, repeats apart.
 """
 
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm._common import once
+from murmur.llm._common import once, spare
 
 THRESHOLD = 0.8
+#: A word in place of a matched unit.
+GAP = "\u2060\u2060"
 
 # Notices and short texts of public licences.
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
@@ -30,9 +37,10 @@ _FORMS = ("Licensed under {0}.", "Released under {0}.", "This work is licensed u
 
 
 def templates() -> list[tuple[str, str]]:
-    """(licence, text): the notices of each named licence, and the longer texts."""
+    """(licence, text): the notices of each named licence, the longer notices, and the full texts in licence_texts."""
     out = [(name, form.format(title)) for name, title in _NAMED.items() for form in _FORMS]
     out += [("MIT", _MIT), ("ISC", _ISC), ("BSD-2-Clause", _BSD2), ("Apache-2.0", _APACHE), ("MPL-2.0", _MPL), ("Unlicense", _UNLICENSE)]
+    out += [(f.stem, f.read_text()) for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
     return out + [(name, _GPL.format(kind, version)) for name, kind, version in (("GPL-2.0", "", 2), ("GPL-3.0", "", 3), ("LGPL-3.0", "Lesser ", 3), ("AGPL-3.0", "Affero ", 3))]
 
 
@@ -59,14 +67,15 @@ def scan(docs: DataFrame, *, text_col: str = "text", known: list[tuple[str, str]
 
     dice is 2 |A and B| / (|A| + |B|) over the distinct word bigrams of unit and template; a unit of one word has
     none and matches nothing.  Of equal dice the license first by name counts.  Equal units of a text count once.
+    Windows follow, as their normalised words: of those that overlap, the one that shares most bigrams counts.
     Null and empty texts have no units.  A column of docs named licenses is replaced, all others stay.
     """
     known = templates() if known is None else known
-    made: dict[tuple[str, tuple[str, ...]], None] = {(name, tuple(g)): None for name, text in known if (g := bigrams(normalised(text)))}
+    made: dict[tuple[str, tuple[str, ...]], int] = {(name, tuple(g)): len(w) - 1 for name, text in known if (g := bigrams(w := normalised(text)))}
     if not made:
         return docs.withColumn("licenses", F.expr("CAST(array() AS array<struct<license: string, dice: double, unit: string>>)"))
-    table = [{"license": n, "n": len(g), "grams": list(g)} for n, g in sorted(made)]
-    known_sql = f"from_json({_text(json.dumps(table, ensure_ascii=True))}, 'array<struct<license: string, n: int, grams: array<string>>>')"
+    table = [{"license": n, "n": len(g), "m": m, "grams": list(g)} for (n, g), m in sorted(made.items())]
+    known_sql = f"from_json({_text(json.dumps(table, ensure_ascii=True))}, 'array<struct<license: string, n: int, m: int, grams: array<string>>>')"
     sizes = [t["n"] for t in table]
     lo, hi = threshold / (2 - threshold) * min(sizes), (2 - threshold) / threshold * max(sizes)
     grams = sorted({g for _, gs in made for g in gs})
@@ -85,6 +94,33 @@ def scan(docs: DataFrame, *, text_col: str = "text", known: list[tuple[str, str]
     best = f"transform({near}, x -> struct(x.unit AS unit, array_min({scored}) AS best))"
     result = f"transform(filter({best}, x -> x.best IS NOT NULL AND -x.best.d >= {threshold}), x -> struct(x.best.license AS license, CAST(-x.best.d AS DOUBLE) AS dice, x.unit AS unit))"
     whole: Column = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    (tmp,) = ("licenses_text_",)
-    df = docs.withColumn(tmp, whole)
-    return once(df, licenses=F.expr(f"transform(array(`{tmp}`), t -> {result})[0]")).drop(tmp)
+    tmp, rest, hits, found = spare(docs, "licenses_text_", "licenses_words_", "licenses_hits_", "licenses_found_")
+    df = once(docs.withColumn(tmp, whole), **{found: F.expr(f"transform(array(`{tmp}`), t -> {result})[0]")})
+    # the words left: a matched unit gives way to a word that no template has
+    left = f"aggregate(`{found}`, `{tmp}`, (t, x) -> replace(t, x.unit, ' {GAP} '))"
+    df = once(df, **{rest: F.expr(f"filter(split(lower({left}), {_SPLIT}), w -> w <> '')")})
+    at = f"filter(transform(IF(size(`{rest}`) >= 2, sequence(1, size(`{rest}`) - 1), CAST(array() AS array<int>)), i -> struct(i AS p, concat(`{rest}`[i - 1], ' ', `{rest}`[i]) AS g)), x -> x.g IN ({','.join(map(_text, grams))}))"
+    df = once(df, **{hits: F.expr(at)})
+    more = F.expr(f"transform({_windows(hits, rest, known_sql, threshold)}, x -> struct(x.license AS license, CAST(-x.d AS DOUBLE) AS dice, array_join(slice(`{rest}`, x.s, x.e - x.s + 2), ' ') AS unit))")
+    return once(df, licenses=F.array_distinct(F.concat(found, more))).drop(tmp, rest, hits, found)
+
+
+def _windows(hits: str, words: str, known_sql: str, threshold: float) -> str:
+    """SQL of the windows that reach the threshold and do not overlap, each from bigram s to bigram e (from 1 on), out of
+    the (p, g) of the bigrams that any template has."""
+    last = f"size(`{words}`) - 1"
+    least, longest = f"{threshold / (2 - threshold)}D * k.n", f"{(2 - threshold) / threshold}D * k.m"
+    able = f"filter({known_sql}, k -> size(`{hits}`) >= {least} AND k.m <= {last})"
+    own = f"transform({able}, k -> struct(k AS k, filter(`{hits}`, x -> array_contains(k.grams, x.g)) AS o))"
+    enough = f"filter({own}, x -> size(x.o) >= {least.replace('k.', 'x.k.')} AND size(array_distinct(x.o.g)) >= {least.replace('k.', 'x.k.')})"
+    heads = "filter(x.o.p, (p, i) -> i = 0 OR x.o[i - 1].p < p - 1)"
+    tails = "filter(x.o.p, (p, i) -> i = size(x.o) - 1 OR x.o[i + 1].p > p + 1)"
+    sized = f"concat(transform(filter(h, s -> s + x.k.m - 1 <= {last}), s -> struct(s AS s, s + x.k.m - 1 AS e)), transform(filter(z, e -> e >= x.k.m), e -> struct(e - x.k.m + 1 AS s, e AS e)))"
+    longer = f"flatten(transform(h, s -> transform(filter(z, e -> e - s >= x.k.m AND e - s < {longest.replace('k.', 'x.k.')}), e -> struct(s AS s, e AS e))))"
+    spans = f"transform(array(struct({heads} AS h, {tails} AS z)), y -> array_distinct(concat({sized}, {longer})))[0]".replace("(h,", "(y.h,").replace("(z,", "(y.z,")
+    full = f"filter({spans}, y -> size(filter(x.o, v -> v.p BETWEEN y.s AND y.e)) >= {least.replace('k.', 'x.k.')})"
+    gram = f"array_distinct(transform(sequence(y.s, y.e), i -> concat(`{words}`[i - 1], ' ', `{words}`[i])))"
+    shared = "transform(array(size(array_intersect(g, x.k.grams))), c -> struct(-c AS c, -(2 * c / (x.k.n + size(g))) AS d, x.k.license AS license, y.s AS s, y.e AS e))[0]"
+    found = f"filter(flatten(transform({enough}, x -> transform({full}, y -> transform(array({gram}), g -> {shared})[0]))), w -> -w.d >= {threshold}D)"
+    kept = "aggregate(slice(f, 2, size(f)), slice(f, 1, 1), (a, w) -> IF(exists(a, v -> v.s <= w.e AND w.s <= v.e), a, concat(a, array(w))))"
+    return f"transform(array(array_sort({found})), f -> {kept})[0]"

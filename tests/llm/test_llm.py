@@ -298,6 +298,39 @@ def test_licenses_against_brute_force(spark):
     assert {n for n, _ in got[0]} == {"Apache-2.0"} and {n for n, _ in got[4]} == {"MIT"}
 
 
+def test_licences_in_prose_and_over_paragraphs(spark):
+    full = {n: x for n, x in licenses.templates() if len(x) > 600}
+    prose = "An invented text of many words that says the same of nothing and goes on under the trees until it is over. " * 5
+    bsd2 = full["BSD-2-Clause"].replace("\n1. ", "\n\n1. ").replace("\n2. ", "\n\n2. ")
+    cases = [
+        ("Released under the MIT License. See the file for details.", {"MIT"}),
+        (f"{prose}It is distributed under the\nISC License, so read it. {prose}", {"ISC"}),
+        (bsd2, {"BSD-2-Clause"}),
+        (f"{prose}\n\n{bsd2}\n\n{prose}", {"BSD-2-Clause"}),
+        (f"{prose}\n{full['BSD-3-Clause']}\n{prose}\n\n{full['MIT']}\n\n{prose}", {"BSD-3-Clause", "MIT"}),
+        (f"{prose}\n\n{full['GPL-3.0']}\n\n{prose}", {"GPL-3.0"}),
+        (prose, set()),
+    ]
+    got = {r.doc_id: {x["license"] for x in r.licenses} for r in licenses.scan(frame(spark, [(i, x) for i, (x, _) in enumerate(cases)])).collect()}
+    assert got == {i: names for i, (_, names) in enumerate(cases)}
+
+
+def test_windows_against_brute_force(spark):
+    known = [("A", "a b c d e"), ("B", "c d e f g h"), ("C", "x a y b z")]
+    r = random.Random(11)
+    texts = [" ".join(r.choices("abcdefghxyzq", k=r.randrange(1, 30))) + r.choice(["", " a b c d e ", " c d e f g h", " q c d e f g"]) + " q" for _ in range(300)]
+    got = {x.doc_id: {y["license"] for y in x.licenses} for x in licenses.scan(frame(spark, list(enumerate(texts))), known=known).collect()}
+    for i, x in enumerate(texts):
+        w, names = x.split(), set()
+        for name, y in known:
+            t = set(licenses.bigrams(y.split()))
+            m = len(y.split())
+            sets = [set(licenses.bigrams(w[a : a + m])) for a in range(len(w) - m + 1)]
+            names |= {name for g in sets if 2 * len(g & t) >= 0.8 * (len(g) + len(t))}
+        assert got[i] or not names, x
+        assert len(names) != 1 or names <= got[i], x
+
+
 def test_main_text(spark):
     pages = main_text.labelled_pages(60, 99)
     model = main_text.train()
