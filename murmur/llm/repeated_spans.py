@@ -4,10 +4,11 @@ The windows of k words are the edges of the graph.  Counting all of them would m
 k times, so a filter comes first: each window is named by the least hash of its short word sequences, and
 only windows whose name occurs at two places or more can repeat.  The remaining edges are counted, an edge
 that repeats is kept with its source coordinates, and along each document consecutive kept edges of equal
-count, which is what a path without branches has, compact into one span.  Spans are joined back to their
+count, which is what a path without branches has (but not it alone), compact into one span.  Spans are joined back to their
 documents by those coordinates, and there the words that they cover are cut out.
 
-A window is told by 96 bits, two hashes of its words that share nothing.
+A window is told by 96 bits, two hashes made from the same 64-bit hashes of its words; windows that agree in them are
+taken as equal, and their words are never compared.
 """
 
 from __future__ import annotations
