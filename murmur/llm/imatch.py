@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from murmur.llm._common import materialise, once, spare
 
 #: Terms in the band that a literal holds, in 4 places of 8 bytes each at most.
-MAX_LITERAL = 1 << 21
+MAX_LITERAL = 1 << 15
 #: The band: idf as a share of its greatest value, ln N, for N documents.
 IDF_LOW, IDF_HIGH = 0.25, 0.9
 SUBSETS, LEVELS = 7, 5
