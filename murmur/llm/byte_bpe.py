@@ -1,28 +1,36 @@
 """Byte-level BPE by folds of Spark's higher-order functions.
 
 A text is split by the tokenizer's pattern; the distinct words of the text are encoded and then put back in
-order.  A word that is a rank itself is one token.  Any other is an array of byte strings, and a fold merges its
-adjacent pair of least rank, leftmost first, until none is in the rank map.  The map is a literal: an array of
-small maps, chosen by a hash of the byte string, since Spark searches a map from end to end.  Decoding
-concatenates the byte strings of the ids.  All of it stays within a row, so nothing is shuffled.
+order.  A word that is a rank itself is one token.  Any other starts as the array of its bytes, each as its rank, and
+a fold merges its adjacent pair of least rank, leftmost first, until no pair is in the rank map.  The fold carries the
+ranks of the pairs along: a merge looks up the two pairs beside it and no others.
+
+Ranks within a word are characters of a string, on which Spark's functions are many times faster than on
+its arrays.  All maps are literals cut small, as Spark searches a map from end to end.  Words: an array of strings, chosen by
+a hash of the word; beside the words that are ranks it holds the commonest others of all texts, encoded by the same fold
+beforehand, and every word that it lacks is folded where it occurs.  Pairs, the rank map of the fold: an array of strings, chosen by a hash of the
+pair.  Decoding concatenates the byte strings of the ids.  Documents are never shuffled, only counts of words.
 """
 
 from __future__ import annotations
 
 import base64
-import json
+import zlib
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm._common import once, spare
+from murmur.llm._common import materialise, once, spare
 
-SLOTS = 1 << 15
+SLOTS, PAIR_SLOTS = 1 << 15, 1 << 15
 SPACE = r"\u0009-\u000D\u0020\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+#: What separates words in a slot: no characters of any text that means something.  A text with them is folded word by word.
+OPEN, CLOSE, NEXT = "\ufdd0", "\ufdd1", "\ufdd2"
 #: Distinct words to merge in a text: beyond so many they are found by bisection, not by a search of a map.
-FEW = 256
-
-
+FEW = 1024
+#: Words encoded beforehand, at most, and how often each occurs at least; the others are folded text by text.
+COMMON, LEAST_COMMON = 1 << 17, 8
 def java_pattern(pattern: str) -> str:
     """The pattern with white space spelled out as Unicode has it, which Java's \\s does not."""
     out, inside = [], False
@@ -45,41 +53,146 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _rank_sql(spark, ranks: dict[bytes, int]) -> str:
-    """A foldable expression: an array of SLOTS maps from the hex of byte strings to ranks."""
-    keys = list(ranks)
-    slots = spark.createDataFrame([(k.hex().upper(),) for k in keys], "k string").select("k", F.pmod(F.xxhash64(F.unhex("k")), F.lit(SLOTS)).alias("s")).toArrow()
-    table: list[dict[str, int]] = [{} for _ in range(SLOTS)]
-    for k, s in zip(slots["k"].to_pylist(), slots["s"].to_pylist()):
-        table[s][k] = ranks[bytes.fromhex(k)]
-    return f"from_json('{json.dumps(table, separators=(',', ':'))}', 'array<map<string, int>>')"
+class _Code:
+    """Ranks as characters, in the same order: of two or three bytes where all fit below the surrogates, else of four.
+    none is the character that tells that a pair has no rank."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        most = max(ranks.values())
+        self.first, self.none = (0x100, "\uffff") if most < 0xD800 - 0x100 else (0x10000, chr(0x10FFFF))
+        if most >= ord(self.none) - self.first:
+            raise ValueError("ranks below 2^20 - 1 only")
+
+    def __call__(self, ids) -> str:
+        return "".join(chr(self.first + i) for i in ids)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _slot(key: str, n: int) -> int:
+    """Which of n slots, a power of two, the key falls into: as _slot_sql has it."""
+    return zlib.crc32(key.encode()) & n - 1
+
+
+def _slot_sql(key: str, n: int) -> str:
+    return f"CAST(crc32(CAST({key} AS BINARY)) & {n - 1}L AS INT)"
+
+
+def _words_sql(words: dict[str, str]) -> str:
+    """A foldable expression: an array of SLOTS strings with the words, each between OPEN and CLOSE, then its ids as
+    characters and CLOSE; before them CLOSE."""
+    table = [CLOSE] * SLOTS
+    for w, ids in words.items():
+        table[_slot(w, SLOTS)] += f"{OPEN}{w}{CLOSE}{ids}{CLOSE}"
+    return f"split({_quoted(NEXT.join(table))}, '{NEXT}')"
+
+
+#: The ids of a word w, empty if it isn't known; t is the array of words.
+LOOK = f"substring_index(substring_index(t[{_slot_sql('w', SLOTS)}], concat('{OPEN}', w, '{CLOSE}'), -1), '{CLOSE}', 1)"
+
+
+def _bound(expr: str, **values: str) -> str:
+    """expr with names bound to values: transform(array(x), y -> ...)[0] binds x to y."""
+    for name, value in values.items():
+        expr = f"transform(array({value}), {name} -> {expr})[0]"
+    return expr
 
 
-def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col: str = "text", out_col: str = "ids") -> DataFrame:
+def _pairs_sql(ranks: dict[bytes, int], code: _Code) -> str:
+    """A foldable expression: an array of PAIR_SLOTS strings with the pairs of ranks whose byte strings together have one, each
+    as its two characters, a bar, that of the merge, a bar; before them a bar and the character for none."""
+    found = {code((ranks[k[:i]], ranks[k[i:]])): r for k, r in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks}
+    table = [f"|{code.none}"] * PAIR_SLOTS
+    for k, r in found.items():
+        table[_slot(k, PAIR_SLOTS)] += f"{k}|{code([r])}|"
+    return f"split('{','.join(table)}', ',')"
+
+
+def _pair(key: str) -> str:
+    """The character of the merge of the two in key, or the one for none: the second after the key in its slot, or of the
+    whole slot where the key isn't found.  v is the array of pairs."""
+    return f"substring(substring_index(v[{_slot_sql(key, PAIR_SLOTS)}], {key}, -1), 2, 1)"
+
+
+class _Fold:
+    """The fold over the bytes of a word w, as SQL: the characters of its ids."""
+
+    def __init__(self, ranks: dict[bytes, int], code: _Code):
+        start = f"struct(p AS p, array_join(IF(length(p) < 2, array(), transform(sequence(1, length(p) - 1), i -> {_pair('substring(p, i, 2)')})), '') AS r)"
+        # m: the least rank of a pair, which is that of its merge; j: its place, from 1; q: what p becomes
+        left = f"IF(j > 1, concat(substring(s.r, 1, j - 2), {_pair('substring(q, j - 1, 2)')}), '')"
+        right = f"IF(j < length(q), concat({_pair('substring(q, j, 2)')}, substring(s.r, j + 2)), '')"
+        merged = _bound(f"struct(q AS p, concat({left}, {right}) AS r)", q="concat(substring(s.p, 1, j - 1), m, substring(s.p, j + 2))")
+        step = _bound(f"IF(m = '' OR m = '{code.none}', s, {_bound(merged, j='instr(s.r, m)')})", m="array_min(split(s.r, ''))")
+        # the bytes as characters, then as those of their ranks
+        names = "".join(map(chr, range(256)))
+        split = f"translate(decode(encode(w, 'UTF-8'), 'ISO-8859-1'), {_quoted(names)}, '{code(ranks[bytes([b])] for b in range(256))}')"
+        self.expr = _bound(f"aggregate(sequence(1, greatest(length(p) - 1, 1)), {start}, (s, i) -> {step}, s -> s.p)", p=split)
+        #: What expr refers to.
+        self.names = {"v": _pairs_sql(ranks, code)}
+
+
+def _whole(ranks: dict[bytes, int], code: _Code) -> dict[str, str]:
+    """The words that are ranks; byte strings that are no text never are."""
+    out = {}
+    for k, r in ranks.items():
+        try:
+            out[k.decode()] = code([r])
+        except UnicodeDecodeError:
+            continue
+    return out
+
+
+def common_words(texts: DataFrame, text_col: str, pattern: str, most: int = COMMON) -> DataFrame:
+    """(w, n): the words of all texts that take the most folding, by count and length, with their counts, ``most`` of them at most, LEAST_COMMON times each at least.
+
+    Pieces between spaces are counted first and only those that repeat are split by the pattern, so the counts of words at the
+    start of a text or beside other white space may be off; they only decide what is encoded beforehand.  Words of one
+    byte are left out.  pattern is as SQL text."""
+    piece = texts.select(F.explode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), " ")).alias("p")).groupBy("p").agg(F.count("*").alias("n")).where("n > 1")
+    words = piece.select(F.explode(F.expr(f"regexp_extract_all(concat(' ', p), '{pattern}', 0)")).alias("w"), "n")
+    words = words.where("octet_length(w) > 1").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COMMON)
+    words = materialise(words.withColumn("g", F.floor(F.log2(F.col("n") * F.octet_length("w")) * 16)), "words")
+    room, least = most, None
+    for g, n in sorted(((r["g"], r["count"]) for r in words.groupBy("g").count().collect()), reverse=True):  # 1,000 rows at most
+        if n > room:
+            break
+        room, least = room - n, g
+    return words.where(F.lit(False) if least is None else F.col("g") >= least).select("w", "n")
+
+
+def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col: str = "text", out_col: str = "ids", common: int = COMMON) -> DataFrame:
     """df with out_col, the array of token ids of each text; empty for null and empty texts.
 
     Each match of the pattern is encoded by itself; no special tokens.  A column of df named out_col is replaced, all
-    others stay.  Every single byte must have a rank.
+    others stay.  Every single byte must have a rank.  A word of n bytes takes n steps that each read up to n ranks.
+    Repeated rows and equal texts each get their ids; no rows give no rows.  Up to ``common`` words are encoded
+    beforehand, which takes a pass over the texts and changes no result; 0 for none.
     """
     if any(bytes([b]) not in ranks for b in range(256)):
         raise ValueError("every byte needs a rank")
-    (words,) = spare(df, "words_")
+    spark = df.sparkSession
     pattern = java_pattern(pattern).replace("\\", "\\\\").replace("'", "\\'")
+    code = _Code(ranks)
+    fold, known = _Fold(ranks, code), {w: ids for w, ids in _whole(ranks, code).items() if not {OPEN, CLOSE, NEXT} & set(w)}
+    if common:
+        words = common_words(df, text_col, pattern, common + len(known))
+        done = words.join(spark.createDataFrame(pa.table({"w": pa.array(list(known), pa.string())})), "w", "left_anti")
+        got = once(done, ids=F.expr(_bound(fold.expr, **fold.names))).orderBy(F.desc(F.col("n") * F.octet_length("w")), "w").limit(common).select("w", "ids").toArrow()
+        known |= {w: ids for w, ids in zip(got["w"].to_pylist(), got["ids"].to_pylist()) if not {OPEN, CLOSE, NEXT} & set(w)}
+    (words,) = spare(df, "words_")
     df = once(df, **{words: F.expr(f"regexp_extract_all(coalesce(CAST(`{text_col}` AS STRING), ''), '{pattern}', 0)")})
-    # transform(array(x), v -> ...)[0] binds x to v; t is the rank map
-    look = lambda x: f"t[CAST(pmod(xxhash64({x}), {SLOTS}L) AS INT)][hex({x})]"
-    split = "transform(sequence(1, octet_length(b)), i -> substring(b, i, 1))"
-    least = f"array_min(filter(transform(sequence(0, size(p) - 2), i -> struct({look('concat(p[i], p[i + 1])')} AS r, i AS i)), x -> x.r IS NOT NULL))"
-    merged = "concat(slice(p, 1, m.i), array(concat(p[m.i], p[m.i + 1])), slice(p, m.i + 3, size(p)))"
-    step = f"IF(s.done OR size(s.p) < 2, s, transform(array(s.p), p -> transform(array({least}), m -> IF(m IS NULL, struct(p AS p, true AS done), struct({merged} AS p, false AS done)))[0])[0])"
-    folded = f"transform(array(encode(w, 'UTF-8')), b -> aggregate(sequence(2, octet_length(b)), struct({split} AS p, false AS done), (s, i) -> {step}, s -> transform(s.p, x -> {look('x')})))[0]"
-    rank = look("encode(w, 'UTF-8')")
-    rest = f"sort_array(filter(array_distinct(`{words}`), w -> {rank} IS NULL))"
+    strange = " OR ".join(f"instr(coalesce(CAST(`{text_col}` AS STRING), ''), '{c}') > 0" for c in (OPEN, CLOSE, NEXT))
+    # g: the ids of the known words, or empty; d: the distinct other words; e: the ids of those
     half = "CAST((q.lo + q.hi) DIV 2 AS INT)"
-    bisect = f"aggregate(sequence(0, 31), struct(0 AS lo, size(d) - 1 AS hi), (q, i) -> IF(q.lo >= q.hi, q, IF(d[{half}] < w, struct({half} + 1 AS lo, q.hi AS hi), struct(q.lo AS lo, {half} AS hi))), q -> q.lo)"
+    bisect = f"aggregate(sequence(0, CAST(log2(size(d)) AS INT) + 1), struct(0 AS lo, size(d) - 1 AS hi), (q, i) -> IF(q.lo >= q.hi, q, IF(d[{half}] < w, struct({half} + 1 AS lo, q.hi AS hi), struct(q.lo AS lo, {half} AS hi))), q -> q.lo)"
     found = f"IF(size(d) > {FEW}, e[{bisect}], e[CAST(array_position(d, w) AS INT) - 1])"
-    each = f"transform(`{words}`, w -> transform(array({rank}), r -> IF(r IS NOT NULL, array(r), {found}))[0])"
-    ids = f"transform(array({_rank_sql(df.sparkSession, ranks)}), t -> transform(array({rest}), d -> transform(array(transform(d, w -> {folded})), e -> flatten({each}))[0])[0])[0]"
+    merged = _bound(f"transform(`{words}`, (w, i) -> IF(g[i] <> '', g[i], {found}))", e=f"transform(d, w -> {fold.expr})")
+    ids = _bound(f"array_join(IF(size(d) = 0, g, {merged}), '')", d=f"sort_array(array_distinct(filter(`{words}`, (w, i) -> g[i] = '')))")
+    ids = _bound(ids, g=f"transform(`{words}`, w -> {LOOK})", t=f"IF({strange}, array_repeat('{CLOSE}', {SLOTS}), {_words_sql(known)})", **fold.names)
+    ids = _bound(f"IF(p = '', CAST(array() AS ARRAY<INT>), transform(split(p, ''), x -> ascii(x) - {code.first}))", p=ids)
     return once(df, **{out_col: F.expr(ids)}).drop(words)
 
 
