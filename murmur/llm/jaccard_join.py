@@ -4,12 +4,15 @@ A token is a hashed word n-gram.  Sets of sizes n whose Jaccard similarity reach
 among the first n - ceil(t n) + 1 tokens of each, under any global order.  Here several orders are used:
 all put tokens by how common they are (counted over all documents, for the most common ones), rare ones first,
 and break ties by different hashes.  A pair is a candidate only if it shares prefix tokens under
-every order, and only candidates are verified, on their whole sets.
+every order, and only candidates are verified, on their whole sets.  The orders are taken one after the other: only
+documents that have a partner under one order send their prefixes under the next.
 
 Copies: documents with equal sets are one class, found by a hash of the set, and take part once.  Groups of
 documents that share a token are streamed in sorted order: small ones give their pairs, large ones are
 chained by size, which keeps every pair of like sizes connected.  The connected candidates are verified in
-blocks of bounded size, so near copies of one text are never spelled out as pairs.
+blocks of bounded size, so near copies of one text are never spelled out as pairs.  A component beyond one block is
+cut into bands of set sizes, so wide that documents two bands apart are never alike, and each band into blocks: a
+block meets the blocks of its own band and of the next one.  Texts travel compressed, and sets are made again from them.
 """
 
 from __future__ import annotations
@@ -33,8 +36,8 @@ COMMON = 1 << 18
 LEAST_COMMON = 8
 #: Documents that share a prefix token: up to so many give their pairs, more are chained.
 SMALL = 32
-#: Documents of one verification; a larger connected group is dealt to pairs of blocks.
-BLOCK = 2048
+#: Documents and tokens of one verification, at most, but for a single document of more.
+BLOCK, TOKENS = 1024, 1 << 20
 #: Bits of the filter on the second reading of the candidates' sets, at most.
 FILTER_BITS = 1 << 26
 
@@ -117,8 +120,9 @@ def _order(docs: DataFrame, k: int) -> Order:
     return Order(tokens[place], np.asarray(got["g"].to_pylist(), np.uint8)[place])
 
 
-def _prefixes(docs: DataFrame, k: int, t: Fraction, common) -> DataFrame:
-    """(token, cls, n): the prefix tokens of each set under each order; the order is in the token's low bits."""
+def _prefixes(docs: DataFrame, k: int, t: Fraction, common, order: int, some) -> DataFrame:
+    """(token, cls, n): the prefix tokens of each set under an order, which is in the token's low bits; of the classes in
+    the filter ``some``, a broadcast of words and bits, or of all if it is None."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -127,18 +131,33 @@ def _prefixes(docs: DataFrame, k: int, t: Fraction, common) -> DataFrame:
             for s in shingle_sets(b.column(0), k):
                 if len(s) and (c := class_of(s)) not in seen:
                     seen.add(c)
-                    grades = common.value.grades(s)
-                    for o in range(ORDERS):
-                        tokens.append((mix(_prefix(s, grades, o, t)) & ~U(7)) | U(o))
-                        names.append(c)
-                        sizes.append(len(s))
-                        many.append(len(tokens[-1]))
+                    if some is not None and not in_filter(np.array([c], np.int64).view(U), *some.value)[0]:
+                        continue
+                    tokens.append((mix(_prefix(s, common.value.grades(s), order, t)) & ~U(7)) | U(order))
+                    names.append(c)
+                    sizes.append(len(s))
+                    many.append(len(tokens[-1]))
             if tokens:
                 yield pa.record_batch([pa.array(signed(np.concatenate(tokens))), pa.array(np.repeat(np.array(names, np.int64), many)), pa.array(np.repeat(np.array(sizes, np.int32), many))], ["token", "cls", "n"])
 
     return docs.mapInArrow(emit, "token long, cls long, n int")
 
 
+def _candidates(texts: DataFrame, k: int, t: Fraction, common) -> DataFrame:
+    """(a, b): pairs of classes that share a prefix token under every order, or are neighbours in a chain."""
+    sc, some, found = texts.sparkSession.sparkContext, None, None
+    for o in range(ORDERS):
+        rows = _prefixes(texts, k, t, common, o, some).repartition("token").sortWithinPartitions("token", "n", "cls")
+        pairs = rows.mapInArrow(_partners(t), "a long, b long, orders int").groupBy("a", "b").agg(F.expr("bit_or(orders)").alias("orders"))
+        pairs = materialise(pairs, f"pairs-{o}")
+        release(texts.sparkSession)
+        if o + 1 < ORDERS:
+            some = sc.broadcast(_filter_words(pairs.select("a").union(pairs.select("b")).distinct()))
+        found = pairs if found is None else found.union(pairs)
+    found = found.groupBy("a", "b").agg(F.expr("bit_or(orders)").alias("orders"))
+    return materialise(found.where(F.col("orders") == (1 << ORDERS) - 1).select("a", "b"), "candidates")
+
+
 def _partners(t: Fraction):
     """Streams rows sorted by (token, n); gives (a, b, orders) for documents that share a token and may be alike."""
     num, den = t.numerator, t.denominator
@@ -212,22 +231,42 @@ def in_filter(x: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:
     return (words[(i >> U(6)).astype(np.int64)] >> (i & U(63))) & U(1) != 0
 
 
-def _sets_of(docs: DataFrame, k: int, words, bits: int) -> DataFrame:
-    """(cls, items): the whole sets of the classes in the filter, once a class."""
+def _texts_of(texts: DataFrame, k: int, some) -> DataFrame:
+    """(cls, size, packed): a text of each class in the filter, its bytes and their number."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in sliced(batches):
-            names, items = [], []
-            for s in shingle_sets(b.column(0), k):
-                if len(s) and (c := class_of(s)) not in seen and in_filter(np.array([c], np.int64).view(U), words.value, bits)[0]:
+            names, sizes, packed = [], [], []
+            for s, x in zip(shingle_sets(b.column(0), k), b.column(0)):
+                if len(s) and (c := class_of(s)) not in seen and in_filter(np.array([c], np.int64).view(U), *some.value)[0]:
                     seen.add(c)
+                    raw = x.as_py().encode()
                     names.append(c)
-                    items.append(s.tobytes())
+                    sizes.append(len(raw))
+                    packed.append(pa.compress(raw, codec="zstd", asbytes=True))
             if names:
-                yield pa.record_batch([pa.array(names, pa.int64()), pa.array(items, pa.binary())], ["cls", "items"])
+                yield pa.record_batch([pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())], ["cls", "size", "packed"])
 
-    return docs.mapInArrow(emit, "cls long, items binary").groupBy("cls").agg(F.any_value("items").alias("items"))
+    rows = texts.mapInArrow(emit, "cls long, size int, packed binary")
+    return rows.groupBy("cls").agg(F.any_value(F.struct("size", "packed")).alias("x")).select("cls", "x.size", "x.packed")
+
+
+def _dealt(groups: DataFrame, weights: DataFrame, t: Fraction) -> DataFrame:
+    """(comp, i, j, own, cls, weight): each class of a component once for each pair (i, j) of blocks that it takes part in;
+    own is its block."""
+    width = max(math.log(1 / t), 0.01) * (1 + 1e-9)
+    members = groups.join(weights.select(F.col("cls").alias("node"), "weight", "n"), "node").withColumn("band", F.floor(F.log("n") / width).cast("int"))
+    bands = members.groupBy("comp", "band").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
+    parts = F.ceil(F.greatest(F.col("docs") * 2 / BLOCK, F.col("tokens") * 2 / TOKENS)).cast("int").alias("parts")
+    layout = bands.groupBy("comp").agg(((F.sum("docs") <= BLOCK) & (F.sum("tokens") <= TOKENS)).alias("one"), F.map_from_entries(F.collect_list(F.struct("band", parts))).alias("parts"))  # some 1,000 bands at most
+    members = members.join(layout, "comp").withColumn("side", F.when(F.col("one"), 0).otherwise(F.pmod(F.xxhash64("node"), F.col("parts")[F.col("band")])).cast("long"))
+    block = lambda band, side: F.shiftleft(F.lit(band).cast("long"), 32) + side
+    own = F.when(F.col("one"), F.lit(0).cast("long")).otherwise(block(F.col("band"), F.col("side")))
+    near = F.filter(F.array(*[F.col("band") + d for d in (-1, 0, 1)]), lambda b: F.col("parts")[b].isNotNull())
+    others = F.flatten(F.transform(near, lambda b: F.transform(F.sequence(F.lit(0), F.col("parts")[b] - 1), lambda s: block(b, s))))
+    members = members.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("one"), F.array("own")).otherwise(others)))
+    return members.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("node").alias("cls"), "weight")
 
 
 def _shared(parts: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -250,17 +289,19 @@ def _shared(parts: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
     return out
 
 
-def _verifier(t: Fraction, common):
+def _verifier(k: int, t: Fraction, common):
     num, den = t.numerator, t.denominator
 
     def verify(group: pa.Table) -> pa.Table:
         cls = np.asarray(group["cls"].combine_chunks())
-        side = np.asarray(group["side"].combine_chunks())
+        own = np.asarray(group["own"].combine_chunks())
         weight = np.asarray(group["weight"].combine_chunks()).astype(np.float64)
-        sets = [np.frombuffer(x, U) for x in group["items"].to_pylist()]
+        texts = [pa.decompress(x, n, "zstd").to_pybytes().decode() for x, n in zip(group["packed"].to_pylist(), group["size"].to_pylist())]
+        sets = shingle_sets(pa.array(texts, pa.string()), k)
+        del texts
         i, j = int(group["i"][0].as_py()), int(group["j"][0].as_py())
         every = np.arange(len(sets))
-        left, right = (every, every) if i == j else (every[side == i], every[side == j])
+        left, right = (every, every) if i == j else (every[own == i], every[own == j])
         if not len(left) or not len(right):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "links": pa.array([], pa.float64())})
         candidate = np.ones((len(left), len(right)), bool)
@@ -328,23 +369,12 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     described = materialise(source.mapInArrow(describe, f"id {id_type}, cls long, n long"), "sets")
     texts = source.select("text")
     common = sc.broadcast(_order(texts, k))
-    rows = _prefixes(texts, k, t, common).repartition("token").sortWithinPartitions("token", "n", "cls")
-    pairs = rows.mapInArrow(_partners(t), "a long, b long, orders int")
-    pairs = pairs.groupBy("a", "b").agg(F.expr("bit_or(orders)").alias("orders")).where(F.col("orders") == (1 << ORDERS) - 1)
-    candidates = materialise(pairs.select("a", "b"), "candidates")
-    release(spark)
-    groups = materialise(connected_components(candidates), "groups")
-    words, bits = _filter_words(groups.select("node"))
-    sets = _sets_of(texts, k, sc.broadcast(words), bits)
-    weights = described.where("cls IS NOT NULL").groupBy("cls").agg(F.count("*").alias("weight"), F.min("id").alias("least"))
+    groups = materialise(connected_components(_candidates(texts, k, t, common)), "groups")
+    packed = _texts_of(texts, k, sc.broadcast(_filter_words(groups.select("node"))))
+    weights = described.where("cls IS NOT NULL").groupBy("cls").agg(F.count("*").alias("weight"), F.min("id").alias("least"), F.max("n").alias("n"))
     weights = materialise(weights, "classes")
-    sizes = groups.groupBy("comp").agg(F.ceil(F.count("*") * 2 / BLOCK).alias("parts"))
-    sizes = sizes.withColumn("parts", F.when(F.col("parts") <= 2, 1).otherwise(F.col("parts")))
-    members = groups.join(sizes, "comp").join(weights.select(F.col("cls").alias("c"), "weight"), F.col("node") == F.col("c"))
-    members = members.withColumn("side", F.pmod(F.xxhash64("node"), "parts").cast("int")).select("comp", F.col("node").alias("cls"), "side", "weight", "parts")
-    dealt = members.join(sets, "cls").withColumn("j_", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
-    dealt = dealt.select("comp", F.least("side", "j_").alias("i"), F.greatest("side", "j_").alias("j"), "side", "cls", "weight", "items")
-    found = materialise(dealt.groupBy("comp", "i", "j").applyInArrow(_verifier(t, common), "a long, b long, links double"), "links")
+    dealt = _dealt(groups, weights, t).join(packed, "cls")
+    found = materialise(dealt.groupBy("comp", "i", "j").applyInArrow(_verifier(k, t, common), "a long, b long, links double"), "links")
     release(spark)
     comps = connected_components(found.where("b IS NOT NULL"))
     links = found.where("b IS NULL").groupBy("a").agg(F.sum("links").cast("long").alias("others"))
