@@ -31,15 +31,15 @@ def _random(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(seed))
 
 
-_BYTE = _random(256, 11) | U(1)
-_weights = _random(4096, 23) | U(1)
+#: Tables of two hash functions of bytes that share nothing.
+_BYTE = [_random(256, 11) | U(1), _random(256, 12) | U(1)]
+_weights = [_random(4096, 23) | U(1), _random(4096, 24) | U(1)]
 
 
-def _weight(n: int) -> np.ndarray:
-    global _weights
-    if n > len(_weights):
-        _weights = _random(2 * n, 23) | U(1)
-    return _weights
+def _weight(n: int, which: int) -> np.ndarray:
+    if n > len(_weights[which]):
+        _weights[which] = _random(2 * n, 23 + which) | U(1)
+    return _weights[which]
 
 
 def byte_table(space: bool = True) -> np.ndarray:
@@ -94,10 +94,10 @@ def spans(text: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD) -> It
         at = to
 
 
-def hashes(text: np.ndarray, offsets: np.ndarray, fold: np.ndarray | None = LOWER, table: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray]:
+def hashes(text: np.ndarray, offsets: np.ndarray, fold: np.ndarray | None = LOWER, table: np.ndarray = WORD, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word in order, and the row offsets among words.
 
-    fold maps bytes before hashing (LOWER lower-cases A-Z; None leaves them)."""
+    fold maps bytes before hashing (LOWER lower-cases A-Z; None leaves them); which, 0 or 1, is the hash function."""
     parts, starts = [], []
     for s, e in spans(text, offsets, table):
         if not len(s):
@@ -108,7 +108,7 @@ def hashes(text: np.ndarray, offsets: np.ndarray, fold: np.ndarray | None = LOWE
         codes = text[np.repeat(s, size) + at]
         if fold is not None:
             codes = fold[codes]
-        value = _BYTE[codes] * _weight(int(size.max()))[at]
+        value = _BYTE[which][codes] * _weight(int(size.max()), which)[at]
         parts.append(mix(np.add.reduceat(value, before) + size.astype(U)))
         starts.append(s)
     if not parts:

@@ -7,8 +7,11 @@ that repeats is kept with its source coordinates, and along each document consec
 count, which is what a path without branches has (but not it alone), compact into one span.  Spans are joined back to their
 documents by those coordinates, and there the words that they cover are cut out.
 
-A window is told by 96 bits, two hashes made from the same 64-bit hashes of its words; windows that agree in them are
-taken as equal, and their words are never compared.
+A window is told by 95 bits, 64 of a hash of its words and 31 of another; the two come from hash functions of bytes that
+share nothing, so words that collide in one do not in the other.  Windows that agree in both are taken as equal.
+
+Only documents that may have a span, by a filter of bounded size, are sent to meet their spans; the others stay where
+they are.
 """
 
 from __future__ import annotations
@@ -96,7 +99,8 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             at = np.flatnonzero(inside & in_filter(name, filter_words.value, bits)) if len(name) else np.zeros(0, np.int64)
             if not len(at):
                 continue
-            one, two = windows(h, k, seed=1)[at], windows(h, k, seed=2)[at]
+            other, _ = hashes(*buffers(b.column(2)), fold=None, which=1)
+            one, two = windows(h, k, seed=1)[at], windows(other, k, seed=2)[at]
             row = np.searchsorted(rows, at, side="right") - 1
             place = np.argsort(one, kind="stable")
             first = np.flatnonzero(np.r_[True, one[place][1:] != one[place][:-1]])
@@ -153,10 +157,18 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     spans = repeated_spans(docs, id_col=id_col, text_col=text_col, k=k)
     out = ["n_words", "n_removed", "kept", "kept_sha256"]
     base = docs.drop(*[c for c in docs.columns if c.lower() in out])
-    k1, k2, sp, res = spare(base, "key1_", "key2_", "spans_", "res_")
+    k1, k2, sp, res, maybe = spare(base, "key1_", "key2_", "spans_", "res_", "maybe_")
     spans = spans.select(F.col("key1").alias(k1 + "s"), F.col("key2").alias(k2 + "s"), F.transform("spans", lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"))).alias(sp))
     df = docs.select(*base.columns).withColumn(k1, F.xxhash64(F.col(id_col))).withColumn(k2, F.xxhash64(F.col(text_col).cast("string")))
-    df = df.join(spans, (df[k1] == spans[k1 + "s"]) & (df[k2] == spans[k2 + "s"]), "left").drop(k1, k2, k1 + "s", k2 + "s")
+    some = docs.sparkSession.sparkContext.broadcast(_filter_words(spans.select(k1 + "s")))
+
+    @F.arrow_udf("boolean")
+    def may(keys: pa.Array) -> pa.Array:
+        return pa.array(in_filter(np.asarray(keys).view(U), *some.value))
+
+    df = df.withColumn(maybe, may(F.col(k1)))
+    met = df.where(maybe).join(spans.hint("merge"), (df[k1] == spans[k1 + "s"]) & (df[k2] == spans[k2 + "s"]), "left").select(*base.columns, sp)
+    df = met.unionByName(df.where(~F.col(maybe)).select(*base.columns, F.lit(None).cast(spans.schema[sp].dataType).alias(sp)))
 
     @F.arrow_udf("struct<n_words: long, n_removed: long, kept: string, kept_sha256: string>")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
