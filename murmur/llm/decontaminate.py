@@ -3,11 +3,16 @@
 Everything is a built-in Spark expression.  The words of a document are hashed once; each window of
 ``n`` words is the hash of its word hashes, looked up in a literal set; hits are verified by their
 words.  An item of fewer words than ``n`` is one window of its own length, so each such length that the
-benchmark has costs one more pass over the word hashes.
+benchmark has costs one more pass over the word hashes.  The items of a hit come from a literal map of the windows.
+
+A benchmark of more than MAX_LITERAL windows is a broadcast table of hashes instead, up to MAX_BROADCAST of them: only
+the hashes of document windows meet it, only hits are shuffled, and they are verified by their words in the same way.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +20,11 @@ from murmur.llm._common import once, spare
 
 #: What separates words: every ASCII character but digits and lower-case letters, after lower-casing.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Above so many distinct windows the set is not a literal: the windows are then joined by their hash.
+#: Above so many windows the set is not a literal: the windows are then joined by their hash.
 MAX_LITERAL = 200_000
+#: Up to so many windows the join broadcasts them (some 200 MB); beyond, Spark chooses.
+MAX_BROADCAST = 2_000_000
+SLOTS = 1 << 14
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -58,15 +66,16 @@ def _hits(df: DataFrame, windows: DataFrame, text_col: str, win_col: str) -> Dat
             parts.append(f"filter({shown}, s -> s.window IN ({','.join(texts)}))")
         # the word hashes are bound once for all windows of the row
         return once(df, **{win_col: F.expr(f"transform(array(transform(`{w_col}`, x -> xxhash64(x))), h -> concat({', '.join(parts)}))[0]")}).drop(w_col)
-    # beyond the bound of a literal: every document window joins the windows, documents meet again by their text
-    (key,) = spare(df, "text_key_")
+    # beyond the bound of a literal: hashes of document windows join those of the benchmark; hits meet their text again
+    key, k, found = spare(df, "text_key_", "key_", "found_")
     df = df.withColumn(key, F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
-    each = ", ".join(f"transform({at[k].replace('size(h)', f'size(`{w_col}`)')}, i -> struct(i AS at, {k} AS len, array_join(slice(`{w_col}`, i, {k}), ' ') AS window))" for k in sorted(per_len))
-    rows = df.select(F.col(key).alias("k"), F.explode(F.expr(f"concat({each})")).alias("s")).select("k", "s.*")
-    rows = rows.join(windows.select("len", "window"), ["len", "window"], "left_semi").distinct()
-    rows = rows.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("at", "len", "window"))).alias("s"))
-    df = df.join(rows, df[key] == rows["k"], "left")
-    return df.withColumn(win_col, F.coalesce("s", F.expr(none))).drop(key, "k", "s", w_col)
+    each = ", ".join(f"transform({at[n]}, i -> struct(i AS at, {n} AS len, xxhash64(slice(h, i, {n})) AS h))" for n in sorted(per_len))
+    rows = df.select(F.col(key).alias("k"), F.explode(F.expr(f"transform(array(transform(`{w_col}`, x -> xxhash64(x))), h -> concat({each}))[0]")).alias("s")).select("k", "s.*")
+    rows = rows.join(F.broadcast(windows) if sum(per_len.values()) <= MAX_BROADCAST else windows, ["len", "h"]).select("k", "at", "len", "window").distinct()
+    rows = rows.groupBy(F.col("k").alias(k)).agg(F.array_sort(F.collect_list(F.struct("at", "len", "window"))).alias(found))
+    df = df.join(rows, df[key] == rows[k], "left")
+    real = F.expr(f"filter(`{found}`, s -> s.window = array_join(slice(`{w_col}`, s.at, s.len), ' '))")
+    return df.withColumn(win_col, F.coalesce(real, F.expr(none))).drop(key, k, found, w_col)
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 10) -> DataFrame:
@@ -87,16 +96,26 @@ def mark(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 10) -> DataFrame:
     """What mark() gives, with the items of the hits: n_items (long) and items (their ids as strings, sorted).
 
-    Null item ids are no item, though their windows hit.  Only documents with hits are joined with the items,
-    by their id and the digest of their hits; the others meet that result in a left join.
+    Null item ids are no item, though their windows hit.  Up to MAX_LITERAL pairs of window and item the items are looked
+    up in a literal; beyond, those of documents with hits are joined by the digest of their hits, and documents without
+    hits have a key each, so that they don't meet in one task.
     """
     df = mark(docs, benchmark, text_col=text_col, item_col=item_col, item_text_col=item_text_col, n=n)
     df = df.drop(*[c for c in df.columns if c.lower() in ("n_items", "items")])
-    (key,) = spare(df, "hits_key_")
-    df = df.withColumn(key, F.when(F.size("hits") > 0, F.sha2(F.array_join(F.array_sort(F.array_distinct("hits.window")), "\n"), 256)))
-    hit = df.where(F.size("hits") > 0).select(F.col(key).alias("k"), F.explode(F.array_distinct("hits.window")).alias("window")).distinct()
-    windows = _item_windows(benchmark, item_col, item_text_col, n).select("window", "item")
-    found = hit.join(windows, "window").groupBy("k").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    joined = df.join(found, df[key] == found["k"], "left").drop(key, "k")
-    items = F.coalesce(F.col("items"), F.expr("CAST(array() AS array<string>)"))
-    return joined.withColumn("items", items).withColumn("n_items", F.size("items").cast("long"))
+    none = F.expr("CAST(array() AS array<string>)")
+    windows = _item_windows(benchmark, item_col, item_text_col, n).where("item IS NOT NULL").select("window", "item", F.expr(f"hash(window) & {SLOTS - 1}").alias("slot")).distinct()
+    if windows.count() <= MAX_LITERAL:
+        table: list[dict[str, list[str]]] = [{} for _ in range(SLOTS)]
+        for r in windows.collect():  # MAX_LITERAL rows at most
+            table[r["slot"]].setdefault(r["window"], []).append(r["item"])
+        text = json.dumps(table, separators=(",", ":")).replace("\\", "\\\\").replace("'", "\\'")
+        look = f"transform(array(from_json('{text}', 'array<map<string, array<string>>>')), t -> array_sort(array_distinct(flatten(transform(array_distinct(hits.window), w -> coalesce(t[hash(w) & {SLOTS - 1}][w], CAST(array() AS array<string>)))))))[0]"
+        df = df.withColumn("items", F.when(F.size("hits") > 0, F.expr(look)).otherwise(none))
+    else:
+        key, k, window, found = spare(df, "hits_key_", "key_", "window_", "found_")
+        digest = F.sha2(F.array_join(F.array_sort(F.array_distinct("hits.window")), "\n"), 256)
+        df = df.withColumn(key, F.when(F.size("hits") > 0, digest).otherwise(F.concat(F.lit("clean "), F.xxhash64(id_col, text_col).cast("string"))))
+        hit = df.where(F.size("hits") > 0).select(F.col(key).alias(k), F.explode(F.array_distinct("hits.window")).alias(window)).distinct()
+        items = hit.join(windows, hit[window] == windows["window"]).groupBy(k).agg(F.array_sort(F.collect_set("item")).alias(found))
+        df = df.join(items, df[key] == items[k], "left").withColumn("items", F.coalesce(F.col(found), none)).drop(key, k, found)
+    return df.withColumn("n_items", F.size("items").cast("long"))
