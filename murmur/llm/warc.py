@@ -55,37 +55,41 @@ def parse(data: bytes) -> dict:
     return {"page_id": name("WARC-Record-ID"), "url": head["WARC-Target-URI"], "payload": payload, "payload_bytes": int(http["Content-Length"]), "payload_digest": digest, "record_type": head["WARC-Type"], "refers_to": name("WARC-Refers-To") if "WARC-Refers-To" in head else None}
 
 
-def _records(stream) -> Iterator[bytes]:
-    """The records of a gzip stream of any number of members, inflated once in bounded pieces."""
-    inflate, held = zlib.decompressobj(31), b""
-    need = -1
-    while True:
-        raw = stream.read(CHUNK)
-        parts = []
+def _inflated(stream) -> Iterator[bytes]:
+    """The bytes of a gzip stream of any number of members, inflated once in pieces of CHUNK bytes at most."""
+    inflate = zlib.decompressobj(31)
+    while raw := stream.read(CHUNK):
         while raw:
-            parts.append(inflate.decompress(raw))
-            raw = inflate.unused_data
+            yield inflate.decompress(raw, CHUNK)
+            raw = inflate.unconsumed_tail
             if inflate.eof:
+                raw = inflate.unused_data
                 inflate = zlib.decompressobj(31)
-        ended = not parts
-        held += b"".join(parts)
-        at = 0
+        # what the decompressor holds back comes without further input
+        while piece := inflate.decompress(b"", CHUNK):
+            yield piece
+
+
+def _records(stream) -> Iterator[bytes]:
+    """The records of a gzip stream; a record is held whole, and no more than one and a piece."""
+    held, seen, need = bytearray(), 0, -1
+    for piece in _inflated(stream):
+        held += piece
         while True:
             if need < 0:
-                end = held.find(b"\r\n\r\n", at)
+                end = held.find(b"\r\n\r\n", max(0, seen - 3))
                 if end < 0:
+                    seen = len(held)
                     break
-                size = next(int(x[15:]) for x in held[at:end].split(b"\r\n") if x.lower().startswith(b"content-length:"))
-                need = end + 4 - at + size + 4
-            if len(held) - at < need:
+                size = next(int(x[15:]) for x in bytes(held[:end]).split(b"\r\n") if x.lower().startswith(b"content-length:"))
+                need = end + 4 + size + 4
+            if len(held) < need:
                 break
-            yield held[at : at + need]
-            at, need = at + need, -1
-        held = held[at:]
-        if ended:
-            if held.strip():
-                raise ValueError("the archive ends within a record")
-            return
+            yield bytes(held[:need])
+            del held[:need]
+            seen, need = 0, -1
+    if held.strip():
+        raise ValueError("the archive ends within a record")
 
 
 def normalise(files: fs.FileSystem, source: str, target: str) -> list[tuple[int, int]]:
@@ -120,8 +124,12 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     rows = rows.withColumn("digest", F.sha2("html", 256)).withColumn("n", F.octet_length("html").cast("long"))
     # payloads take part by their digests; only the digests that repeat are joined back
     first = rows.where(F.col("n") >= LEAST_SHARED).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("many")).where("many > 1").select(F.col("digest").alias("d"), "first")
-    rows = rows.join(first, F.col("digest") == F.col("d"), "left")
+    # payloads don't take part: the ids of a digest meet its first, and then each row its own result, by id and digest
     revisit = F.coalesce(F.col("first") != F.col("id"), F.col("first").isNotNull() & F.col("id").isNull())
+    again = rows.where(F.col("n") >= LEAST_SHARED).select("id", "digest").join(first, F.col("digest") == F.col("d")).where(revisit)
+    again = again.select(F.col("id").alias("i"), "d", "first").distinct()
+    rows = rows.join(again, F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")), "left")
+    revisit = F.col("first").isNotNull()
     rows = rows.select("id", "url", F.when(~revisit, F.col("html")).alias("html"), "n", "digest", F.when(revisit, F.col("first")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
