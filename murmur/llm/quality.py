@@ -55,8 +55,12 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _per_row(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(x)])
-    return total[rows[1:]] - total[rows[:-1]]
+    """The sum of each row, which other rows don't change in the last digit."""
+    out = np.zeros(len(rows) - 1)
+    some = rows[1:] > rows[:-1]
+    if some.any():
+        out[some] = np.add.reduceat(x, rows[:-1][some])
+    return out
 
 
 class Weights:
@@ -74,9 +78,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """
     spark = docs.sparkSession
     ship(spark)
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("q"))
-    rows = known.orderBy(F.xxhash64(id_col), id_col).limit(labelled).toArrow()
-    marks = dict(zip(rows[id_col].to_pylist(), [int(q) for q in rows["q"].to_pylist()]))
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("q"))
+    rows = known.orderBy(F.xxhash64("id"), "id").limit(labelled).toArrow()
+    marks = dict(zip(rows["id"].to_pylist(), [int(q) for q in rows["q"].to_pylist()]))
     marks_b = spark.sparkContext.broadcast(marks)
     source = docs.select(F.col(id_col), F.col(text_col).cast("string"))
 
@@ -103,8 +107,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     ratio = np.log((good + extra * prior) / (good.sum() + extra)) - np.log(prior)
     fitted = Weights(ratio, -math.inf)
     ids = sorted(marks)
-    keep = F.broadcast(spark.createDataFrame([(i, marks[i]) for i in ids], f"id {dict(source.dtypes)[id_col]}, q int"))  # LABELLED rows at most
-    scored = weigh(docs.join(keep, docs[id_col] == keep["id"]).select(text_col, "q"), fitted, text_col=text_col, out_col="w").select("q", "w").toArrow()
+    keep = F.broadcast(spark.createDataFrame([(i, marks[i]) for i in ids], f"i {dict(source.dtypes)[id_col]}, q int"))  # LABELLED rows at most
+    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    scored = weigh(text.join(keep, text["id"] == keep["i"]).select("i", "text", "q"), fitted, text_col="text", out_col="w")
+    scored = scored.groupBy("i").agg(F.min("q").alias("q"), F.min("w").alias("w")).toArrow()  # a row for each labelled id at most
     q, w = np.asarray(scored["q"]), np.asarray(scored["w"])
     yes, no = np.sort(w[q > 0]), np.sort(w[q <= 0])
     if not len(no):
@@ -115,7 +121,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def weigh(df: DataFrame, weights: Weights, *, text_col: str = "text", out_col: str = "log_weight") -> DataFrame:
-    """df with the log importance weight of each text; 0 for null, empty and blank texts."""
+    """df with the log importance weight of each text: the log ratio of the two models a feature, times LENGTH, that is the
+    log ratio of the whole text tempered to a text of LENGTH features, so that long texts are not weighed beyond all noise
+    and short ones not below it.  0 for null, empty and blank texts."""
     ship(df.sparkSession)
     ratio = df.sparkSession.sparkContext.broadcast(weights.ratio)
 
