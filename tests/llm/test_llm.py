@@ -63,7 +63,7 @@ def test_byte_bpe_round_trip(spark):
 
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    texts = ODD + ["it's  \n\n  　y  !'ll ''s  ", "\U0001f600 naïve\t\t1234 ", "a" * 200, " ".join(f"zq{i}xv" for i in range(400)), "same same same"]
+    texts = ODD + ["it's  \n\n  　y  !'ll ''s  ", "\U0001f600 naïve\t\t1234 ", "a" * 200, " ".join(f"zq{i}xv" for i in range(400)), "same same same", "odd \ufdd0 zq\ufdd1 \ufdd2\ufdd0a\ufdd1 the", "\uffff \ue000 the"]
     df = byte_bpe.decode(byte_bpe.encode(frame(spark, list(enumerate(texts)), True).repartition(4), ranks, public_tokenizers.PATTERN), ranks)
     for r in df.select("doc_id", "text", "ids", "decoded").collect():
         assert r.ids == enc.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
@@ -118,8 +118,10 @@ def test_jaccard_against_brute_force(spark):
     assert jaccard_join.jaccard_components(frame(spark, [])).count() == 0
 
 
-def test_large_groups_and_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("tokens", [1 << 20, 200])
+def test_large_groups_and_blocks(spark, monkeypatch, tokens):
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "TOKENS", tokens)
     monkeypatch.setattr(jaccard_join, "SMALL", 4)
     r = random.Random(4)
     base = [f"v{i}" for i in range(60)]
@@ -368,3 +370,16 @@ def test_pipeline_stages(spark, tmp_path):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
     kept = {r.doc_id for r in spark.read.parquet(str(tmp_path / "0")).collect()}
     assert all(labels[i] for i in kept if i in labels)
+
+
+def test_bpe_of_many_ranks_and_a_long_word(spark):
+    import tiktoken
+
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    high = {k: r + 100_000 for k, r in ranks.items()}
+    texts = ["Ünï çödé 漢字 words", "x" * 3000, "zqxv" * 500, None]
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {r.doc_id: r.ids for r in byte_bpe.encode(frame(spark, list(enumerate(texts))), high, public_tokenizers.PATTERN, common=0).collect()}
+    assert got == {i: [x + 100_000 for x in enc.encode_ordinary(t or "")] for i, t in enumerate(texts)}
+    words = frame(spark, [(i, " zq1xv  repeated-junkword") for i in range(20)])
+    assert {r.w for r in byte_bpe.common_words(words, "text", byte_bpe.java_pattern(public_tokenizers.PATTERN).replace("\\", "\\\\").replace("'", "\\'")).collect()} >= {" zq", " repeated"}
