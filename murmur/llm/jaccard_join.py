@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmur.llm._common import materialise, release, ship, spare
-from murmur.llm._words import U, buffers, hashes, mix, signed, windows
+from murmur.llm._words import U, buffers, hashes, mix, signed, sliced, windows
 from murmur.llm.components import connected_components
 
 ORDERS = 2
@@ -37,18 +37,13 @@ LEAST_COMMON = 8
 #: Documents that share a prefix token: up to so many give their pairs, more are chained.
 SMALL = 32
 #: Documents and tokens of one verification, at most, but for a single document of more.
-BLOCK, TOKENS = 1024, 1 << 20
+BLOCK, TOKENS = 1024, 1 << 21
+#: Ids to drop that are broadcast, at most (some 64 MB); beyond, the rows are shuffled by id.
+MAX_BROADCAST = 1_000_000
 #: Bits of the filter on the second reading of the candidates' sets, at most.
 FILTER_BITS = 1 << 26
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of a few rows, which bounds what a task holds at a time."""
-    for b in batches:
-        for at in range(0, len(b), rows):
-            yield b.slice(at, rows)
-
-
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text: k consecutive words, or all words if there are fewer."""
     h, rows = hashes(*buffers(texts))
@@ -391,5 +386,5 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Rows whose id is null stay as well."""
     kept = jaccard_components(docs, id_col=id_col, text_col=text_col, k=k, threshold=threshold)
     (gone,) = spare(docs, "gone_")
-    drop = kept.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct()
-    return docs.join(drop, docs[id_col] == drop[gone], "left_anti")
+    drop = materialise(kept.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct(), "dropped")
+    return docs.join(F.broadcast(drop) if drop.count() <= MAX_BROADCAST else drop, docs[id_col] == drop[gone], "left_anti")

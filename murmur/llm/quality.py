@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmur.llm._common import materialise, ship
-from murmur.llm._words import U, buffers, hashes, mix, spans
+from murmur.llm._words import U, buffers, hashes, mix, sliced, spans
 
 #: Buckets of each of the three kinds: few, so that each is well known from few labelled documents.
 RANGE = 1 << 12
@@ -86,7 +86,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, good, bad = (np.zeros(BUCKETS, np.int64) for _ in range(3))
-        for b in batches:
+        for b in sliced(batches):
             f, rows = features(b.column(1))
             raw += np.bincount(f, minlength=BUCKETS)
             for i, d in enumerate(b.column(0).to_pylist()):
@@ -129,9 +129,12 @@ def weigh(df: DataFrame, weights: Weights, *, text_col: str = "text", out_col: s
 
     @F.arrow_udf("double")
     def weight(texts: pa.Array) -> pa.Array:
-        f, rows = features(texts)
-        n = np.diff(rows)
-        return pa.array(np.where(n > 0, _per_row(ratio.value[f], rows) / np.maximum(n, 1) * LENGTH, 0.0))
+        out = [np.zeros(0)]
+        for at in range(0, len(texts), 2000):
+            f, rows = features(texts.slice(at, 2000))
+            n = np.diff(rows)
+            out.append(np.where(n > 0, _per_row(ratio.value[f], rows) / np.maximum(n, 1) * LENGTH, 0.0))
+        return pa.array(np.concatenate(out))
 
     return df.withColumn(out_col, weight(F.col(text_col).cast("string")))
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.llm._common import materialise, release, ship, spare
-from murmur.llm._words import U, buffers, hashes, mix, signed, windows
+from murmur.llm._words import U, buffers, hashes, mix, signed, sliced, windows
 from murmur.llm.jaccard_join import _filter_words, in_filter
 
 
@@ -81,7 +81,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     source = docs.select(F.xxhash64(F.col(id_col)).alias("key1"), F.xxhash64(F.col(text_col).cast("string")).alias("key2"), F.col(text_col).cast("string").alias("text"))
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 5000):
             _, _, inside, name, grams = _repeats(b.column(0), k)
             x, n = np.unique(_chosen(inside, name, grams), return_counts=True)
             yield pa.record_batch([pa.array(signed(x)), pa.array(n.astype(np.int32))], ["name", "n"])
@@ -94,7 +94,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each edge once a batch, with its count there; an edge that repeats within the batch is known to be one:
         its places come as rows of their own without an edge."""
-        for b in batches:
+        for b in sliced(batches, 5000):
             h, rows, inside, name, _ = _repeats(b.column(2), k)
             at = np.flatnonzero(inside & in_filter(name, filter_words.value, bits)) if len(name) else np.zeros(0, np.int64)
             if not len(at):
