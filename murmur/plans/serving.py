@@ -123,3 +123,34 @@ def ok(data: Any, **meta: Any) -> dict:
 
 def fail(code: str, message: str, **meta: Any) -> dict:
     return {"success": False, "data": None, "error": {"code": code, "message": message}, "meta": meta or None}
+
+
+def replay(events: DataFrame, id_: str) -> DataFrame:
+    """(event_id, status, audio_path): 200 with the path, 404 where there is no such event, 410 where it has no sound.
+    Whether the file is still there is for whoever opens it."""
+    asked = events.sparkSession.range(1).select(F.lit(id_).alias("event_id"))
+    one = events.where(F.col("event_id") == id_).select(F.lit(True).alias("_found"), F.nullif("audio_path", F.lit("")).alias("audio_path")).limit(1)
+    status = F.when(F.col("_found").isNull(), 404).when(F.col("audio_path").isNull(), 410).otherwise(200)
+    return asked.join(one, F.lit(True), "left").select("event_id", status.alias("status"), "audio_path")  # one row each
+
+
+def places(locations: DataFrame) -> DataFrame:
+    """All locations in the order of their ids."""
+    return locations.orderBy("location_id")
+
+
+def latest_numbers(events: DataFrame) -> DataFrame:
+    """(day, number): the greatest number in the event ids of each day (yyyyMMdd), by which ingest goes on; ids of another
+    form take no part."""
+    ids = events.where(F.col("event_id").rlike("^EVT_[0-9]{8}_[0-9]{6}$"))
+    return ids.groupBy(F.substring("event_id", 5, 8).alias("day")).agg(F.max(F.substring("event_id", 14, 6).cast("int")).alias("number"))
+
+
+def health(spark, inference: bool) -> dict:
+    """Healthy if the engine answers, degraded if not; whether models answer is shown and decides nothing."""
+    try:
+        spark.range(1).count()
+        engine = "ok"
+    except Exception as e:  # noqa: BLE001 - any failure is what this reports
+        engine = f"error: {type(e).__name__}"
+    return ok({"status": "healthy" if engine == "ok" else "degraded", "checks": {"database": engine, "inference": "ok" if inference else "not ready"}})
