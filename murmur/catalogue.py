@@ -193,13 +193,13 @@ def interval_union(spark, d):
   FROM (SELECT user_id, count(*) AS n, sum(greatest(0, e - s))::BIGINT AS total, max(e) - min(s) AS span FROM {_I} GROUP BY user_id) a
   LEFT JOIN (SELECT user_id, sum(greatest(0, e - greatest(s, coalesce(reach, s))))::BIGINT AS covered FROM {_ISL} GROUP BY user_id) c ON a.user_id = c.user_id""")
 def interval_coverage(spark, d):
-    return intervals.coverage(spans(spark, d), ["user_id"])
+    return intervals.coverage(spans(spark, d), ["user_id"], bucket=24 * HOUR)
 
 
 @query(f"""SELECT user_id, gap_start, gap_end FROM (SELECT user_id, max(e) AS gap_end0, max(e) AS gap_start, lead(min(s)) OVER (PARTITION BY user_id ORDER BY min(s)) AS gap_end
   FROM (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM {_ISL}) GROUP BY user_id, g) WHERE gap_end IS NOT NULL""")
 def interval_gaps(spark, d):
-    return intervals.gaps(spans(spark, d), ["user_id"])
+    return intervals.gaps(spans(spark, d), ["user_id"], bucket=24 * HOUR)
 
 
 @query(f"SELECT a.user_id, a.event_id AS a_id, b.event_id AS b_id FROM {_I} a JOIN {_I} b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.s < b.e AND b.s < a.e")

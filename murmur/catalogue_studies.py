@@ -189,3 +189,18 @@ def vector_scalars(spark, d):
     t = S.tiled(S.checked_vector("embedding", 64), 150)
     return e.select("vec_id", S.rounded(F.col("embedding").isNotNull().cast("int") * S.l2_normalised("embedding")[0], 6).alias("x"), F.size(t).alias("n"), (t[149] == F.col("embedding")[21]).alias("again"))
 
+
+
+@query("""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(left(text, 200)), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split_regex(lower(right(text, 200)), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')) AS b FROM documents)
+  SELECT doc_id, floor(len(list_intersect(a, b))::DOUBLE / nullif(len(list_distinct(list_concat(a, b))), 0) * 1e8 + 0.5) / 1e8 AS jaccard FROM w""")
+def opening_and_end(spark, d):
+    """How alike the first and the last 200 characters of each document are."""
+    t = table(spark, d, "documents").select("doc_id", F.left("text", F.lit(200)).alias("a"), F.right("text", F.lit(200)).alias("b"))
+    return t.select("doc_id", S.rounded(S.token_jaccard("a", "b"), 8).alias("jaccard"))
+
+
+@query("""SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) >= 0 AS seen FROM customer""")
+def random_split_share(spark, d):
+    c = provenance.random_split(table(spark, d, "customer").select("c_custkey"), "c_custkey", 0.1, 7)
+    n = c.agg(F.count_if("validation").alias("m"), F.count("*").alias("n"))
+    return c.join(F.broadcast(n), F.lit(True)).select("c_custkey", (F.col("m") == F.greatest(F.lit(1), F.bround(F.col("n") * 0.1))).alias("seen"))

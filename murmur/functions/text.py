@@ -70,10 +70,9 @@ def phrase_matches(texts: DataFrame, lexicon: DataFrame, *, key: str, text: str
     rows = phrases.select("first", F.size("p").alias("n")).collect()  # a lexicon is a small dimension
     firsts, longest = sorted({r["first"] for r in rows}), max((r["n"] for r in rows), default=1)
     negated = [n.split() for n in V.NEGATIONS[lang]]
-    # only words that begin a phrase leave their text, each with the few words around it
-    at = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.element_at("w", i).isin(firsts))
-    around = lambda i: F.struct(F.element_at("w", i).alias("first"), F.slice("w", i, F.lit(longest)).alias("ahead"), F.slice("w", F.greatest(F.lit(1), i - window), F.least(i - 1, F.lit(window))).alias("before"))
-    words = texts.select(key, tokens(text).alias("w")).where(F.size("w") > 0).select(key, F.explode(F.transform(at, around)).alias("x")).select(key, "x.*")
+    # every word leaves its text, but only those that begin a phrase stay, each with the few words around it
+    at = texts.select(key, tokens(text).alias("w")).select(key, "w", F.posexplode("w").alias("i", "first")).where(F.col("first").isin(firsts))
+    words = at.select(key, "first", F.slice("w", F.col("i") + 1, F.lit(longest)).alias("ahead"), F.slice("w", F.greatest(F.lit(1), F.col("i") + 1 - window), F.least("i", F.lit(window))).alias("before"))
     hits = words.join(F.broadcast(phrases), "first").where(F.slice("ahead", F.lit(1), F.size("p")) == F.col("p"))
     before = F.col("before")
     said = F.concat(F.lit(" "), F.array_join(before, " "), F.lit(" "))

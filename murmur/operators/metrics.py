@@ -67,12 +67,26 @@ def class_weights(df: DataFrame, group: str) -> DataFrame:
     return df.join(F.broadcast(one), group).withColumn("weight", F.lit(1.0) / (F.col("_g") * F.col("_n"))).drop("_n", "_g")
 
 
-def cumulative(rows: DataFrame, value: str, sums: list[str], by: list[str], *, stretches: int = 1000) -> DataFrame:
+def _stretch(value: str, cuts: list[float]) -> Column:
+    """How many of the cuts the value reaches, by halving."""
+    if not cuts:
+        return F.lit(0)
+
+    def among(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(value) < F.lit(cuts[mid]), among(lo, mid)).otherwise(among(mid + 1, hi))
+
+    return among(0, len(cuts))
+
+
+def cumulative(rows: DataFrame, value: str, sums: list[str], by: list[str], *, stretches: int = 100) -> DataFrame:
     """rows with cum_<s>, the sum of s up to the row's value in its group, and all_<s>, the group's sum; a group has a
-    value once.  Sums of stretches of values come first, so that no task puts a whole group in order."""
-    lo, hi = rows.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
-    width = max((hi - lo) / stretches, 1e-12) if lo is not None else 1.0
-    cut = rows.withColumn("_s", F.floor((F.col(value) - F.lit(lo or 0.0)) / width))
+    value once.  Values are cut at their quantiles over all groups, and the sums of these stretches come first: a task
+    puts about a hundredth of the values in order, whatever their spread."""
+    cuts = sorted(set(rows.approxQuantile(value, [k / stretches for k in range(1, stretches)], 0.25 / stretches)))
+    cut = rows.withColumn("_s", _stretch(value, cuts))
     stretch = cut.groupBy(*by, "_s").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
     order = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)  # a row a stretch
     before = stretch.select(*by, "_s", *[F.coalesce(F.sum(f"_{s}").over(order), F.lit(0)).alias(f"_b{s}") for s in sums], *[F.sum(f"_{s}").over(Window.partitionBy(*by)).alias(f"all_{s}") for s in sums])

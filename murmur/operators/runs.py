@@ -65,10 +65,11 @@ def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 
 def round_robin_sample(df: DataFrame, strata: Column, order: list[Column], n: int) -> DataFrame:
-    """n rows, taken in turn from each stratum; within one by the order.  Strata that are empty are passed over."""
+    """n rows, taken in turn from each stratum; within one by the order.  Strata that are empty are passed over.  No stratum
+    sends more than n rows to the last order."""
     rows = df.withColumn("_s", strata)
     rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_s").orderBy(*order)))
-    return rows.orderBy("_k", "_s", *order).limit(n).drop("_k", "_s")
+    return rows.where(F.col("_k") <= n).orderBy("_k", "_s", *order).limit(n).drop("_k", "_s")
 
 
 def chains(df: DataFrame, key: list[str], steps: tuple[str, ...], pauses: tuple[tuple[float, float], ...], *, class_col: str = "class_id", start: str = "onset", end: str = "offset", tie: str = "ord", unit: float = 1.0) -> DataFrame:
