@@ -30,7 +30,7 @@ OPEN, CLOSE, NEXT = "\ufdd0", "\ufdd1", "\ufdd2"
 #: Distinct words to merge in a text: beyond so many they are found by bisection, not by a search of a map.
 FEW = 1024
 #: Words encoded beforehand, at most, and how often each occurs at least; the others are folded text by text.
-COMMON, LEAST_COMMON = 1 << 17, 8
+COMMON, LEAST_COMMON = 1 << 16, 8
 def java_pattern(pattern: str) -> str:
     """The pattern with white space spelled out as Unicode has it, which Java's \\s does not."""
     out, inside = [], False
