@@ -193,7 +193,7 @@ def vector_scalars(spark, d):
 
 @query("""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(left(text, 200)), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split_regex(lower(right(text, 200)), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')) AS b FROM documents)
   SELECT doc_id, floor(len(list_intersect(a, b))::DOUBLE / nullif(len(list_distinct(list_concat(a, b))), 0) * 1e8 + 0.5) / 1e8 AS jaccard FROM w""")
-def opening_and_end(spark, d):
+def text_ends_alike(spark, d):
     """How alike the first and the last 200 characters of each document are."""
     t = table(spark, d, "documents").select("doc_id", F.left("text", F.lit(200)).alias("a"), F.right("text", F.lit(200)).alias("b"))
     return t.select("doc_id", S.rounded(S.token_jaccard("a", "b"), 8).alias("jaccard"))
