@@ -67,10 +67,15 @@ def once(df: DataFrame, **exprs) -> DataFrame:
 
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch, of 10,000 long texts otherwise: Spark and the Python worker each hold one or two a task.
+BATCH_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, unless PYTHONPATH already leads their workers to it."""
+    """Send this package to the executors, unless PYTHONPATH already leads their workers to it; and bound the bytes of
+    Arrow batches, for the session, unless it has a setting of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = Path(__file__).resolve().parents[2]
     app = spark.sparkContext.applicationId
     if app in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):

@@ -34,6 +34,8 @@ ORDERS = 2
 #: Tokens whose counts the orders tell apart, at most; all others count as rare.
 COMMON = 1 << 18
 LEAST_COMMON = 8
+#: Tokens counted at a time in a task (some 100 MB).
+COUNTED = 1 << 22
 #: Documents that share a prefix token: up to so many give their pairs, more are chained.
 SMALL = 32
 #: Documents and tokens of one verification, at most, but for a single document of more.
@@ -85,21 +87,23 @@ def _prefix(s: np.ndarray, grades: np.ndarray, order: int, t: Fraction) -> np.nd
 
 
 def _order(docs: DataFrame, k: int) -> Order:
-    """The common tokens over all docs, COMMON of them at most: those that several documents of a batch share, counted."""
+    """The common tokens over all docs, COMMON of them at most: those that several documents of a stretch of COUNTED tokens
+    share, counted."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
-            fresh = []
-            for piece in sliced(iter([b])):
-                for s in shingle_sets(piece.column(0), k):
-                    if len(s) and (c := class_of(s)) not in seen:
-                        seen.add(c)
-                        fresh.append(s)
-            if fresh:
+        fresh, held = [], 0
+        for b in _then_none(sliced(batches)):
+            for s in shingle_sets(b.column(0), k) if b is not None else ():
+                if len(s) and (c := class_of(s)) not in seen:
+                    seen.add(c)
+                    fresh.append(s)
+                    held += len(s)
+            if fresh and (b is None or held >= COUNTED):
                 x, n = np.unique(np.concatenate(fresh), return_counts=True)
                 some = n > 1
                 yield pa.record_batch([pa.array(signed(x[some])), pa.array(n[some])], ["token", "n"])
+                fresh, held = [], 0
 
     counts = docs.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     counts = materialise(counts.where(F.col("n") >= LEAST_COMMON).withColumn("g", F.least(F.lit(255), F.floor(F.log2("n") * 4)).cast("int")), "tokens")
