@@ -434,6 +434,20 @@ def taxonomy_differences(spark, d):
     return provenance.differences(a, table(spark, d, "customer").where("c_custkey <= 40").select(F.col("c_nationkey").alias("k")), ["k"])
 
 
+@query("SELECT o_orderkey AS k FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def orders_without_lines(spark, d):
+    have = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"))
+    return provenance.absent(table(spark, d, "orders").select(F.col("o_orderkey").alias("k")), have, ["k"])
+
+
+@query("""WITH a AS (SELECT DISTINCT user_id AS k, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events), b AS (SELECT DISTINCT o_custkey AS k, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders)
+  SELECT *, 'a' AS side FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.k = a.k AND b.day = a.day) UNION ALL SELECT *, 'b' FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE b.k = a.k AND b.day = a.day)""")
+def activity_differences(spark, d):
+    a = table(spark, d, "events").select(F.col("user_id").alias("k"), F.to_date("ts").cast("string").alias("day"))
+    b = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.to_date("o_orderdate").cast("string").alias("day"))
+    return provenance.differences(a, b, ["k", "day"])
+
+
 @query(f"""WITH o AS (SELECT user_id, CAST(to_timestamp(s // 1000000) AT TIME ZONE 'UTC' AS DATE) AS day, list(event_type ORDER BY s, event_id) AS t, list(s ORDER BY s, event_id) AS s, list(e ORDER BY s, event_id) AS e FROM {_I} GROUP BY ALL)
   SELECT user_id, CAST(day AS VARCHAR) AS day, CASE WHEN len(t) = 1 THEN upper(t[1][1]) || t[1][2:] || ' is heard.'
     WHEN s[1] < e[2] AND s[2] < e[1] THEN upper(t[1][1]) || (array_to_string(t[:-2], ', ') || ' and ' || t[-1])[2:] || ' are heard at the same time.'
