@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from murmur.llm import queries_manifest
 from murmur.llm._common import read
 from murmur.llm.decontaminate import decontaminate
 from murmur.llm.imatch import fingerprint_pairs
@@ -72,9 +73,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_warc, op3_byte_bpe, op4_quality, op5_main_text, op6_imatch, op7_jaccard_join, op8_repeated_spans, op9_decontaminate, op10_license_scan)}
+QUERIES |= queries_manifest.QUERIES
 QUERIES["pipeline"] = corpus_pipeline.run
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(queries_manifest.ORACLES)
 ORACLES["op9_decontaminate"] = r"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
