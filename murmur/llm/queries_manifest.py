@@ -1,4 +1,4 @@
-"""The registered queries of the Merkle manifest and the mix, with their SQL."""
+"""The registered queries of the Merkle manifest, the prefix trie and the mix, with their SQL."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from murmur.llm._common import read
 from murmur.llm.merkle import tampered_manifest
 from murmur.llm.mixing import mix
+from murmur.llm.prefix_trie import prefix_trie
 
 
 def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,12 +15,17 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tampered_manifest(read(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all rebuilt conversations."""
+    return prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 def op13_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document a mix of weights 1, 2, 3 by source takes."""
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op11_merkle, op13_mix)}
+QUERIES = {f.__name__: f for f in (op11_merkle, op12_prefix_trie, op13_mix)}
 
 #: crc32 of the decimal digits of {0}, bit by bit.
 _CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda ch: ord(ch)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END)), 4294967295::BIGINT)"
@@ -60,3 +66,19 @@ t AS (SELECT k, size, CASE WHEN ratio <= level THEN cap::DOUBLE ELSE (SELECT arg
 c AS (SELECT d.*, t.size AS source_size, target, CAST(floor(target + 0.5) AS BIGINT) AS budget, coalesce(sum(d.size) OVER (PARTITION BY d.k ORDER BY draw, doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN t ON d.k = t.k)
 SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END * size + greatest(0, least(size, budget - CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END * source_size - before)) AS BIGINT) AS taken FROM c
 """
+
+ORACLES["op12_prefix_trie"] = rf"""
+WITH t AS (SELECT conv_id AS c, left(sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')), 32) AS g, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w, turn FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, g) AS i FROM t),
+h AS (SELECT DISTINCT c, c - c % 20 AS base, {_CRC.format('c')} % 4 AS h FROM t),
+r AS (SELECT h.c, 0 AS part, i.i, g, w FROM h JOIN i ON i.c = h.base AND i.i <= h.h UNION ALL SELECT h.c, 1, i.i, g, w FROM h JOIN i ON i.c = h.c AND i.i > h.h),
+d AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY part, i) AS d FROM r),
+q AS (SELECT c, d, w, sha256(string_agg(g, ',') OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING)) AS id FROM d UNION ALL SELECT c, 0, 0, '' FROM h),
+e AS (SELECT *, d = max(d) OVER (PARTITION BY c) AS last, lag(id) OVER (PARTITION BY c ORDER BY d) AS up FROM q),
+n AS (SELECT d, id, min(c) AS conv_id, count(*) AS n, any_value(w) AS w, any_value(up) AS up, bool_and(last) AS leaf, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE last), '')) AS sha FROM e GROUP BY d, id),
+s AS (SELECT DISTINCT x.d, x.id, y.d AS d2, y.id AS id2 FROM e x JOIN e y ON x.c = y.c AND y.d >= x.d),
+v AS (SELECT s.d, s.id, count(*) FILTER (WHERE leaf) AS n_leaves, CAST(sum((n - 1) * w) AS BIGINT) AS saved FROM s JOIN n ON n.d = s.d2 AND n.id = s.id2 GROUP BY s.d, s.id),
+k AS (SELECT d - 1 AS d, up AS id, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(k.n_children, 0) AS n_children, v.n_leaves, v.saved AS saved_tokens, n.sha AS ends_sha256
+FROM n JOIN v ON v.d = n.d AND v.id = n.id LEFT JOIN k ON k.d = n.d AND k.id = n.id LEFT JOIN n p ON p.d = n.d - 1 AND p.id = n.up
+"""
