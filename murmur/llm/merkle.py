@@ -115,23 +115,22 @@ def walk(leaves: list[str], height: int, stacked: int = STACKED) -> Iterator[lis
                 existing[i], desired[i] = tree, Subtree(leaves, tree.index + 1, tree.low, tree.top)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]):
+def _blocks(batches: Iterator[pa.RecordBatch], most: int):
     for b in batches:
         rows = b.column(b.schema.get_field_index("rows"))
         for i, (key, block, n) in enumerate(zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("key", "block", "n")))):
             items = rows[i].values
-            height = HEIGHT if n > ARITY**HEIGHT else height_of(n)
-            yield key, block, items, items.field("digest").to_pylist(), height
+            yield key, block, items, items.field("digest").to_pylist(), most if n > ARITY**most else height_of(n)
 
 
-def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for key, block, _, leaves, height in _blocks(batches):
+def _roots(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    for key, block, _, leaves, height in _blocks(batches, most):
         yield pa.record_batch([pa.array([key], pa.string()), pa.array([block], pa.int64()), pa.array([root_of(leaves, height)], pa.string())], ["key", "pos", "digest"])
 
 
-def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _walks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     kind = pa.struct([("before", pa.string()), ("after", pa.string())])
-    for key, block, items, leaves, height in _blocks(batches):
+    for key, block, items, leaves, height in _blocks(batches, most):
         paths = walk(leaves, height)
         for at in range(0, len(leaves), _EMIT):
             part = items.slice(at, _EMIT)
@@ -142,23 +141,23 @@ def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch(out, ["key", "block", "row", "path"])
 
 
-def authenticate(nodes: DataFrame, totals: DataFrame) -> tuple[DataFrame, DataFrame]:
+def authenticate(nodes: DataFrame, totals: DataFrame, *, height: int = HEIGHT) -> tuple[DataFrame, DataFrame]:
     """(nodes with their paths, roots): nodes is (key, pos, digest, item), pos from 0 without holes in each tree ``key``, item
     any struct; totals is (key, n).  The first result is (key, pos, digest, item, path), path being the siblings before and
-    after a node in its run, level by level; the second (key, root)."""
+    after a node in its run, level by level; the second (key, root).  Blocks have ``height`` levels."""
     ship(nodes.sparkSession)
-    block = ARITY**HEIGHT
+    block = ARITY**height
     packed = nodes.select("key", F.floor(F.col("pos") / block).alias("block"), F.struct("pos", "digest", "item").alias("r"))
     packed = packed.groupBy("key", "block").agg(F.array_sort(F.collect_list("r"), lambda x, y: F.when(x["pos"] < y["pos"], -1).otherwise(1)).alias("rows"))  # 6,561 rows at most
     packed = materialise(packed.join(totals, "key"), "blocks")
     most = totals.agg(F.max("n")).first()[0] or 0
-    roots = materialise(packed.mapInArrow(_roots, "key string, pos long, digest string"), "roots")
+    roots = materialise(packed.mapInArrow(lambda b: _roots(b, height), "key string, pos long, digest string"), "roots")
     row = packed.schema["rows"].dataType.elementType.simpleString()
-    inner = packed.mapInArrow(_walks, f"key string, block long, row {row}, path {PATH}")
+    inner = packed.mapInArrow(lambda b: _walks(b, height), f"key string, block long, row {row}, path {PATH}")
     if most <= block:
         return inner.select("key", "row.*", "path"), roots.select("key", F.col("digest").alias("root"))
     fewer = totals.select("key", F.ceil(F.col("n") / block).alias("n"))
-    upper, tops = authenticate(roots.withColumn("item", F.struct(F.lit(0).alias("none"))), fewer)
+    upper, tops = authenticate(roots.withColumn("item", F.struct(F.lit(0).alias("none"))), fewer, height=height)
     upper = materialise(upper.select("key", F.col("pos").alias("block"), F.col("path").alias("up")), "upper")
     out = inner.join(upper, ["key", "block"])
     return out.select("key", "row.*", F.concat("path", "up").alias("path")), tops
@@ -185,7 +184,7 @@ def fold(node: Column, path: Column) -> Column:
     return F.aggregate(path, node, lambda at, s: F.sha2(F.concat(s["before"], at, s["after"]), 256))
 
 
-def manifest(df: DataFrame, fields: list[str], *, id_col: str, tree_col: str, other: Column | None = None) -> DataFrame:
+def manifest(df: DataFrame, fields: list[str], *, id_col: str, tree_col: str, other: Column | None = None, height: int = HEIGHT) -> DataFrame:
     """(id, tree, leaf, other, subroot, root, path) of every row: a tree a value of tree_col, leaves in the order of ids, and a
     tree over their roots in the order of those values.  ``other`` is a second leaf carried along, such as that of a copy to
     verify; proof() and fold() read the path."""
@@ -194,23 +193,23 @@ def manifest(df: DataFrame, fields: list[str], *, id_col: str, tree_col: str, ot
     slim = df.select(key.alias("key"), F.col(id_col).alias("id_"), leaf([F.col(c) for c in fields]).alias("digest"), other.alias("other"))
     rows = ranked(slim, "key", ["id_", "digest"], name="leaves")
     totals = materialise(rows.groupBy("key").agg(F.count("*").alias("n")), "totals")
-    paths, subroots = authenticate(rows.select("key", F.col("place").alias("pos"), "digest", F.struct("id_", "other").alias("item")), totals)
+    paths, subroots = authenticate(rows.select("key", F.col("place").alias("pos"), "digest", F.struct("id_", "other").alias("item")), totals, height=height)
     trees = ranked(subroots.withColumn("all_", F.lit("")), "all_", ["key"], name="trees")
     tops = trees.select(F.col("all_").alias("key"), F.col("place").alias("pos"), F.col("root").alias("digest"), F.struct(F.col("key").alias("tree")).alias("item"))
-    upper, root = authenticate(tops, tops.groupBy("key").agg(F.count("*").alias("n")))
+    upper, root = authenticate(tops, tops.groupBy("key").agg(F.count("*").alias("n")), height=height)
     upper = upper.join(root, "key").select(F.col("item.tree").alias("key"), F.col("digest").alias("subroot"), F.col("path").alias("up"), "root")
     out = paths.join(materialise(upper, "upper"), "key")
     tree = F.when(F.col("key") != "", F.substring("key", 2, 2147483647))
     return out.select(F.col("item.id_").alias(id_col), tree.alias(tree_col), F.col("digest").alias("leaf"), F.col("item.other").alias("other"), "subroot", "root", F.concat("path", "up").alias("path"))
 
 
-def tampered_manifest(docs: DataFrame) -> DataFrame:
+def tampered_manifest(docs: DataFrame, *, height: int = HEIGHT) -> DataFrame:
     """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) of documents against a copy in which the text of
     every document whose id has an even crc32 lost its line breaks."""
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
     hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
     cut = leaf([F.translate("text", "\n", "") if c == "text" else F.col(c) for c in fields])
-    df = manifest(docs, fields, id_col="doc_id", tree_col="source", other=F.when(hit, cut))
+    df = manifest(docs, fields, id_col="doc_id", tree_col="source", other=F.when(hit, cut), height=height)
     folded = fold(F.coalesce("other", "leaf"), F.col("path"))
     df = df.select("doc_id", "leaf", "subroot", "root", F.sha2(proof(F.col("path")), 256).alias("proof_sha256"), folded.alias("folded_root"))
     return df.withColumn("verified", F.col("folded_root") == F.col("root"))

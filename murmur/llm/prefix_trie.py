@@ -141,16 +141,17 @@ def _z(lane: int, depth: Column) -> Column:
     return F.xxhash64(F.lit(lane), F.col("digest"), depth.cast("long"))
 
 
-def _stretch(depth: str) -> Column:
-    return F.shiftright(F.col(depth), STRETCH.bit_length() - 1).alias("stretch")
+def _stretch(depth: str, stretch: int) -> Column:
+    return F.floor(F.col(depth) / stretch).alias("stretch")
 
 
-def paths(conversations: DataFrame) -> DataFrame:
+def paths(conversations: DataFrame, *, stretch: int = STRETCH) -> DataFrame:
     """A row for each rebuilt conversation c and depth d from 0: the node's lanes (a, b), its parent's (pa, pb), the words w of
     its last turn, whether the conversation ends there; and, on a family's first path through a node, how many of the family
-    are members and how many end there.  Written."""
-    spark = conversations.sparkSession
-    ship(spark)
+    are members and how many end there.  Written.  Stretches are of 4 turns or more, so that the turns of a base fall into the first."""
+    if stretch < 4:
+        raise ValueError("a stretch has 4 turns or more")
+    ship(conversations.sparkSession)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     digest = F.left(F.sha2(F.concat(F.octet_length(text("role")).cast("string"), F.lit(":"), text("role"), text("text")), 256), F.lit(32))
     slim = conversations.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("c"), "turn", digest.alias("digest"), F.regexp_count(text("text"), F.lit(WORD)).cast("long").alias("w"))
@@ -163,7 +164,7 @@ def paths(conversations: DataFrame) -> DataFrame:
     taken = F.least(h, F.coalesce(F.size("heads"), F.lit(0)).cast("long"))
     taken = F.when(F.col("heads").isNull(), F.lit(0).cast("long")).otherwise(taken)
     own = turns.where(F.col("place") >= h).select("c", "place", "digest", "w", base).join(heads, "base", "left")
-    own = own.withColumn("d", F.col("place") + 1 - h + taken).select("base", _stretch("d"), "c", "d", _z(1, F.col("d")).alias("za"), _z(2, F.col("d")).alias("zb"), "w")
+    own = own.withColumn("d", F.col("place") + 1 - h + taken).select("base", _stretch("d", stretch), "c", "d", _z(1, F.col("d")).alias("za"), _z(2, F.col("d")).alias("zb"), "w")
     convs = turns.groupBy("c").agg(F.count("*").alias("n")).withColumn("base", base).join(heads, "base", "left")
     zero = F.lit(0).cast("long")
     convs = convs.select("base", zero.alias("stretch"), "c", taken.alias("m"), (taken + F.greatest(zero, F.col("n") - h)).alias("total"), zero.alias("ca"), zero.alias("cb"), "heads")
@@ -177,12 +178,12 @@ def paths(conversations: DataFrame) -> DataFrame:
     return materialise(out, "paths")
 
 
-def prefix_trie(conversations: DataFrame) -> DataFrame:
+def prefix_trie(conversations: DataFrame, *, stretch: int = STRETCH, listed: int = LISTED) -> DataFrame:
     """(conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256) of every node."""
-    p = paths(conversations)
+    p = paths(conversations, stretch=stretch)
     nodes = p.where("members > 0").groupBy(*_NODE).agg(F.min("c").alias("conv_id"), F.sum("members").alias("n_convs"), F.sum("ends").alias("ends"), F.min("pa").alias("pa"), F.min("pb").alias("pb"), F.min("w").alias("w"))
     nodes = materialise(nodes, "nodes")
-    gains = nodes.select((F.col("conv_id") - F.col("conv_id") % FAMILY).alias("base"), _stretch("d"), F.col("conv_id").alias("c"), "d", (F.col("ends") == F.col("n_convs")).cast("long").alias("leaf"), ((F.col("n_convs") - 1) * F.col("w")).alias("saved"))
+    gains = nodes.select((F.col("conv_id") - F.col("conv_id") % FAMILY).alias("base"), _stretch("d", stretch), F.col("conv_id").alias("c"), "d", (F.col("ends") == F.col("n_convs")).cast("long").alias("leaf"), ((F.col("n_convs") - 1) * F.col("w")).alias("saved"))
     zero = F.lit(0).cast("long")
     beyond = p.where("stretch > 0").select("base", "stretch", "c", zero.alias("leaf"), zero.alias("saved")).union(gains.where("stretch > 0").select("base", "stretch", "c", "leaf", "saved"))
     beyond = beyond.groupBy("base", "stretch", "c").agg(F.sum("leaf").alias("leaf"), F.sum("saved").alias("saved"))
@@ -191,8 +192,8 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     sums = p.select("base", "stretch", "c", *_NODE).groupBy("base", "stretch").cogroup(_fresh(gains.unionByName(beyond)).groupBy("base", "stretch")).applyInArrow(_sums, "d long, a long, b long, leaves long, saved long")
     sums = sums.groupBy(*_NODE).agg(F.sum("leaves").alias("n_leaves"), F.sum("saved").alias("saved_tokens"))
     kids = nodes.where("d > 0").groupBy((F.col("d") - 1).alias("d"), F.col("pa").alias("a"), F.col("pb").alias("b")).agg(F.count("*").alias("n_children"))
-    ids = F.array_join(F.array_sort(F.collect_list("c")), ",")  # 20,480 ids at most, as a conversation ends once
-    ends = p.where("last").groupBy(*_NODE, (F.col("c") - F.pmod("c", F.lit(LISTED))).alias("from")).agg(ids.alias("ids"))
+    ids = F.array_join(F.array_sort(F.collect_list("c")), ",")  # ``listed`` ids at most, as a conversation ends once
+    ends = p.where("last").groupBy(*_NODE, (F.col("c") - F.pmod("c", F.lit(listed))).alias("from")).agg(ids.alias("ids"))
     ends = ends.repartition(*_NODE).sortWithinPartitions(*_NODE, "from").select(*_NODE, "ids").mapInArrow(_joined_ids, "d long, a long, b long, sha string")
     above = nodes.select((F.col("d") + 1).alias("d"), F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("conv_id").alias("parent_conv_id"))
     out = nodes.join(sums, _NODE).join(kids, _NODE, "left").join(ends, _NODE, "left").join(above, ["d", "pa", "pb"], "left")
