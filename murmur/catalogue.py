@@ -402,14 +402,14 @@ def most_specific(spark, d):
     o = table(spark, d, "orders")
     a = o.select(F.col("o_orderkey").alias("key"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("label"))
     b = o.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("key"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("label"))
-    return graph.most_specific(a.union(b).distinct(), graph.ancestors(_edges(spark, d)), "key")
+    return graph.most_specific_over(a.union(b).distinct(), _edges(spark, d), "key")
 
 
-@query()
+@query("""WITH RECURSIVE g AS (SELECT DISTINCT l_orderkey AS i, l_partkey * 1000000 + l_suppkey AS k FROM lineitem),
+  m AS (SELECT i, k, min(i) OVER (PARTITION BY k) AS t FROM g), e AS (SELECT DISTINCT i AS a, t AS b FROM m WHERE i <> t UNION SELECT DISTINCT t, i FROM m WHERE i <> t),
+  r(node, label) USING KEY (node) AS (SELECT i, i FROM (SELECT DISTINCT i FROM g) UNION SELECT e.b, min(n.label) FROM r n JOIN e ON e.a = n.node JOIN recurring.r c ON c.node = e.b WHERE n.label < c.label GROUP BY e.b)
+  SELECT node AS l_orderkey, label AS "group" FROM r""")
 def dup_groups(spark, d):
-    from murmur.sources.checkpoints import ensure
-
-    ensure(spark)
     # a part alone links all orders into one group; a part of one supplier does not
     return graph.groups(table(spark, d, "lineitem").withColumn("lot", F.struct("l_partkey", "l_suppkey")), "l_orderkey", "lot")
 
@@ -422,18 +422,6 @@ def exclusion_merge(spark, d):
     return provenance.merge_exclusions(o, li.select(F.col("l_orderkey").alias("file_id")), new, "F").select("file_id", "reason_code")
 
 
-@query("SELECT count(*) AS added FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey <= 20)")
-def seed_missing(spark, d):
-    have = table(spark, d, "supplier").where("s_suppkey <= 20").select(F.col("s_nationkey").alias("n_nationkey"))
-    return provenance.absent(table(spark, d, "nation"), have, ["n_nationkey"]).agg(F.count("*").alias("added"))
-
-
-@query("SELECT s_nationkey AS k, 'a' AS side FROM (SELECT DISTINCT s_nationkey FROM supplier) WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey <= 40) UNION ALL SELECT c_nationkey, 'b' FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_custkey <= 40) WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
-def taxonomy_differences(spark, d):
-    a = table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
-    return provenance.differences(a, table(spark, d, "customer").where("c_custkey <= 40").select(F.col("c_nationkey").alias("k")), ["k"])
-
-
 @query("SELECT o_orderkey AS k FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def orders_without_lines(spark, d):
     have = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"))
