@@ -15,6 +15,8 @@ from murmur.functions import scalars as S
 from murmur.functions import text as X
 from murmur.functions import vocabulary as V
 from murmur.operators import graph, intervals, metrics, provenance, runs, vectors
+from murmur.operators.order import running
+from murmur.operators.quantiles import percentiles
 from murmur.operators.risk import score_events
 from murmur.plans import serving
 from murmur.sources.readers import table
@@ -231,21 +233,17 @@ _RUN = """(WITH f AS (SELECT user_id, row_number() OVER (PARTITION BY user_id OR
  SELECT user_id, s, e, n, peak FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY e - s DESC, s) AS k FROM r) WHERE k = 1)"""
 
 
-def _frames(spark, d):
-    w = F.max("value").over(runs.Window.partitionBy("user_id"))
-    return table(spark, d, "events").select("user_id", "ts", "event_id", "value", w.alias("peak"))
-
-
 @query(f'SELECT user_id, s AS "start", e AS "end" FROM {_RUN}')
 def longest_run(spark, d):
-    return runs.longest_run(_frames(spark, d), ["user_id"], ["ts", "event_id"], F.col("value") >= F.col("peak") * 0.5)
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", "value")
+    rows = running(e, ["user_id"], ["ts", "event_id"], F.date_trunc("day", "ts"), {"_p": F.lit(1)}, {"peak": F.col("value")})
+    return runs.placed_run(rows, ["user_id"], F.col("value") >= F.col("peak") * 0.5)
 
 
 @query(f"SELECT user_id, floor(greatest(0.0, s * (10.0::DOUBLE / n) - 0.05) * 1000 + 0.5) / 1000 AS onset, floor(least(10.0, e * (10.0::DOUBLE / n) + 0.05) * 1000 + 0.5) / 1000 AS offset FROM {_RUN}".replace(" AS offset", ' AS "offset"'))
 def boundary_proposal(spark, d):
-    order = F.row_number().over(runs.Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    f = table(spark, d, "events").select("user_id", order.alias("frame"), F.col("value").alias("prob"), F.lit(10.0).alias("duration"))
-    return runs.boundaries(f, ["user_id"]).select("user_id", "onset", "offset")
+    f = table(spark, d, "events").select("user_id", "ts", "event_id", F.col("value").alias("prob"), F.lit(10.0).alias("duration"))
+    return runs.boundaries(f, ["user_id"], order=["ts", "event_id"], bucket=F.date_trunc("day", "ts")).select("user_id", "onset", "offset")
 
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id)::BIGINT AS number, 'EVT_' || strftime(ts, '%Y%m%d') || '_' || lpad(CAST(row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS VARCHAR), 6, '0') AS name FROM events")
@@ -356,7 +354,8 @@ def inventory_status(spark, d):
 @query("SELECT r_name AS room, median(s_acctbal) AS median, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def room_median(spark, d):
     df = table(spark, d, "supplier").join(F.broadcast(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    return df.groupBy(F.col("r_name").alias("room")).agg(F.median("s_acctbal").alias("median"), F.count("*").alias("n"))
+    n = df.groupBy(F.col("r_name").alias("room")).agg(F.count("*").alias("n"))
+    return percentiles(df, "s_acctbal", [0.5], ["r_name"]).select(F.col("r_name").alias("room"), F.col("value").alias("median")).join(n, "room")
 
 
 @query("SELECT slice, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN value >= 100 THEN 'long_event' END, CASE WHEN value < 20 THEN 'low_snr' END, CASE WHEN event_type = 'error' THEN 'overlap' END], lambda x: x IS NOT NULL)) AS slice FROM events) GROUP BY slice")
@@ -489,11 +488,19 @@ def threshold_sweep(spark, d):
     return metrics.sweep(_calibration(spark, d), "confidence", "y", [k / 20.0 for k in range(1, 20)])
 
 
-@query()
+_EF = "(SELECT event_id AS id, user_id || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS clip, event_type = 'view' AS ref, epoch_us(ts) / 1000000.0::DOUBLE AS t FROM events WHERE event_type IN ('view', 'click'))"
+
+
+@query(f"""WITH RECURSIVE e AS {_EF}, n AS (SELECT clip, count(*) FILTER (WHERE ref) AS nr, count(*) FILTER (WHERE NOT ref) AS np FROM e GROUP BY clip),
+  c AS (SELECT r.clip, r.id AS rid, p.id AS pid, (abs(r.t - p.t), r.t, p.t, r.id, p.id) AS k, abs(r.t - p.t) AS gap FROM e r JOIN e p ON r.clip = p.clip AND r.ref AND NOT p.ref AND abs(r.t - p.t) <= 3600 + 1e-9),
+  m AS (SELECT clip, 0 AS step, []::BIGINT[] AS ur, []::BIGINT[] AS up, 0.0::DOUBLE AS shift FROM n
+    UNION ALL SELECT m.clip, step + 1, list_append(any_value(ur), arg_min(rid, k)), list_append(any_value(up), arg_min(pid, k)), any_value(shift) + arg_min(gap, k) FROM m JOIN c ON m.clip = c.clip AND NOT list_contains(ur, rid) AND NOT list_contains(up, pid) GROUP BY m.clip, step),
+  t AS (SELECT clip, max(step) AS tp, arg_max(shift, step) AS shift FROM m GROUP BY clip), s AS (SELECT sum(tp)::BIGINT AS tp, sum(np - tp)::BIGINT AS fp, sum(nr - tp)::BIGINT AS fn, sum(shift) AS shift FROM t JOIN n USING (clip))
+  SELECT tp, fp, fn, tp::DOUBLE / nullif(tp + fp, 0) AS precision, tp::DOUBLE / nullif(tp + fn, 0) AS recall, 2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0) AS f1, floor(shift / nullif(tp, 0) * 1000 + 0.5) / 1000 AS mean_shift FROM s""")
 def event_f1(spark, d):
     e = table(spark, d, "events").where("event_type IN ('view', 'click')")
     df = e.select(F.concat_ws("/", F.col("user_id").cast("string"), F.to_date("ts").cast("string")).alias("clip"), F.lit("any").alias("class_id"), F.when(F.col("event_type") == "view", "reference").otherwise("predicted").alias("side"), (S.micros("ts") / 1e6).alias("onset"), (S.micros("ts") / 1e6 + F.col("value")).alias("offset"))
-    return metrics.f1(metrics.event_counts(df, key=["clip", "class_id"], collar=3600.0))
+    return metrics.f1(metrics.event_counts(df, key=["clip", "class_id"], collar=3600.0)).withColumn("mean_shift", S.rounded("mean_shift", 3))
 
 
 @query("SELECT user_id, sha256(string_agg(event_type, ',' ORDER BY event_type)) AS digest FROM events GROUP BY user_id")

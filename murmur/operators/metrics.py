@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.functions.scalars import col, ratio, split_list
+from murmur.operators import matching
+from murmur.operators.quantiles import percentiles
 
 
 def reliability(df: DataFrame, prob: str, label: str, *, bins: int = 10, by: list[str] | None = None) -> DataFrame:
@@ -108,11 +107,14 @@ def weighted_percentiles(df: DataFrame, value: str, weight: str, shares: list[fl
 
 def distribution(df: DataFrame, value: str, group: str, limits: tuple[float, ...]) -> DataFrame:
     """A row a group and one for all ("total"): n, p05, p50, p95, max and the share at or above each limit."""
-    p = F.percentile(value, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
     shares = [ratio(F.count_if(F.col(value) >= x), F.count("*")).alias(f"share_{i}") for i, x in enumerate(limits)]
-    got = df.rollup(group).agg(F.grouping(group).alias("_t"), F.count("*").alias("n"), p.alias("_p"), F.max(value).alias("max"), *shares)
-    name = F.when(F.col("_t") == 1, "total").otherwise(F.col(group).cast("string"))
-    return got.select(name.alias("group"), "n", F.col("_p")[0].alias("p05"), F.col("_p")[1].alias("p50"), F.col("_p")[2].alias("p95"), "max", *[f"share_{i}" for i in range(len(limits))])
+    got = df.rollup(group).agg(F.grouping(group).alias("_t"), F.count("*").alias("n"), F.max(value).alias("max"), *shares)
+    got = got.select(F.when(F.col("_t") == 1, "total").otherwise(F.col(group).cast("string")).alias("group"), "n", "max", *[f"share_{i}" for i in range(len(limits))])
+    p = percentiles(df.select(F.col(group).cast("string").alias("group"), value), value, [0.05, 0.5, 0.95], ["group"])
+    p = p.union(percentiles(df, value, [0.05, 0.5, 0.95]).select(F.lit("total"), "share", "value"))
+    one = lambda s, name: F.max(F.when(F.col("share") == s, F.col("value"))).alias(name)
+    p = p.groupBy(F.col("group").alias("g")).agg(one(0.05, "p05"), one(0.5, "p50"), one(0.95, "p95"))
+    return got.join(p, F.col("group").eqNullSafe(F.col("g")), "left").select("group", "n", "p05", "p50", "p95", "max", *[f"share_{i}" for i in range(len(limits))])
 
 
 def compared(df: DataFrame, side: str, group: str, value: str, shares: list[float]) -> DataFrame:
@@ -144,16 +146,14 @@ def greedy_pairs(reference: list[tuple[float, float]], predicted: list[tuple[flo
 
 def event_counts(events: DataFrame, *, key: list[str], collar: float = 0.2) -> DataFrame:
     """(key, tp, fp, fn, shift) by clip and class from rows (key, side, onset, offset), side reference or predicted: pairs are
-    one to one within the onset collar; shift is the sum of the pairs' onset differences.  A group is one class of one clip."""
-    schema = ", ".join([*(f"{k} {dict(events.dtypes)[k]}" for k in key), "tp long, fp long, fn long, shift double"])
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        side = {s: list(zip(g["onset"], g["offset"])) for s, g in pdf.groupby("side")}
-        r, p = side.get("reference", []), side.get("predicted", [])
-        pairs = greedy_pairs(r, p, collar)
-        return pd.DataFrame([[*pdf[key].iloc[0], len(pairs), len(p) - len(pairs), len(r) - len(pairs), float(sum(abs(r[i][0] - p[j][0]) for i, j in pairs))]], columns=[*key, "tp", "fp", "fn", "shift"])
-
-    return events.groupBy(*key).applyInPandas(count, schema)
+    one to one within the onset collar, nearest first, then earliest; shift is the sum of the pairs' onset differences."""
+    pairs = matching.matched(events, key, collar=collar)
+    hits = pairs.groupBy(*key).agg(F.sum("n").alias("tp"), F.sum(F.col("n") * (F.greatest("reference", "predicted") - F.least("reference", "predicted"))).alias("shift"))
+    sizes = events.groupBy(*key).agg(F.count_if(F.col("side") == "reference").alias("r"), F.count_if(F.col("side") == "predicted").alias("p"))
+    hits = hits.select(*[F.col(k).alias(f"_{k}") for k in key], "tp", "shift")
+    both = sizes.join(hits, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key], "left")
+    tp = F.coalesce("tp", F.lit(0)).cast("long")
+    return both.select(*key, tp.alias("tp"), (F.col("p") - tp).alias("fp"), (F.col("r") - tp).alias("fn"), F.coalesce("shift", F.lit(0.0)).alias("shift"))
 
 
 def f1(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -184,7 +184,7 @@ def fingerprint(df: DataFrame, key: list[str], value: str) -> DataFrame:
 def gate(counts: DataFrame, shifts: DataFrame) -> DataFrame:
     """(f1, median_shift, passed): event F1 of 0.75 or more and a median onset shift of 0.1 s or less."""
     a = f1(counts).select("f1").withColumn("_k", F.lit(1))
-    b = shifts.agg(F.median(F.abs("shift")).alias("median_shift")).withColumn("_k", F.lit(1))
-    return a.join(b, "_k").select("f1", "median_shift", ((F.col("f1") >= 0.75) & (F.col("median_shift") <= 0.1)).alias("passed"))
+    b = percentiles(shifts.select(F.abs("shift").alias("_s")), "_s", [0.5]).select(F.col("value").alias("median_shift"), F.lit(1).alias("_k"))
+    return a.join(b, "_k", "left").select("f1", "median_shift", ((F.col("f1") >= 0.75) & (F.col("median_shift") <= 0.1)).alias("passed"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions.scalars import ratio
+from murmur.operators.quantiles import percentiles
 
 
 def merge_exclusions(kept: DataFrame, processed: DataFrame, rejects: DataFrame, stage: str) -> DataFrame:
@@ -122,10 +123,13 @@ def long_event_classes(bank: DataFrame, target: DataFrame, threshold: float, lea
 def bank_summary(bank: DataFrame, cutoffs: tuple[float, ...] = (2.0, 4.0, 8.0)) -> DataFrame:
     """One row of the bank without its error rows: percentiles of effective and leading time, and clips and classes at each cutoff."""
     ok = bank.where((F.coalesce("loi", F.lit("")) == ""))
-    e = F.percentile("eff", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    aggs = [F.count("*").alias("n"), e.alias("eff"), F.max("eff").alias("eff_max"), F.percentile("lead", F.array(F.lit(0.5), F.lit(0.9))).alias("lead"), F.count_if(F.col("lead") > 0.5).alias("late")]
+    aggs = [F.count("*").alias("n"), F.max("eff").alias("eff_max"), F.count_if(F.col("lead") > 0.5).alias("late")]
     aggs += [x for i, c in enumerate(cutoffs) for x in (F.count_if(F.col("eff") >= c).alias(f"n_{i}"), F.countDistinct(F.when(F.col("eff") >= c, F.col("class_id"))).alias(f"classes_{i}"))]
-    return ok.agg(*aggs)
+    out = ok.agg(*aggs)
+    for name, shares in (("eff", [0.1, 0.5, 0.9]), ("lead", [0.5, 0.9])):
+        rows = percentiles(ok, name, shares).agg(F.array_sort(F.collect_list(F.struct("share", "value"))).alias("p"))  # a row a share
+        out = out.join(F.broadcast(rows.select(F.when(F.size("p") > 0, F.transform("p", lambda x: x["value"])).alias(name))), F.lit(True))  # one row each
+    return out
 
 
 def gathered(base: DataFrame, parts: dict[str, DataFrame], key: str = "run") -> DataFrame:

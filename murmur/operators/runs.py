@@ -7,26 +7,48 @@ from pyspark.sql import functions as F
 
 from murmur.functions import vocabulary as V
 from murmur.functions.scalars import rounded
+from murmur.operators.order import running
+from murmur.operators.quantiles import percentiles
 
 
-def longest_run(df: DataFrame, key: list[str], order: list[str], flag: Column) -> DataFrame:
+#: Frames of a bucket: a task holds one bucket of a key at a time.
+BUCKET = 1024
+
+
+def longest_run(df: DataFrame, key: list[str], order: list[str], flag: Column, bucket: Column | None = None) -> DataFrame:
     """(key, start, end): half-open positions from 0 of the longest run of rows with a true flag, the first of equals.
-    Keys without a true flag give no row; a null flag is false."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    rows = df.withColumn("_p", F.row_number().over(w) - 1).withColumn("_f", F.coalesce(flag, F.lit(False)))
-    true = rows.where("_f").withColumn("_i", F.col("_p") - F.row_number().over(Window.partitionBy(*key).orderBy("_p")))
-    runs = true.groupBy(*key, "_i").agg(F.min("_p").alias("start"), (F.max("_p") + 1).alias("end"))
-    best = runs.groupBy(*key).agg(F.max(F.struct((F.col("end") - F.col("start")).alias("n"), (-F.col("start")).alias("s"))).alias("m"))
+    Keys without a true flag give no row; a null flag is false.  ``bucket`` does not decrease along the order and deals a key
+    over tasks; without it a key is one bucket."""
+    rows = running(df.withColumn("_f", F.coalesce(flag, F.lit(False))), key, order, F.lit(0) if bucket is None else bucket, {"_p": F.lit(1)})
+    return placed_run(rows, key, F.col("_f"))
+
+
+def placed_run(rows: DataFrame, key: list[str], flag: Column) -> DataFrame:
+    """longest_run over rows with place ``_p`` in their key and bucket ``_b``, as running() gives them.
+
+    A bucket is summed up by its first, its last and its longest run; only those meet in a key, where runs that touch across
+    buckets are joined."""
+    true = rows.where(flag).select(*key, "_b", "_p")
+    true = true.withColumn("_i", F.col("_p") - F.row_number().over(Window.partitionBy(*key, "_b").orderBy("_p")))
+    found = true.groupBy(*key, "_b", "_i").agg(F.min("_p").alias("s"), (F.max("_p") + 1).alias("e"))
+    run = F.struct("s", "e")
+    most = F.max_by(run, F.struct((F.col("e") - F.col("s")), (-F.col("s"))))
+    few = found.groupBy(*key, "_b").agg(F.array_distinct(F.array(F.min(run), F.max(run), most)).alias("r")).select(*key, F.explode("r").alias("r")).select(*key, "r.*")
+    w = Window.partitionBy(*key).orderBy("s")
+    opened = few.withColumn("_n", F.when(F.col("s") == F.lag("e").over(w), 0).otherwise(1))
+    islands = opened.withColumn("_g", F.sum("_n").over(w)).groupBy(*key, "_g").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    best = islands.groupBy(*key).agg(F.max(F.struct((F.col("e") - F.col("s")).alias("n"), (-F.col("s")).alias("s"))).alias("m"))
     return best.select(*key, (-F.col("m.s")).cast("long").alias("start"), (F.col("m.n") - F.col("m.s")).cast("long").alias("end"))
 
 
-def boundaries(frames: DataFrame, key: list[str], *, frame: str = "frame", prob: str = "prob", duration: str = "duration") -> DataFrame:
+def boundaries(frames: DataFrame, key: list[str], *, frame: str = "frame", prob: str = "prob", duration: str = "duration", order: list[str] | None = None, bucket: Column | None = None) -> DataFrame:
     """(key, onset, offset, peak): the longest run of frames at half the peak or more, widened by a pad and kept in the
-    clip; the whole clip where the peak is 0.  duration is a column of frames, equal for all frames of a key."""
+    clip; the whole clip where the peak is 0.  duration is a column of frames, equal for all frames of a key.  Frames are in
+    the order of their number and dealt by it; ``order`` and ``bucket`` give another order and what deals it."""
     stats = frames.groupBy(*key).agg(F.max(prob).alias("peak"), F.count("*").alias("n"), F.max(duration).alias("duration"))
-    peak = F.max(prob).over(Window.partitionBy(*key))
-    marked = frames.withColumn("_peak", peak)
-    runs = longest_run(marked, key, [frame], (F.col("_peak") > 0) & (F.col(prob) >= F.col("_peak") * V.BOUNDARY_FRACTION))
+    bucket = F.floor(F.col(frame) / BUCKET) if bucket is None else bucket
+    marked = running(frames, key, order or [frame], bucket, {"_p": F.lit(1)}, {"_peak": F.col(prob)})
+    runs = placed_run(marked, key, (F.col("_peak") > 0) & (F.col(prob) >= F.col("_peak") * V.BOUNDARY_FRACTION))
     step = F.col("duration") / F.col("n")
     onset = F.coalesce(rounded(F.greatest(F.lit(0.0), F.col("start") * step - V.BOUNDARY_PAD), 3), F.lit(0.0))
     offset = F.coalesce(rounded(F.least(F.col("duration"), F.col("end") * step + V.BOUNDARY_PAD), 3), F.greatest("duration", F.lit(0.0)))
@@ -53,9 +75,39 @@ def median_filter(df: DataFrame, key: list[str], order: list[str], value: str, s
     return df.withColumn("_near", near).withColumn("median", F.col("_near")[F.floor(F.size("_near") / 2).cast("int")]).drop("_near")
 
 
+def widths(events: DataFrame, class_col: str, length: str, *, step: float, most: int = 51) -> DataFrame:
+    """(class, width): frames of the median filter of each class: the 25th percentile of its events' lengths in frames of
+    ``step``, made odd downwards, 1 at least and 51 at most.  From training events, so that no label of the scored set is used."""
+    q = percentiles(events, length, [0.25], [class_col])
+    n = F.least(F.lit(most), F.greatest(F.lit(1), F.floor(F.col("value") / step))).cast("int")
+    return q.select(class_col, (n - (n % 2 == 0).cast("int")).alias("width"))
+
+
+def median_filter_by(df: DataFrame, key: list[str], order: list[str], value: str, width: str, bucket: Column) -> DataFrame:
+    """median_filter with the row's own window in column ``width``, odd and 51 at most, equal for all rows of a key.
+
+    Rows get places in their key by buckets; stretches of 1,024 places, with the 25 rows beside them on either side, become
+    arrays whose slices are sorted, so a key of any length is dealt over tasks.  A width that is even, null or out of bounds is
+    an error."""
+    ok = F.col(width).between(1, 51) & (F.col(width) % 2 == 1)
+    half = F.when(F.coalesce(ok, F.lit(False)), F.col(width)).otherwise(F.raise_error(F.lit("the window is odd and 51 at most"))) / 2
+    rows = running(df, key, order, bucket, {"_p": F.lit(1)}).drop("_b").withColumn("_h", F.floor(half).cast("int"))
+    near = F.array_distinct(F.transform(F.array(*[F.lit(x) for x in (-25, 0, 25)]), lambda x: F.floor((F.col("_p") + x) / BUCKET)))
+    dealt = rows.withColumn("_s", F.explode(F.filter(near, lambda s: s >= 0)))
+    kept = F.struct(F.col("_p"), F.col(value).alias("v"), F.col("_h"), F.struct(*[c for c in df.columns if c not in key]).alias("row"))
+    stretches = dealt.groupBy(*key, "_s").agg(F.array_sort(F.collect_list(kept), lambda x, y: F.when(x["_p"] < y["_p"], -1).otherwise(1)).alias("a"))
+    stretches = stretches.select(*key, "_s", "a", F.transform("a", lambda x: x["v"]).alias("vs"), F.posexplode("a").alias("i", "x")).where(F.floor(F.col("x._p") / BUCKET) == F.col("_s"))
+    lo = F.greatest(F.lit(0), F.col("i") - F.col("x._h"))
+    hi = F.least(F.size("vs") - 1, F.col("i") + F.col("x._h"))
+    cut = F.sort_array(F.slice("vs", lo + 1, hi - lo + 1))
+    return stretches.select(*key, "x.row.*", F.get(cut, F.floor((hi - lo + 1) / 2).cast("int")).alias("median")).select(*df.columns, "median")
+
+
 def daily_numbers(df: DataFrame, ts: str, tie: str) -> DataFrame:
-    """df with ``number``: from 1 each day of ts, in order of time."""
-    return df.withColumn("number", F.row_number().over(Window.partitionBy(F.to_date(ts)).orderBy(ts, tie)))
+    """df with ``number``: from 1 each day of ts, in order of time.  Rows are numbered within minutes, after the counts of the
+    minutes before, so a day is dealt over tasks."""
+    rows = running(df.withColumn("_day", F.to_date(ts)), ["_day"], [ts, tie], F.date_trunc("minute", ts), {"number": F.lit(1)})
+    return rows.withColumn("number", F.col("number") + 1).drop("_day", "_b", "number_all")
 
 
 def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

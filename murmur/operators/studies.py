@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions.scalars import ratio
+from murmur.operators.quantiles import percentiles
 
 
 def clip_classes(events: DataFrame, key: list[str], *, label: str = "event_label", onset: str = "onset") -> DataFrame:
@@ -35,8 +36,8 @@ def gap_summary(gaps: DataFrame, flag: Column, value: str, *, least: Column | No
     """(fragmented, n, median) of the two groups of long events; a group without rows has n 0 and a null median.  Events below
     ``least`` are left out before anything is counted."""
     rows = (gaps if least is None else gaps.where(least)).select(F.coalesce(flag, F.lit(False)).alias("fragmented"), F.col(value).alias("_v"))
-    # equal values are counted first, so a task holds distinct values
-    got = rows.groupBy("fragmented").agg(F.count("_v").alias("n"), F.median("_v").alias("median"))
+    middle = percentiles(rows, "_v", [0.5], ["fragmented"]).select(F.col("fragmented"), F.col("value").alias("median"))
+    got = rows.groupBy("fragmented").agg(F.count("_v").alias("n")).join(middle, "fragmented", "left")
     both = gaps.sparkSession.createDataFrame([(True,), (False,)], "fragmented boolean")
     return both.join(got, "fragmented", "left").select("fragmented", F.coalesce("n", F.lit(0)).alias("n"), "median")
 
