@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from murmur.functions.scalars import ratio
 from murmur.operators.quantiles import percentiles
+from murmur.operators.runs import longest_run
+from murmur.sources.checkpoints import written
 
 
 def clip_classes(events: DataFrame, key: list[str], *, label: str = "event_label", onset: str = "onset") -> DataFrame:
@@ -82,3 +84,61 @@ def apart(train: DataFrame, evaluation: DataFrame, key: str) -> DataFrame:
     keeps the two apart."""
     n = evaluation.agg(F.count("*").alias("_n")).select(F.when(F.col("_n") > 0, True).otherwise(F.raise_error(F.lit("the evaluation set is empty"))).alias("_ok"))
     return train.join(evaluation.select(key).distinct(), key, "left_anti").join(F.broadcast(n), F.col("_ok"))  # one row
+
+
+def hop_levels(events: DataFrame, sounds: DataFrame, key: list[str], *, id_col: str, hop: float, bucket: float) -> DataFrame:
+    """(id, hop, rms): the level of each hop of each event (key, id, onset, offset) that has samples (key, at, x) in it.  Events
+    meet samples in stretches of time of the given length."""
+    cells = F.explode(F.sequence(F.floor(F.col("onset") / bucket).cast("long"), F.floor(F.col("offset") / bucket).cast("long"))).alias("cell")
+    e = events.select(*key, id_col, "onset", "offset", cells)
+    s = sounds.select(*key, "at", "x", F.floor(F.col("at") / bucket).cast("long").alias("cell"))
+    near = s.join(e, [*key, "cell"]).where("at >= onset AND at < offset")
+    n = F.floor((F.col("at") - F.col("onset")) / hop).cast("long").alias("hop")
+    return near.groupBy(id_col, n).agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"))
+
+
+def samples(waves: DataFrame, key: list[str], *, wave: str = "samples", rate: str = "sample_rate") -> DataFrame:
+    """(key, at, x) of waveforms kept as arrays, times in seconds."""
+    return waves.select(*key, F.col(rate).alias("_r"), F.posexplode(wave).alias("_i", "x")).select(*key, (F.col("_i") / F.col("_r")).alias("at"), "x")
+
+
+def long_event_gaps(reference: DataFrame, predicted: DataFrame, sounds: DataFrame, key: list[str], *, id_col: str, hop: float, bucket: float, share: float = 0.2, least: float = 1.0) -> DataFrame:
+    """(id, class_id, fragmented, gap) of every reference event of the least length or more: whether two or more predictions of
+    its class overlap it, and the longest run of hops below ``share`` of its median level, in time.
+
+    Shorter events are dropped before anything is joined, so clips without a long event are not read beyond the filter
+    that the join pushes into their scan.  An event without samples has no gap (null); one that is never quiet has 0."""
+    long = reference.where(F.col("offset") - F.col("onset") >= least)
+    levels = written(hop_levels(long, sounds, key, id_col=id_col, hop=hop, bucket=bucket), "levels")
+    middle = percentiles(levels, "rms", [0.5], [id_col]).select(F.col(id_col).alias("_id"), F.col("value").alias("median"))
+    marked = levels.join(middle, F.col(id_col) == F.col("_id"))
+    quiet = longest_run(marked, [id_col], ["hop"], F.col("rms") < F.col("median") * share, F.floor(F.col("hop") / 1024))
+    gaps = levels.select(id_col).distinct().join(quiet, id_col, "left").select(F.col(id_col).alias("_id"), (F.coalesce(F.col("end") - F.col("start"), F.lit(0)) * hop).alias("gap"))
+    cells = lambda: F.explode(F.sequence(F.floor(F.col("onset") / bucket).cast("long"), F.floor(F.col("offset") / bucket).cast("long"))).alias("cell")
+    p = predicted.select(*key, "class_id", F.col("onset").alias("p_onset"), F.col("offset").alias("p_offset"))
+    p = p.withColumn("cell", F.explode(F.sequence(F.floor(F.col("p_onset") / bucket).cast("long"), F.floor(F.col("p_offset") / bucket).cast("long"))))
+    # a pair is kept in the cell of its later start, so it counts once
+    hits = long.select(*key, "class_id", id_col, "onset", "offset", cells()).join(p, [*key, "class_id", "cell"]).where((F.col("p_onset") < F.col("offset")) & (F.col("onset") < F.col("p_offset")) & (F.col("cell") == F.floor(F.greatest("onset", "p_onset") / bucket)))
+    hits = hits.groupBy(F.col(id_col).alias("_h")).agg(F.count("*").alias("_n"))
+    out = long.select(id_col, "class_id").join(hits, F.col(id_col) == F.col("_h"), "left").join(gaps, F.col(id_col) == F.col("_id"), "left")
+    return out.select(id_col, "class_id", (F.coalesce("_n", F.lit(0)) >= 2).alias("fragmented"), "gap")
+
+
+def slice_grid(counts: DataFrame, slices: DataFrame, key: list[str]) -> DataFrame:
+    """(slice, n_clips, tp, fp, fn, precision, recall, f1) by slice and over all clips ("all"), from counts (key, tp, fp, fn) of
+    event_counts and slices (key, slices): a clip counts in each of its slices once, and a clip without counts with zeros."""
+    own = counts.groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    clips = slices.join(own, key, "left").select(*key, F.explode(F.array_distinct(F.concat(F.coalesce("slices", F.array().cast("array<string>")), F.array(F.lit("all"))))).alias("slice"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "fp", "fn")])
+    return _scores(clips.groupBy("slice"))
+
+
+def cross_cuts(counts: DataFrame, slices: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
+    """slice_grid's columns for the 2 x 2 cells of two slices and their margins, (a, b) true, false or, for both, null."""
+    own = counts.groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    has = lambda s: F.coalesce(F.array_contains("slices", s), F.lit(False)).alias(s)
+    return _scores(slices.join(own, key, "left").select(has(a), has(b), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "fp", "fn")]).cube(a, b))
+
+
+def _scores(grouped) -> DataFrame:
+    c = grouped.agg(F.count("*").alias("n_clips"), *[F.sum(x).alias(x) for x in ("tp", "fp", "fn")])
+    return c.withColumn("precision", ratio("tp", F.col("tp") + F.col("fp"))).withColumn("recall", ratio("tp", F.col("tp") + F.col("fn"))).withColumn("f1", ratio(F.col("tp") * 2, F.col("tp") * 2 + F.col("fp") + F.col("fn")))
