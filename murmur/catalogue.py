@@ -326,17 +326,10 @@ def lexicon_match(spark, d):
     return hits.groupBy("class_id").agg(F.sum("n").alias("n"))
 
 
-@query("""WITH w AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM benchmark)
-  SELECT a.item_id AS a, b.item_id AS b, floor(len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) * 1e8 + 0.5) / 1e8 AS jaccard FROM w a JOIN w b ON a.item_id < b.item_id WHERE len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) >= 0.3""")
+@query("""WITH w AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')) AS w FROM benchmark)
+  SELECT a.item_id AS a, b.item_id AS b, floor(len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) * 1e8 + 0.5) / 1e8 AS jaccard FROM w a JOIN w b ON a.item_id < b.item_id WHERE len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) >= 0.08""")
 def token_jaccard(spark, d):
-    b = table(spark, d, "benchmark")
-    words = b.select("item_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != ""))).alias("w"))
-    n = words.groupBy("item_id").agg(F.count("*").alias("n"))
-    o = words.select(F.col("item_id").alias("b"), "w")
-    both = words.join(o, "w").where("item_id < b").groupBy(F.col("item_id").alias("a"), "b").agg(F.count("*").alias("k"))
-    j = both.join(n.select(F.col("item_id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("item_id").alias("b"), F.col("n").alias("nb")), "b")
-    share = S.ratio("k", F.col("na") + F.col("nb") - F.col("k"))
-    return j.where(share >= 0.3).select("a", "b", S.rounded(share, 8).alias("jaccard"))
+    return X.alike(table(spark, d, "benchmark"), "item_id", "text", 0.08).withColumn("jaccard", S.rounded("jaccard", 8))
 
 
 _TG = "(SELECT 'Brand#' || x || y AS brand, CASE WHEN x + y = 2 THEN 0 ELSE 10 * x * y END AS target FROM range(1, 7) a(x), range(1, 6) b(y))"

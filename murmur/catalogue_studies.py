@@ -191,16 +191,16 @@ def vector_scalars(spark, d):
 
 
 
-@query("""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(left(text, 200)), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split_regex(lower(right(text, 200)), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')) AS b FROM documents)
-  SELECT doc_id, floor(len(list_intersect(a, b))::DOUBLE / nullif(len(list_distinct(list_concat(a, b))), 0) * 1e8 + 0.5) / 1e8 AS jaccard FROM w""")
-def text_ends_alike(spark, d):
-    """How alike the first and the last 200 characters of each document are."""
-    t = table(spark, d, "documents").select("doc_id", F.left("text", F.lit(200)).alias("a"), F.right("text", F.lit(200)).alias("b"))
-    return t.select("doc_id", S.rounded(S.token_jaccard("a", "b"), 8).alias("jaccard"))
+@query("""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')) AS w FROM documents)
+  SELECT a.doc_id, floor(len(list_intersect(a.w, b.w))::DOUBLE / nullif(len(list_distinct(list_concat(a.w, b.w))), 0) * 1e8 + 0.5) / 1e8 AS jaccard FROM w a JOIN w b ON b.doc_id = a.doc_id + 1""")
+def next_text_alike(spark, d):
+    """How alike the whole texts of each document and the one of the next id are."""
+    t = table(spark, d, "documents").select("doc_id", "text")
+    other = t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next"))
+    return t.join(other, "doc_id").select("doc_id", S.rounded(S.token_jaccard("text", "next"), 8).alias("jaccard"))
 
 
-@query("""SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) >= 0 AS seen FROM customer""")
+@query("""WITH h AS (SELECT c_custkey, row_number() OVER (ORDER BY CAST('0x' || substr(sha256('7:' || c_custkey), 1, 15) AS BIGINT), c_custkey) AS r, count(*) OVER () AS n FROM customer)
+  SELECT c_custkey, r <= greatest(1, round_even(n * 0.1, 0)) AS validation FROM h""")
 def random_split_share(spark, d):
-    c = provenance.random_split(table(spark, d, "customer").select("c_custkey"), "c_custkey", 0.1, 7)
-    n = c.agg(F.count_if("validation").alias("m"), F.count("*").alias("n"))
-    return c.join(F.broadcast(n), F.lit(True)).select("c_custkey", (F.col("m") == F.greatest(F.lit(1), F.bround(F.col("n") * 0.1))).alias("seen"))
+    return provenance.random_split(table(spark, d, "customer").select("c_custkey"), "c_custkey", 0.1, 7)

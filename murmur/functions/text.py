@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,9 +72,12 @@ def phrase_matches(texts: DataFrame, lexicon: DataFrame, *, key: str, text: str
     rows = phrases.select("first", F.size("p").alias("n")).collect()  # a lexicon is a small dimension
     firsts, longest = sorted({r["first"] for r in rows}), max((r["n"] for r in rows), default=1)
     negated = [n.split() for n in V.NEGATIONS[lang]]
-    # every word leaves its text, but only those that begin a phrase stay, each with the few words around it
-    at = texts.select(key, tokens(text).alias("w")).select(key, "w", F.posexplode("w").alias("i", "first")).where(F.col("first").isin(firsts))
-    words = at.select(key, "first", F.slice("w", F.col("i") + 1, F.lit(longest)).alias("ahead"), F.slice("w", F.greatest(F.lit(1), F.col("i") + 1 - window), F.least("i", F.lit(window))).alias("before"))
+    # places of first words are found in the text's array, so only they leave it, each with the few words around it
+    around = lambda w, i: F.struct(F.get(w, i).alias("first"), F.slice(w, i + 1, F.lit(longest)).alias("ahead"), F.slice(w, F.greatest(F.lit(1), i + 1 - window), F.least(i, F.lit(window))).alias("before"))
+    begins = lambda w: F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i).isin(firsts))
+    some = lambda w: F.when(F.size(w) > 0, F.transform(begins(w), lambda i: around(w, i)))
+    seen = texts.where(F.lower(text).rlike("|".join(re.escape(f) for f in firsts)) if firsts else F.lit(False))
+    words = seen.select(key, F.explode(F.element_at(F.transform(F.array(tokens(text)), some), 1)).alias("x")).select(key, "x.*")
     hits = words.join(F.broadcast(phrases), "first").where(F.slice("ahead", F.lit(1), F.size("p")) == F.col("p"))
     before = F.col("before")
     said = F.concat(F.lit(" "), F.array_join(before, " "), F.lit(" "))
@@ -80,3 +85,22 @@ def phrase_matches(texts: DataFrame, lexicon: DataFrame, *, key: str, text: str
     for n in negated:
         no = no | F.contains(said, F.lit(f" {' '.join(n)} "))
     return hits.where(~no).groupBy(key, "class_id").agg(F.count("*").alias("n"))
+
+
+def alike(df: DataFrame, key: str, text: str, least: float) -> DataFrame:
+    """(a, b, jaccard) of pairs with a < b whose sets of lower-cased words have a Jaccard similarity of ``least`` or more.
+
+    The rarest words of each set come first, and of n words only the first n - ceil(least * n) + 1 seek partners: two sets that
+    are alike share one of these, so common words join nothing.  Candidates are verified on their whole sets."""
+    words = F.array_distinct(F.filter(F.split(F.lower(text), r"[ \t\n\r\f\x0B]+"), lambda w: w != ""))
+    sets = df.select(F.col(key).alias("k"), words.alias("w")).where(F.size("w") > 0)
+    each = sets.select("k", F.explode("w").alias("x"))
+    count = each.groupBy("x").agg(F.count("*").alias("n"))
+    ranked = each.join(count, "x").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("s"))  # a text's own words
+    size = F.size("s")
+    prefix = ranked.select("k", F.explode(F.slice("s", F.lit(1), (size - F.ceil(size * least - 1e-9) + 1).cast("int"))).alias("p")).select("k", "p.x")
+    pairs = prefix.select(F.col("k").alias("a"), "x").join(prefix.select(F.col("k").alias("b"), "x"), "x").where("a < b").select("a", "b").distinct()
+    both = pairs.join(sets.select(F.col("k").alias("a"), F.col("w").alias("wa")), "a").join(sets.select(F.col("k").alias("b"), F.col("w").alias("wb")), "b")
+    shared = F.size(F.array_intersect("wa", "wb"))
+    score = shared / (F.size("wa") + F.size("wb") - shared)
+    return both.select("a", "b", score.alias("jaccard")).where(F.col("jaccard") >= least)

@@ -60,11 +60,12 @@ def random_split(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
     """df with ``validation``: true for max(1, round(n * share)) rows, those of the least seeded hash of a key that has no
     equal; of equal hashes those of the least keys.
 
-    Rows are counted by the first 16 bits of the hash, 65,536 numbers that the driver sees; all rows below the last of
-    these bins are taken as they are, and only that bin is put in order.
+    The hash is that of seed and key as text, so other engines draw the same rows.  Rows are counted by its first 16 bits,
+    65,536 numbers that the driver sees; all rows below the last of these bins are taken as they are, and only that bin is put
+    in order.
     """
-    h = F.xxhash64(F.lit(seed), F.col(key))
-    rows = df.withColumn("_h", h).withColumn("_b", F.shiftright("_h", 48))
+    draw = lambda c: F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(c).cast("string")), 256), 1, 15), 16, 10).cast("long")
+    rows = df.withColumn("_b", F.shiftright(draw(key), 44))
     bins = sorted((r["_b"], r["count"]) for r in rows.groupBy("_b").count().collect())
     m, below = max(1, round(sum(c for _, c in bins) * share)), 0
     for last, c in bins:
@@ -73,10 +74,10 @@ def random_split(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
         below += c
     else:
         return df.withColumn("validation", F.lit(bool(bins)))
-    edge = rows.where(F.col("_b") == last).select(F.col(key).alias("_p")).orderBy(F.xxhash64(F.lit(seed), F.col("_p")), "_p").limit(m - below)
+    edge = rows.where(F.col("_b") == last).select(F.col(key).alias("_p")).orderBy(draw("_p"), "_p").limit(m - below)
     edge = edge.withColumn("_e", F.lit(True))
     out = rows.join(edge, (F.col(key) == F.col("_p")) & (F.col("_b") == last), "left")
-    return out.withColumn("validation", (F.col("_b") < last) | F.coalesce("_e", F.lit(False))).drop("_h", "_b", "_p", "_e")
+    return out.withColumn("validation", (F.col("_b") < last) | F.coalesce("_e", F.lit(False))).drop("_b", "_p", "_e")
 
 
 def inventory(clips: DataFrame, targets: DataFrame, *, key: str = "class_id", duration: str = "duration_bank", source: str = "source_dataset") -> DataFrame:
