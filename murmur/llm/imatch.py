@@ -6,7 +6,9 @@ terms in a subset agree have the same hash there, so the share of equal hashes t
 
 Everything is a built-in Spark expression.  Document frequencies are counted over all documents for each
 term, known by 62 bits of its hash.  Up to MAX_LITERAL terms in the band are a literal, a hash table in which
-a term has two places; beyond, the band is a table that terms are joined with.  A subset keeps the terms whose hash has a run of
+a term has two places and shows three bytes of its hash; no other term of the documents is mistaken for one of
+them, which is checked, and a table that fails is made anew of other bytes.  Beyond, the band is a table that terms are
+joined with.  A subset keeps the terms whose hash has a run of
 zero bits at its own place: LEVELS rates (1/2, 1/8, ...) times SUBSETS places, so that texts of a few
 words and of many thousands both have subsets which hold a few of their terms.
 """
@@ -21,8 +23,12 @@ from pyspark.sql import functions as F
 
 from murmur.llm._common import materialise, once, spare
 
-#: Terms in the band that a literal holds, in 4 places of 8 bytes each at most.
-MAX_LITERAL = 1 << 15
+#: Terms in the band that a literal holds, some 7 bytes a term.
+MAX_LITERAL = 1 << 20
+#: Bytes of a term's hash in its place, and which ones (from the first, 1) a table may show.
+TAG, TAGS = 3, (4, 5, 3, 6)
+#: Tasks that share the join of equal texts beyond MAX_LITERAL.
+SHARES = 64
 #: The band: idf as a share of its greatest value, ln N, for N documents.
 IDF_LOW, IDF_HIGH = 0.25, 0.9
 SUBSETS, LEVELS = 7, 5
@@ -42,9 +48,9 @@ def _key(h: Column) -> Column:
     return h.bitwiseOR(F.lit(-(1 << 62)))
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", *, low: float = IDF_LOW, high: float = IDF_HIGH) -> DataFrame | bytes | None:
-    """The keys of the terms whose document frequency over all docs is in the band: a table of places for MAX_LITERAL
-    keys at most, else a DataFrame (key).
+def lexicon(docs: DataFrame, text_col: str = "text", *, low: float = IDF_LOW, high: float = IDF_HIGH) -> DataFrame | Table | None:
+    """The keys of the terms whose document frequency over all docs is in the band: a Table for MAX_LITERAL keys at
+    most, else a DataFrame (key).
 
     Null texts are documents without terms.  With no documents, or one, every term is in the band: None.
     """
@@ -53,48 +59,72 @@ def lexicon(docs: DataFrame, text_col: str = "text", *, low: float = IDF_LOW, hi
         return None
     least, most = n ** (1 - high), n ** (1 - low)
     terms = docs.select(F.explode(_hashes(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("h")).select(_key(F.col("h")).alias("key"))
-    band = terms.groupBy("key").count().where(F.col("count").between(math.ceil(least - 1e-9), math.floor(most + 1e-9)))
-    band = materialise(band.select("key"), "band")
+    counts = materialise(terms.groupBy("key").count(), "terms")
+    inside = F.col("count").between(math.ceil(least - 1e-9), math.floor(most + 1e-9))
+    band = counts.where(inside).select("key")
     if band.count() > MAX_LITERAL:
-        return band
-    return places(band.toArrow()["key"].to_numpy().astype(np.int64).view(np.uint64))
-
-
-def places(keys: np.ndarray) -> bytes:
-    """Distinct keys, not 0, in a power of two of places of 8 bytes: each at its low bits or at its high half's low bits."""
-    size = 64
-    while size < 2 * len(keys):
-        size *= 2
-    while True:
-        table, mask = np.zeros(size, np.uint64), np.uint64(size - 1)
-        one, two = lambda k: k & mask, lambda k: k >> np.uint64(32) & mask
+        return materialise(band, "band")
+    keys = band.toArrow()["key"].to_numpy().astype(np.int64)
+    for tag in TAGS:
+        table = Table(keys, tag)
+        if counts.where(~inside).where(table.holds(F.col("key"))).isEmpty():
+            return table
+    return materialise(band, "band")
+
+
+class Table:
+    """Distinct keys as bytes: each at one of two places, as TAG bytes of it from byte ``tag``; a free place is zero."""
+
+    def __init__(self, keys: np.ndarray, tag: int):
+        self.tag, self.size = tag, 2 * len(keys) + len(keys) // 4 + 64
+        k = keys.astype(np.int64)
+        while (laid := self._laid(k)) is None:
+            self.size += self.size // 8 + 1
+        shown = laid.astype(">i8").view(np.uint8).reshape(-1, 8)[:, tag - 1 : tag - 1 + TAG]
+        self.bytes = shown.tobytes()
+
+    def _laid(self, keys: np.ndarray) -> np.ndarray | None:
+        table = np.zeros(self.size, np.int64)
+        one, two = lambda k: k % self.size, lambda k: (k >> 20) % self.size
         k, at = keys, one(keys)
         for _ in range(1000):
+            if not len(k):
+                return table
             out = table[at]
             table[at] = k
             put = table[at] == k
             gone = put & (out != 0)
             k, at = np.r_[k[~put], out[gone]], np.r_[at[~put], at[gone]]
             at = np.where(at == one(k), two(k), one(k))
-            if not len(k):
-                return table.astype(">u8").tobytes()
-        size *= 2
+        return None
+
+    def holds(self, key: Column, table: Column | None = None) -> Column:
+        """Whether a key of _key() has a place; a false yes has a chance of some 1 in 2^24.  ``table`` is the literal where it is
+        bound already, so that it stands in a plan once."""
+        table = self.literal() if table is None else table
+        shown = F.call_function("substring", F.unhex(F.hex(key)), F.lit(self.tag), F.lit(TAG))
+        at = lambda p: F.call_function("substring", table, (F.pmod(p, F.lit(self.size)) * TAG + 1).cast("int"), F.lit(TAG))
+        return F.element_at(F.transform(F.array(shown), lambda x: (at(key) == x) | (at(F.shiftright(key, 20)) == x)), 1)
+
+    def literal(self) -> Column:
+        return F.lit(bytearray(self.bytes))
 
 
-def with_fingerprint(df: DataFrame, text: Column, lex: DataFrame | bytes | None, out_col: str) -> DataFrame:
+def with_fingerprint(df: DataFrame, text: Column, lex: DataFrame | Table | None, out_col: str, spread: Column | None = None) -> DataFrame:
     """df with out_col: SUBSETS * LEVELS hashes in one string.  Equal texts have equal fingerprints; a
-    text without terms in the band, such as null or the empty text, shows EMPTY throughout."""
-    band, name, found = spare(df, "band_", "name_", "found_")
+    text without terms in the band, such as null or the empty text, shows EMPTY throughout.  ``spread`` is what deals equal
+    texts to SHARES tasks where the band is joined, such as an id."""
+    band, found = spare(df, "band_", "found_")
     df = once(df, **{band: _hashes(F.coalesce(text, F.lit("")))})
-    if isinstance(lex, bytes):
-        table, mask = F.lit(bytearray(lex)), len(lex) // 8 - 1
-        at = lambda p: F.call_function("substring", table, (p.bitwiseAND(F.lit(mask)) * 8 + 1).cast("int"), F.lit(8))
-        inside = lambda h, k: (at(h) == k) | (at(F.shiftrightunsigned(h, 32)) == k)
-        df = once(df, **{band: F.filter(band, lambda h: inside(h, F.unhex(F.hex(_key(h)))))})
+    if isinstance(lex, Table):
+        kept = F.transform(F.array(lex.literal()), lambda t: F.filter(band, lambda h: lex.holds(_key(h), t)))
+        df = once(df, **{band: F.element_at(kept, 1)})
     elif lex is not None:
-        df = df.withColumn(name, F.sha2(F.coalesce(text, F.lit("")), 256))
-        terms = df.select(name, F.explode(band).alias("h")).withColumn("key", _key(F.col("h"))).join(lex, "key", "left_semi")
-        df = df.join(terms.groupBy(name).agg(F.collect_set("h").alias(found)), name, "left").withColumn(band, F.coalesce(found, F.array().cast("array<bigint>"))).drop(name, found)
+        one, two, share = spare(df, "one_", "two_", "share_")
+        names = [one, two, share]
+        df = df.withColumn(one, F.xxhash64(F.lit(1), text)).withColumn(two, F.xxhash64(F.lit(2), text)).withColumn(share, F.lit(0) if spread is None else F.pmod(F.xxhash64(spread), F.lit(SHARES)))
+        terms = df.select(*names, F.explode(band).alias("h")).withColumn("key", _key(F.col("h"))).join(lex, "key", "left_semi")
+        df = df.join(terms.groupBy(*names).agg(F.collect_set("h").alias(found)), names, "left").withColumn(band, F.coalesce(found, F.array().cast("array<bigint>"))).drop(*names, found)
     df = once(df, **{band: F.sort_array(band)})
     # per place k: the nested subsets of all levels, each the terms whose bits under the mask are zero;
     # transform(array(x), v -> ...)[0] binds x to v
@@ -165,12 +195,12 @@ def fingerprint_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     lex = lexicon(docs, text_col, low=low, high=high)
     df = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    df = with_fingerprint(df, F.col("text"), lex, "fingerprint")
+    df = with_fingerprint(df, F.col("text"), lex, "fingerprint", F.col(id_col))
     df = next_rows(df, id_col, ["text", "fingerprint"])
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     df = df.withColumn("edited", F.concat(F.left("text", n - quarter), F.left("next_text", quarter))).withColumn("n_chars", n.cast("long"))
     df = df.select(id_col, "n_chars", "edited", "fingerprint", "next_fingerprint")
-    df = with_fingerprint(df, F.col("edited"), lex, "edited_fingerprint").withColumn("edited_sha256", F.sha2("edited", 256))
+    df = with_fingerprint(df, F.col("edited"), lex, "edited_fingerprint", F.col(id_col)).withColumn("edited_sha256", F.sha2("edited", 256))
     near = lambda c: likeness("fingerprint", c)
     return df.select(id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next"))

@@ -232,7 +232,7 @@ def test_lexicon_is_exact_for_rare_terms(spark, monkeypatch):
     for few in (imatch.MAX_LITERAL, 0):
         monkeypatch.setattr(imatch, "MAX_LITERAL", few)
         lex = imatch.lexicon(frame(spark, rows))
-        assert isinstance(lex, bytes) == bool(few)
+        assert isinstance(lex, imatch.Table) == bool(few)
         for name, texts in (("all", rows), ("bare", bare)):
             df = imatch.with_fingerprint(frame(spark, texts + [(1000 + i, x) for i, x in enumerate(ODD)]), F.col("text"), lex, "f")
             got[few, name] = {x.doc_id: x.f for x in df.collect()}
@@ -241,11 +241,13 @@ def test_lexicon_is_exact_for_rare_terms(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("n", [0, 1, 64, 5000])
-def test_places_hold_every_key(n):
-    keys = np.unique(np.random.default_rng(n).integers(1, 1 << 63, n).astype(np.uint64) | np.uint64(3 << 62))
-    table = np.frombuffer(imatch.places(keys), ">u8")
-    mask = np.uint64(len(table) - 1)
-    assert ((table[keys & mask] == keys) | (table[keys >> np.uint64(32) & mask] == keys)).all() and (table != 0).sum() == n
+def test_a_table_holds_its_keys_and_hardly_others(spark, n):
+    keys = np.unique(np.random.default_rng(n).integers(1, 1 << 62, n + 20000) | np.int64(-(1 << 62)))
+    mine = keys[::5][:n] if n else keys[:0]
+    table = imatch.Table(mine, imatch.TAGS[0])
+    df = spark.createDataFrame([(int(k),) for k in keys], "k long")
+    held = {x.k for x in df.where(table.holds(F.col("k"))).collect()}
+    assert set(mine.tolist()) <= held and len(held) - len(mine) <= 2
 
 
 def test_next_rows_over_many_blocks(spark):
