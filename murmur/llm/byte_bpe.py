@@ -6,10 +6,11 @@ a fold merges its adjacent pair of least rank, leftmost first, until no pair is
 ranks of the pairs along: a merge looks up the two pairs beside it and no others.
 
 Ranks within a word are characters of a string, on which Spark's functions are many times faster than on
-its arrays.  All maps are literals cut small, as Spark searches a map from end to end.  Words: an array of strings, chosen by
-a hash of the word; beside the words that are ranks it holds the commonest others of all texts, encoded by the same fold
-beforehand, and every word that it lacks is folded where it occurs.  Pairs, the rank map of the fold: an array of strings, chosen by a hash of the
-pair.  Decoding concatenates the byte strings of the ids.  Documents are never shuffled, only counts of words.
+its arrays.  Maps are cut small, as Spark searches a map from end to end.  Words: an array of strings, chosen by
+a hash of the word; beside the words that are ranks it holds the commonest others of all texts, each encoded once by the same
+fold, and every word that it lacks is folded where it occurs.  The array is made by Spark and reaches the tasks as the value of
+a scalar subquery, so no plan spells it out and the driver builds nothing.  Pairs, the rank map of the fold: a literal array of
+strings, chosen by a hash of the pair.  Decoding concatenates the byte strings of the ids.  Documents are never shuffled, only counts of words.
 """
 
 from __future__ import annotations
@@ -23,14 +24,18 @@ from pyspark.sql import functions as F
 
 from murmur.llm._common import materialise, once, spare
 
-SLOTS, PAIR_SLOTS = 1 << 15, 1 << 15
+#: Words that share a slot, about, and slots of pairs.
+PER_SLOT, PAIR_SLOTS = 4, 1 << 15
 SPACE = r"\u0009-\u000D\u0020\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: What separates words in a slot: no characters of any text that means something.  A text with them is folded word by word.
-OPEN, CLOSE, NEXT = "\ufdd0", "\ufdd1", "\ufdd2"
+OPEN, CLOSE = "\ufdd0", "\ufdd1"
 #: Distinct words to merge in a text: beyond so many they are found by bisection, not by a search of a map.
 FEW = 1024
-#: Words encoded beforehand, at most, and how often each occurs at least; the others are folded text by text.
-COMMON, LEAST_COMMON = 1 << 16, 8
+#: Words encoded beforehand, at most (some 30 MB in each task), and how often each occurs at least; the others are folded text
+#: by text.
+COMMON, LEAST_COMMON = 1 << 20, 3
+
+
 def java_pattern(pattern: str) -> str:
     """The pattern with white space spelled out as Unicode has it, which Java's \\s does not."""
     out, inside = [], False
@@ -80,17 +85,20 @@ def _slot_sql(key: str, n: int) -> str:
     return f"CAST(crc32(CAST({key} AS BINARY)) & {n - 1}L AS INT)"
 
 
-def _words_sql(words: dict[str, str]) -> str:
-    """A foldable expression: an array of SLOTS strings with the words, each between OPEN and CLOSE, then its ids as
+def _words_table(words: DataFrame) -> tuple[DataFrame, int]:
+    """One row with ``t``, an array of slots, and their number: the words (w, ids), each between OPEN and CLOSE, then its ids as
     characters and CLOSE; before them CLOSE."""
-    table = [CLOSE] * SLOTS
-    for w, ids in words.items():
-        table[_slot(w, SLOTS)] += f"{OPEN}{w}{CLOSE}{ids}{CLOSE}"
-    return f"split({_quoted(NEXT.join(table))}, '{NEXT}')"
+    slots = 1 << max(6, (words.count() // PER_SLOT).bit_length())
+    entry = F.concat(F.lit(OPEN), "w", F.lit(CLOSE), "ids", F.lit(CLOSE))
+    filled = words.groupBy(F.expr(_slot_sql("w", slots)).cast("long").alias("id")).agg(F.array_join(F.array_sort(F.collect_list(entry)), "").alias("s"))
+    every = words.sparkSession.range(slots).join(filled, "id", "left").select("id", F.concat(F.lit(CLOSE), F.coalesce("s", F.lit(""))).alias("s"))
+    one = every.agg(F.array_sort(F.collect_list(F.struct("id", "s"))).alias("a")).select(F.transform("a", lambda x: x["s"]).alias("t"))
+    return materialise(one, "words"), slots
 
 
-#: The ids of a word w, empty if it isn't known; t is the array of words.
-LOOK = f"substring_index(substring_index(t[{_slot_sql('w', SLOTS)}], concat('{OPEN}', w, '{CLOSE}'), -1), '{CLOSE}', 1)"
+def _look(slots: int) -> str:
+    """The ids of a word w, empty if it isn't known; t is the array of words."""
+    return f"substring_index(substring_index(t[{_slot_sql('w', slots)}], concat('{OPEN}', w, '{CLOSE}'), -1), '{CLOSE}', 1)"
 
 
 def _bound(expr: str, **values: str) -> str:
@@ -176,24 +184,27 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col: st
     spark = df.sparkSession
     pattern = java_pattern(pattern).replace("\\", "\\\\").replace("'", "\\'")
     code = _Code(ranks)
-    fold, known = _Fold(ranks, code), {w: ids for w, ids in _whole(ranks, code).items() if not {OPEN, CLOSE, NEXT} & set(w)}
+    fold = _Fold(ranks, code)
+    whole = _whole(ranks, code)
+    known = spark.createDataFrame(pa.table({"w": pa.array(list(whole), pa.string()), "ids": pa.array(list(whole.values()), pa.string())}))
     if common:
-        words = common_words(df, text_col, pattern, common + len(known))
-        done = words.join(spark.createDataFrame(pa.table({"w": pa.array(list(known), pa.string())})), "w", "left_anti")
-        got = once(done, ids=F.expr(_bound(fold.expr, **fold.names))).orderBy(F.desc(F.col("n") * F.octet_length("w")), "w").limit(common).select("w", "ids").toArrow()
-        known |= {w: ids for w, ids in zip(got["w"].to_pylist(), got["ids"].to_pylist()) if not {OPEN, CLOSE, NEXT} & set(w)}
-    (words,) = spare(df, "words_")
+        new = common_words(df, text_col, pattern, common).join(known, "w", "left_anti")
+        known = known.union(materialise(once(new, ids=F.expr(_bound(fold.expr, **fold.names))).select("w", "ids"), "folded"))
+    table, slots = _words_table(known.where(f"instr(w, '{OPEN}') = 0 AND instr(w, '{CLOSE}') = 0"))
+    words, held, done = spare(df, "words_", "held_", "done_")
     df = once(df, **{words: F.expr(f"regexp_extract_all(coalesce(CAST(`{text_col}` AS STRING), ''), '{pattern}', 0)")})
-    strange = " OR ".join(f"instr(coalesce(CAST(`{text_col}` AS STRING), ''), '{c}') > 0" for c in (OPEN, CLOSE, NEXT))
+    strange = " OR ".join(f"instr(coalesce(CAST(`{text_col}` AS STRING), ''), '{c}') > 0" for c in (OPEN, CLOSE))
     # g: the ids of the known words, or empty; d: the distinct other words; e: the ids of those
     half = "CAST((q.lo + q.hi) DIV 2 AS INT)"
     bisect = f"aggregate(sequence(0, CAST(log2(size(d)) AS INT) + 1), struct(0 AS lo, size(d) - 1 AS hi), (q, i) -> IF(q.lo >= q.hi, q, IF(d[{half}] < w, struct({half} + 1 AS lo, q.hi AS hi), struct(q.lo AS lo, {half} AS hi))), q -> q.lo)"
     found = f"IF(size(d) > {FEW}, e[{bisect}], e[CAST(array_position(d, w) AS INT) - 1])"
     merged = _bound(f"transform(`{words}`, (w, i) -> IF(g[i] <> '', g[i], {found}))", e=f"transform(d, w -> {fold.expr})")
     ids = _bound(f"array_join(IF(size(d) = 0, g, {merged}), '')", d=f"sort_array(array_distinct(filter(`{words}`, (w, i) -> g[i] = '')))")
-    ids = _bound(ids, g=f"transform(`{words}`, w -> {LOOK})", t=f"IF({strange}, array_repeat('{CLOSE}', {SLOTS}), {_words_sql(known)})", **fold.names)
+    ids = _bound(ids, g=f"transform(`{words}`, w -> IF(o, '', {_look(slots)}))", o=strange, t=f"`{held}`", **fold.names)
     ids = _bound(f"IF(p = '', CAST(array() AS ARRAY<INT>), transform(split(p, ''), x -> ascii(x) - {code.first}))", p=ids)
-    return once(df, **{out_col: F.expr(ids)}).drop(words)
+    # the one use of the column is where the optimiser puts the subquery, which may not be written there
+    df = df.withColumn(held, table.scalar()).withColumn(done, F.expr(ids)).drop(held, words)
+    return once(df, **{out_col: F.col(done)}).drop(done)
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
