@@ -2,13 +2,16 @@
 
 The windows of k words are the edges of the graph.  Counting all of them would move every word of the corpus
 k times, so a filter comes first: each window is named by the least hash of its short word sequences, and
-only windows whose name occurs at two places or more can repeat.  The remaining edges are counted, an edge
-that repeats is kept with its source coordinates, and along each document consecutive kept edges of equal
-count, which is what a path without branches has (but not it alone), compact into one span.  Spans are joined back to their
-documents by those coordinates, and there the words that they cover are cut out.
+only windows whose name occurs at two places or more can repeat.  The remaining edges are counted, and an edge that
+repeats is kept with its count and its source, the least of its coordinates.  A batch sends each of its edges once, with how often it has
+it, and stretches of further places, which one join leads to their edges.  Along a document, consecutive edges of equal
+count whose sources follow each other are a path that does not branch, and compact into one span with one source: so each
+window of a span agrees with the one at the span's source and at the same distance.  Spans are joined back to their
+documents by their coordinates, and there the words that they cover are cut out.
 
 A window is told by 95 bits, 64 of a hash of its words and 31 of another; the two come from hash functions of bytes that
-share nothing, so words that collide in one do not in the other.  Windows that agree in both are taken as equal.
+share nothing, so words that collide in one do not in the other.  Windows that agree in both are taken as equal; the words
+of two documents are not compared byte by byte.
 
 Only documents that may have a span, by a filter of bounded size, are sent to meet their spans; the others stay where
 they are.
@@ -72,8 +75,9 @@ def _repeats(column, k: int):
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 35) -> DataFrame:
     """(key1, key2, spans): for each distinct (id, text) that has repeats, the windows that repeat as an array of
-    (at, n, count), maximal runs of n consecutive windows of equal count from word ``at`` on; count is how many
-    times each of them starts in all of docs.  key1 and key2 are xxhash64 of the id and of the text.
+    (at, n, count, source1, source2, source_at): maximal runs of n consecutive windows from word ``at`` on that each start
+    ``count`` times in all of docs and whose sources follow each other from word source_at of the document (source1,
+    source2) on.  key1 and key2 are xxhash64 of the id and of the text.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -81,7 +85,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     source = docs.select(F.xxhash64(F.col(id_col)).alias("key1"), F.xxhash64(F.col(text_col).cast("string")).alias("key2"), F.col(text_col).cast("string").alias("text"))
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, 5000):
+        for b in sliced(batches):
             _, _, inside, name, grams = _repeats(b.column(0), k)
             x, n = np.unique(_chosen(inside, name, grams), return_counts=True)
             yield pa.record_batch([pa.array(signed(x)), pa.array(n.astype(np.int32))], ["name", "n"])
@@ -92,59 +96,110 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     filter_words = sc.broadcast(words)
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each edge once a batch, with its count there; an edge that repeats within the batch is known to be one:
-        its places come as rows of their own without an edge."""
-        for b in sliced(batches, 5000):
+        """Each edge once a batch, at the least of its places there, and how often the batch has it; its other places follow as
+        stretches (e2 = -1) that name that place."""
+        for b in sliced(batches):
             h, rows, inside, name, _ = _repeats(b.column(2), k)
             at = np.flatnonzero(inside & in_filter(name, filter_words.value, bits)) if len(name) else np.zeros(0, np.int64)
             if not len(at):
                 continue
             other, _ = hashes(*buffers(b.column(2)), fold=None, which=1)
-            one, two = windows(h, k, seed=1)[at], windows(other, k, seed=2)[at]
+            one, two = windows(h, k, seed=1)[at], (windows(other, k, seed=2)[at] >> U(33)).astype(np.int32)
             row = np.searchsorted(rows, at, side="right") - 1
-            place = np.argsort(one, kind="stable")
-            first = np.flatnonzero(np.r_[True, one[place][1:] != one[place][:-1]])
-            many = np.diff(np.r_[first, len(place)])
-            known = np.zeros(len(at), bool)
-            known[place[np.repeat(many > 1, many)]] = True
-            o = np.argsort(place[first])  # in order of place: neighbours then share their keys, which compress
-            head, many = place[first][o], many[o]
-            n = len(head)
-            # kept places of edges seen once; no place for edges whose places follow as spans
-            key1, key2 = np.asarray(b.column(0)), np.asarray(b.column(1))
-            pos = np.where(known[head], -1, at[head] - rows[row[head]])
-            yield pa.record_batch([pa.array(signed(one[head])), pa.array((two[head] >> U(33)).astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(key1[row[head]]), pa.array(key2[row[head]]), pa.array(pos.astype(np.int32)), pa.array(np.ones(n, np.int32))], ["e1", "e2", "n", "key1", "key2", "at", "len"])
-            seen = np.flatnonzero(known)
-            if len(seen):
-                cut = np.flatnonzero(np.r_[True, (np.diff(at[seen]) != 1) | (np.diff(row[seen]) != 0)])
-                start = seen[cut]
-                long = np.diff(np.r_[cut, len(seen)])
-                r = row[start]
-                yield pa.record_batch([pa.array(signed(mix(at[start].astype(U) + one[start]))), pa.array(np.full(len(r), -1, np.int32)), pa.array(np.full(len(r), 2, np.int32)), pa.array(key1[r]), pa.array(key2[r]), pa.array((at[start] - rows[r]).astype(np.int32)), pa.array(long.astype(np.int32))], ["e1", "e2", "n", "key1", "key2", "at", "len"])
-
-    found = source.mapInArrow(edges, "e1 long, e2 int, n int, key1 long, key2 long, at int, len int")
-    counted = found.withColumn("count", F.sum("n").over(Window.partitionBy("e1", "e2"))).where("count > 1 AND at >= 0")
-    places = counted.groupBy("key1", "key2").agg(F.collect_list(F.struct("at", "len", "count")).alias("p"))
-
-    def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Consecutive places of equal count become one span."""
-        for b in batches:
-            spans = []
-            for p in b.column(2):
-                s = p.values
-                a, n, c = (np.asarray(s.field(i)).astype(np.int64) for i in range(3))
-                o = np.lexsort((n, a))
-                a, n, c = a[o], n[o], c[o]
-                new = np.flatnonzero(np.r_[True, (a[1:] > a[:-1] + n[:-1]) | (c[1:] != c[:-1])])
-                last = np.maximum.reduceat(a + n, new)
-                spans.append([{"at": int(x), "n": int(z - x), "count": int(y)} for x, z, y in zip(a[new], last, c[new])])
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(spans, pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("count", pa.int64())])))], ["key1", "key2", "spans"])
-
-    out = materialise(places.mapInArrow(compact, "key1 long, key2 long, spans array<struct<at: int, n: int, count: long>>"), "spans")
+            pos = (at - rows[row]).astype(np.int32)
+            key1, key2 = np.asarray(b.column(0))[row], np.asarray(b.column(1))[row]
+            place = np.lexsort((pos, key2, key1, two, one))  # of an edge's places the least comes first
+            new = np.flatnonzero(np.r_[True, (one[place][1:] != one[place][:-1]) | (two[place][1:] != two[place][:-1])])
+            many = np.diff(np.r_[new, len(place)])
+            first = np.empty(len(at), np.int64)
+            first[place] = np.repeat(place[new], many)
+            o = np.argsort(place[new])  # in order of place: neighbours then share their keys, which compress
+            head, many = place[new][o], many[o].astype(np.int32)
+            nothing = lambda t: pa.nulls(len(head), t)
+            yield pa.record_batch([pa.array(signed(one[head])), pa.array(two[head]), pa.array(many), pa.array(key1[head]), pa.array(key2[head]), pa.array(pos[head]), nothing(pa.int32()), nothing(pa.int64()), nothing(pa.int64()), nothing(pa.int32())], names_)
+            more = np.flatnonzero(first != np.arange(len(at)))
+            if len(more):
+                f = first[more]
+                cut = np.r_[True, (np.diff(at[more]) != 1) | (np.diff(row[more]) != 0) | (np.diff(at[f]) != 1) | (np.diff(row[f]) != 0)]
+                cut = np.flatnonzero(cut)
+                long = np.diff(np.r_[cut, len(more)]).astype(np.int32)
+                m, f = more[cut], f[cut]
+                lone = mix(at[m].astype(U) + one[m])  # an edge of its own
+                yield pa.record_batch([pa.array(signed(lone)), pa.array(np.full(len(m), -1, np.int32)), pa.array(np.zeros(len(m), np.int32)), pa.array(key1[m]), pa.array(key2[m]), pa.array(pos[m]), pa.array(long), pa.array(key1[f]), pa.array(key2[f]), pa.array(pos[f])], names_)
+
+    names_ = ["e1", "e2", "n", "key1", "key2", "at", "len", "first1", "first2", "first_at"]
+    found = source.mapInArrow(edges, "e1 long, e2 int, n int, key1 long, key2 long, at int, len int, first1 long, first2 long, first_at int")
+    edge = Window.partitionBy("e1", "e2")
+    counted = found.withColumn("count", F.sum("n").over(edge)).withColumn("s", F.min(F.struct("key1", "key2", "at")).over(edge)).where("count > 1 OR e2 = -1")
+    counted = materialise(counted.drop("e1", "n"), "edges")
+    own = counted.where("e2 >= 0").groupBy("key1", "key2").agg(F.collect_list(F.struct("at", "count", F.col("s.key1").alias("source1"), F.col("s.key2").alias("source2"), F.col("s.at").alias("source_at"))).alias("own"))
+    more = counted.where("e2 = -1").groupBy(F.col("first1").alias("key1"), F.col("first2").alias("key2")).agg(F.collect_list(F.struct(F.col("key1").alias("to1"), F.col("key2").alias("to2"), "at", "len", "first_at")).alias("more"))
+    stretches = own.join(more, ["key1", "key2"], "left").mapInArrow(_stretches, "key1 long, key2 long, at int, n int, count long, source1 long, source2 long, source_at int")
+    spans = stretches.groupBy("key1", "key2").agg(F.collect_list(F.struct("at", "n", "count", "source1", "source2", "source_at")).alias("p"))
+    out = materialise(spans.mapInArrow(_compact, f"key1 long, key2 long, spans {_SPANS}"), "spans")
     release(spark)
     return out
 
 
+_SPANS = "array<struct<at: int, n: int, count: long, source1: long, source2: long, source_at: int>>"
+_SPAN = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("count", pa.int64()), ("source1", pa.int64()), ("source2", pa.int64()), ("source_at", pa.int32())]))
+
+
+def _columns(items: pa.StructArray) -> list[np.ndarray]:
+    return [np.asarray(items.field(i)).astype(np.int64) for i in range(items.type.num_fields)]
+
+
+def _runs(at, count, one, two, source_at) -> np.ndarray:
+    """Where runs begin: consecutive places, equal counts, consecutive sources."""
+    go = (np.diff(at) == 1) & (np.diff(count) == 0) & (np.diff(one) == 0) & (np.diff(two) == 0) & (np.diff(source_at) == 1)
+    return np.flatnonzero(np.r_[True, ~go])
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places of a document, and those that a batch led to it, as stretches of one count and source."""
+    for b in sliced(batches, 500):
+        out: list[list[np.ndarray]] = []
+        for i in range(len(b)):
+            key1, key2 = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+            at, count, one, two, source_at = _columns(b.column(2)[i].values)
+            o = np.unique(at, return_index=True)[1]  # a repeated row has its places again
+            at, count, one, two, source_at = (x[o] for x in (at, count, one, two, source_at))
+            new = _runs(at, count, one, two, source_at)
+            n = np.diff(np.r_[new, len(at)])
+            out.append([np.full(len(new), key1), np.full(len(new), key2), at[new], n, count[new], one[new], two[new], source_at[new]])
+            if not b.column(3)[i].is_valid:
+                continue
+            to1, to2, to, long, first = _columns(b.column(3)[i].values)
+            lo = np.searchsorted(at, first)
+            a, z = np.searchsorted(new, lo, side="right") - 1, np.searchsorted(new, lo + long - 1, side="right")  # runs that a stretch meets
+            which = np.repeat(np.arange(len(to)), z - a)
+            run = np.arange(len(which)) - np.repeat(np.cumsum(z - a) - (z - a), z - a) + a[which]
+            begin = np.maximum(new[run], lo[which])
+            end = np.minimum(new[run] + n[run], (lo + long)[which])
+            out.append([to1[which], to2[which], to[which] + begin - lo[which], end - begin, count[begin], one[begin], two[begin], source_at[begin]])
+        if out:
+            cols = [np.concatenate(x) for x in zip(*out)]
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], ["key1", "key2", "at", "n", "count", "source1", "source2", "source_at"])
+
+
+def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stretches of a document as maximal spans."""
+    for b in sliced(batches, 500):
+        spans = []
+        for p in b.column(2):
+            at, n, *rest = _columns(p.values)
+            each = np.repeat(np.arange(len(at)), n)
+            step = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+            at, o = np.unique(at[each] + step, return_index=True)
+            count, one, two, source_at = (x[each][o] for x in rest)
+            source_at = source_at + step[o]
+            new = _runs(at, count, one, two, source_at)
+            n = np.diff(np.r_[new, len(at)])
+            spans.append([dict(zip(("at", "n", "count", "source1", "source2", "source_at"), x)) for x in zip(*(c.tolist() for c in (at[new], n, count[new], one[new], two[new], source_at[new])))])
+        yield pa.record_batch([b.column(0), b.column(1), pa.array(spans, _SPAN)], ["key1", "key2", "spans"])
+
+
 def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 35) -> DataFrame:
     """docs with n_words, n_removed (long), kept (the words left, joined by one space) and kept_sha256.
 
