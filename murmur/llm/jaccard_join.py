@@ -12,7 +12,8 @@ documents that share a token are streamed in sorted order: small ones give their
 chained by size, which keeps every pair of like sizes connected.  The connected candidates are verified in
 blocks of bounded size, so near copies of one text are never spelled out as pairs.  A component beyond one block is
 cut into bands of set sizes, so wide that documents two bands apart are never alike, and each band into blocks: a
-block meets the blocks of its own band and of the next one.  Texts travel compressed, and sets are made again from them.
+block meets the blocks of its own band and of the next one.  Texts travel compressed, those of components beyond one
+block as what they differ by from the text of their component's first class, and sets are made again from them.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,8 @@ COUNTED = 1 << 22
 SMALL = 32
 #: Documents and tokens of one verification, at most, but for a single document of more.
 BLOCK, TOKENS = 1024, 1 << 21
+#: Bytes of first texts of components that are broadcast, at most; beyond, they are joined.
+BASES = 32 << 20
 #: Ids to drop that are broadcast, at most (some 64 MB); beyond, the rows are shuffled by id.
 MAX_BROADCAST = 1_000_000
 #: Bits of the filter on the second reading of the candidates' sets, at most.
@@ -252,8 +256,8 @@ def _texts_of(texts: DataFrame, k: int, some) -> DataFrame:
 
 
 def _dealt(groups: DataFrame, weights: DataFrame, t: Fraction) -> DataFrame:
-    """(comp, i, j, own, cls, weight): each class of a component once for each pair (i, j) of blocks that it takes part in;
-    own is its block."""
+    """(comp, i, j, own, cls, weight, one): each class of a component once for each pair (i, j) of blocks that it takes part in;
+    own is its block, one tells a component of a single block."""
     width = max(math.log(1 / t), 0.01) * (1 + 1e-9)
     members = groups.join(weights.select(F.col("cls").alias("node"), "weight", "n"), "node").withColumn("band", F.floor(F.log("n") / width).cast("int"))
     bands = members.groupBy("comp", "band").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
@@ -265,7 +269,41 @@ def _dealt(groups: DataFrame, weights: DataFrame, t: Fraction) -> DataFrame:
     near = F.filter(F.array(*[F.col("band") + d for d in (-1, 0, 1)]), lambda b: F.col("parts")[b].isNotNull())
     others = F.flatten(F.transform(near, lambda b: F.transform(F.sequence(F.lit(0), F.col("parts")[b] - 1), lambda s: block(b, s))))
     members = members.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("one"), F.array("own")).otherwise(others)))
-    return members.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("node").alias("cls"), "weight")
+    return members.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("node").alias("cls"), "weight", "one")
+
+
+def _less_base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cls, size, packed) of rows (cls, size, packed, base_size, base), packed anew with the base as dictionary."""
+    last, pack = None, None
+    for b in batches:
+        out = []
+        for n, x, m, y in zip(*(b.column(c).to_pylist() for c in range(1, 5))):
+            if y != last:
+                last, pack = y, _with_base(pa.decompress(y, m, "zstd", asbytes=True))[0]
+            out.append(pack.compress(pa.decompress(x, n, "zstd", asbytes=True)))
+        yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.binary())], ["cls", "size", "packed"])
+
+
+def _with_base(base: bytes) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    if len(base) < 8:  # too short for a dictionary
+        return zstandard.ZstdCompressor(), zstandard.ZstdDecompressor()
+    d = zstandard.ZstdCompressionDict(base, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressor(dict_data=d), zstandard.ZstdDecompressor(dict_data=d)
+
+
+def _with_texts(dealt: DataFrame, packed: DataFrame) -> DataFrame:
+    """Dealt rows with (size, packed).  Those of a component beyond one block are packed with the text of the class that names
+    the component as dictionary, which each pair of blocks gets as a row of its own block -1."""
+    columns = ["comp", "i", "j", "own", "cls", "weight", "size", "packed"]
+    few, many = dealt.where("one"), dealt.where("NOT one")
+    # a component has more than BLOCK classes or TOKENS tokens, so there are few of these
+    bases = materialise(many.select("comp").distinct().join(packed.select(F.col("cls").alias("comp"), F.col("size").alias("base_size"), F.col("packed").alias("base")), "comp"), "bases")
+    held = bases.agg(F.coalesce(F.sum(F.length("base") + 64), F.lit(0))).first()[0]
+    sent = F.broadcast(bases) if held <= BASES else bases
+    members = many.select("comp", "cls").distinct().join(packed, "cls").join(sent, "comp")
+    less = members.select("cls", "size", "packed", "base_size", "base").mapInArrow(_less_base, "cls long, size int, packed binary")
+    firsts = many.select("comp", "i", "j").distinct().join(sent, "comp").select("comp", "i", "j", F.lit(-1).cast("long").alias("own"), F.col("comp").alias("cls"), F.lit(0).cast("long").alias("weight"), F.col("base_size").alias("size"), F.col("base").alias("packed"))
+    return few.join(packed, "cls").select(*columns).union(many.join(less, "cls").select(*columns)).union(firsts.select(*columns))
 
 
 def _shared(parts: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -295,7 +333,16 @@ def _verifier(k: int, t: Fraction, common):
         cls = np.asarray(group["cls"].combine_chunks())
         own = np.asarray(group["own"].combine_chunks())
         weight = np.asarray(group["weight"].combine_chunks()).astype(np.float64)
-        texts = [pa.decompress(x, n, "zstd").to_pybytes().decode() for x, n in zip(group["packed"].to_pylist(), group["size"].to_pylist())]
+        size, packed = group["size"].to_pylist(), group["packed"].to_pylist()
+        if (own < 0).any():
+            at = int(np.flatnonzero(own < 0)[0])
+            unpack = _with_base(pa.decompress(packed[at], size[at], "zstd", asbytes=True))[1]
+            rest = np.flatnonzero(own >= 0)
+            texts = [unpack.decompress(packed[r], max_output_size=size[r]).decode() for r in rest.tolist()]
+            cls, own, weight = cls[rest], own[rest], weight[rest]
+        else:
+            texts = [pa.decompress(x, n, "zstd").to_pybytes().decode() for x, n in zip(packed, size)]
+        del packed
         sets = shingle_sets(pa.array(texts, pa.string()), k)
         del texts
         i, j = int(group["i"][0].as_py()), int(group["j"][0].as_py())
@@ -372,7 +419,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     packed = _texts_of(texts, k, sc.broadcast(_filter_words(groups.select("node"))))
     weights = described.where("cls IS NOT NULL").groupBy("cls").agg(F.count("*").alias("weight"), F.min("id").alias("least"), F.max("n").alias("n"))
     weights = materialise(weights, "classes")
-    dealt = _dealt(groups, weights, t).join(packed, "cls")
+    dealt = _with_texts(materialise(_dealt(groups, weights, t), "dealt"), materialise(packed, "texts"))
     found = materialise(dealt.groupBy("comp", "i", "j").applyInArrow(_verifier(k, t, common), "a long, b long, links double"), "links")
     release(spark)
     comps = connected_components(found.where("b IS NOT NULL"))
