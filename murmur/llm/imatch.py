@@ -5,9 +5,8 @@ distinct, and hashed once for each of several random subsets of that lexicon.  T
 terms in a subset agree have the same hash there, so the share of equal hashes tells how alike they are.
 
 Everything is a built-in Spark expression.  Document frequencies are counted over all documents for each
-term, known by 62 bits of its hash.  Up to MAX_LITERAL terms in the band are a literal, a hash table in which
-a term has two places and shows three bytes of its hash; no other term of the documents is mistaken for one of
-them, which is checked, and a table that fails is made anew of other bytes.  Beyond, the band is a table that terms are
+term, known by 62 bits of its hash.  Up to MAX_LITERAL terms in the band are an array, a hash table in which
+a term has two places, that tasks get as the value of a scalar subquery; beyond, the band is a table that terms are
 joined with.  A subset keeps the terms whose hash has a run of
 zero bits at its own place: LEVELS rates (1/2, 1/8, ...) times SUBSETS places, so that texts of a few
 words and of many thousands both have subsets which hold a few of their terms.
@@ -18,15 +17,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from murmur.llm._common import materialise, once, spare
 
-#: Terms in the band that a literal holds, some 7 bytes a term.
+#: Terms in the band that an array holds, 18 bytes a term.
 MAX_LITERAL = 1 << 20
-#: Bytes of a term's hash in its place, and which ones (from the first, 1) a table may show.
-TAG, TAGS = 3, (4, 5, 3, 6)
 #: Tasks that share the join of equal texts beyond MAX_LITERAL.
 SHARES = 64
 #: The band: idf as a share of its greatest value, ln N, for N documents.
@@ -64,24 +62,18 @@ def lexicon(docs: DataFrame, text_col: str = "text", *, low: float = IDF_LOW, hi
     band = counts.where(inside).select("key")
     if band.count() > MAX_LITERAL:
         return materialise(band, "band")
-    keys = band.toArrow()["key"].to_numpy().astype(np.int64)
-    for tag in TAGS:
-        table = Table(keys, tag)
-        if counts.where(~inside).where(table.holds(F.col("key"))).isEmpty():
-            return table
-    return materialise(band, "band")
+    return Table(docs.sparkSession, band.toArrow()["key"].to_numpy().astype(np.int64))
 
 
 class Table:
-    """Distinct keys as bytes: each at one of two places, as TAG bytes of it from byte ``tag``; a free place is zero."""
+    """Distinct keys, none 0, in an array: each at one of two places, a free place being 0.  ``rows`` is one row with the array t."""
 
-    def __init__(self, keys: np.ndarray, tag: int):
-        self.tag, self.size = tag, 2 * len(keys) + len(keys) // 4 + 64
-        k = keys.astype(np.int64)
-        while (laid := self._laid(k)) is None:
+    def __init__(self, spark: SparkSession, keys: np.ndarray):
+        self.size = 2 * len(keys) + len(keys) // 4 + 64
+        while (laid := self._laid(keys)) is None:
             self.size += self.size // 8 + 1
-        shown = laid.astype(">i8").view(np.uint8).reshape(-1, 8)[:, tag - 1 : tag - 1 + TAG]
-        self.bytes = shown.tobytes()
+        one = pa.table({"t": pa.ListArray.from_arrays(pa.array([0, self.size], pa.int32()), pa.array(laid))})
+        self.rows = materialise(spark.createDataFrame(one, "t array<bigint>"), "places")
 
     def _laid(self, keys: np.ndarray) -> np.ndarray | None:
         table = np.zeros(self.size, np.int64)
@@ -98,16 +90,10 @@ class Table:
             at = np.where(at == one(k), two(k), one(k))
         return None
 
-    def holds(self, key: Column, table: Column | None = None) -> Column:
-        """Whether a key of _key() has a place; a false yes has a chance of some 1 in 2^24.  ``table`` is the literal where it is
-        bound already, so that it stands in a plan once."""
-        table = self.literal() if table is None else table
-        shown = F.call_function("substring", F.unhex(F.hex(key)), F.lit(self.tag), F.lit(TAG))
-        at = lambda p: F.call_function("substring", table, (F.pmod(p, F.lit(self.size)) * TAG + 1).cast("int"), F.lit(TAG))
-        return F.element_at(F.transform(F.array(shown), lambda x: (at(key) == x) | (at(F.shiftright(key, 20)) == x)), 1)
-
-    def literal(self) -> Column:
-        return F.lit(bytearray(self.bytes))
+    def holds(self, key: Column, table: Column) -> Column:
+        """Whether a key of _key() has a place in the array."""
+        at = lambda p: F.get(table, F.pmod(p, F.lit(self.size)).cast("int"))
+        return (at(key) == key) | (at(F.shiftright(key, 20)) == key)
 
 
 def with_fingerprint(df: DataFrame, text: Column, lex: DataFrame | Table | None, out_col: str, spread: Column | None = None) -> DataFrame:
@@ -117,8 +103,11 @@ def with_fingerprint(df: DataFrame, text: Column, lex: DataFrame | Table | None,
     band, found = spare(df, "band_", "found_")
     df = once(df, **{band: _hashes(F.coalesce(text, F.lit("")))})
     if isinstance(lex, Table):
-        kept = F.transform(F.array(lex.literal()), lambda t: F.filter(band, lambda h: lex.holds(_key(h), t)))
-        df = once(df, **{band: F.element_at(kept, 1)})
+        # the one use of the column is where the optimiser puts the subquery, which may not be written there
+        held, kept = spare(df, "held_", "kept_")
+        inside = F.transform(F.array(held), lambda t: F.filter(band, lambda h: lex.holds(_key(h), t)))
+        df = df.withColumn(held, lex.rows.scalar()).withColumn(kept, F.element_at(inside, 1)).drop(held, band)
+        df = once(df, **{band: F.col(kept)}).drop(kept)
     elif lex is not None:
         one, two, share = spare(df, "one_", "two_", "share_")
         names = [one, two, share]
