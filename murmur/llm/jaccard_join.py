@@ -1,9 +1,10 @@
 """N-gram Jaccard join by prefix filtering under several global token orders.
 
-A token is a hashed word n-gram.  Sets of sizes n whose Jaccard similarity reaches t must share a token
-among the first n - ceil(t n) + 1 tokens of each, under any global order.  Here several orders are used:
+A token is a hashed word n-gram.  Sets of sizes n whose Jaccard similarity reaches t must share l tokens
+among the first n - ceil(t n) + l tokens of each, under any global order and for any l, as the first l that they share stand
+there in both; l is 1 for short sets and grows with their size, since long prefixes meet by chance.  Here several orders are used:
 all put tokens by how common they are (counted over all documents, for the most common ones), rare ones first,
-and break ties by different hashes.  A pair is a candidate only if it shares prefix tokens under
+and break ties by different hashes.  A pair is a candidate only if it shares prefix so many prefix tokens under
 every order, and only candidates are verified, on their whole sets.  The orders are taken one after the other: only
 documents that have a partner under one order send their prefixes under the next.
 
@@ -38,6 +39,8 @@ COMMON = 1 << 18
 LEAST_COMMON = 8
 #: Tokens counted at a time in a task (some 100 MB).
 COUNTED = 1 << 22
+#: A set of n tokens shares 1 + n // PER_SHARED prefix tokens with one that is alike and no smaller.
+PER_SHARED = 150
 #: Documents that share a prefix token: up to so many give their pairs, more are chained.
 SMALL = 32
 #: Documents and tokens of one verification, at most, but for a single document of more.
@@ -83,7 +86,7 @@ class Order:
 
 def _prefix(s: np.ndarray, grades: np.ndarray, order: int, t: Fraction) -> np.ndarray:
     n = len(s)
-    p = n - math.ceil(t * n) + 1
+    p = n - math.ceil(t * n) + 1 + n // PER_SHARED
     if p >= n:
         return s
     rank = (grades << U(56)) | (mix(s + U(order + 1)) >> U(8))
@@ -147,22 +150,24 @@ def _prefixes(docs: DataFrame, k: int, t: Fraction, common, order: int, some) ->
 
 
 def _candidates(texts: DataFrame, k: int, t: Fraction, common) -> DataFrame:
-    """(a, b): pairs of classes that share a prefix token under every order, or are neighbours in a chain."""
+    """(a, b): pairs of classes that share enough prefix tokens under every order, or are neighbours in a chain."""
     sc, some, found = texts.sparkSession.sparkContext, None, None
     for o in range(ORDERS):
         rows = _prefixes(texts, k, t, common, o, some).repartition("token").sortWithinPartitions("token", "n", "cls")
-        pairs = rows.mapInArrow(_partners(t), "a long, b long, orders int").groupBy("a", "b").agg(F.expr("bit_or(orders)").alias("orders"))
+        pairs = rows.mapInArrow(_partners(t), "a long, b long, need int").groupBy("a", "b").agg(F.count("*").alias("c"), F.max("need").alias("need"), F.min("need").alias("least"))
+        pairs = pairs.where("least = 0 OR c >= need").select("a", "b", (F.col("least") == 0).alias("chained"))
         pairs = materialise(pairs, f"pairs-{o}")
         release(texts.sparkSession)
         if o + 1 < ORDERS:
             some = sc.broadcast(_filter_words(pairs.select("a").union(pairs.select("b")).distinct()))
         found = pairs if found is None else found.union(pairs)
-    found = found.groupBy("a", "b").agg(F.expr("bit_or(orders)").alias("orders"))
-    return materialise(found.where(F.col("orders") == (1 << ORDERS) - 1).select("a", "b"), "candidates")
+    found = found.groupBy("a", "b").agg(F.count("*").alias("c"), F.bool_or("chained").alias("chained"))
+    return materialise(found.where((F.col("c") == ORDERS) | F.col("chained")).select("a", "b"), "candidates")
 
 
 def _partners(t: Fraction):
-    """Streams rows sorted by (token, n); gives (a, b, orders) for documents that share a token and may be alike."""
+    """Streams rows sorted by (token, n); gives (a, b, need) for documents that share a token and may be alike: how many they must
+    share, 0 for neighbours in a chain."""
     num, den = t.numerator, t.denominator
 
     def pairs(token, cls, n, first_big: bool):
@@ -180,8 +185,8 @@ def _partners(t: Fraction):
             i = np.flatnonzero(ok)
             if not len(i):
                 continue
-            bits = np.where(big[i + d], (1 << ORDERS) - 1, 1 << (token[i] & 7)).astype(np.int32)
-            yield np.minimum(cls[i], cls[i + d]), np.maximum(cls[i], cls[i + d]), bits
+            need = np.where(big[i + d], 0, 1 + n[i] // PER_SHARED).astype(np.int32)  # of the smaller, as sizes ascend
+            yield np.minimum(cls[i], cls[i + d]), np.maximum(cls[i], cls[i + d]), need
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, big = None, False
@@ -207,8 +212,8 @@ def _partners(t: Fraction):
                 if len(held[0]) > 4 * SMALL:  # a large group: chain it so far and keep its last row
                     done += list(pairs(*held, True))
                     held, big = [x[-1:] for x in held], True
-            for a, z, bits in done:
-                yield pa.record_batch([pa.array(a), pa.array(z), pa.array(bits)], ["a", "b", "orders"])
+            for a, z, need in done:
+                yield pa.record_batch([pa.array(a), pa.array(z), pa.array(need)], ["a", "b", "need"])
 
     return run
 
@@ -352,8 +357,10 @@ def _verifier(k: int, t: Fraction, common):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "links": pa.array([], pa.float64())})
         candidate = np.ones((len(left), len(right)), bool)
         grades = [common.value.grades(s) for s in sets]
+        need = np.array([1 + len(s) // PER_SHARED for s in sets])
+        need = np.minimum(need[left][:, None], need[right][None, :])
         for o in range(ORDERS):
-            candidate &= _shared([_prefix(s, g, o, t) for s, g in zip(sets, grades)], left, right) > 0
+            candidate &= _shared([_prefix(s, g, o, t) for s, g in zip(sets, grades)], left, right) >= need
         both = _shared(sets, left, right)
         size = np.array([len(s) for s in sets], np.float64)
         joined = size[left][:, None] + size[right][None, :] - both
