@@ -1,39 +1,35 @@
 """Byte-level BPE by folds of Spark's higher-order functions.
 
-A text is split by the tokenizer's pattern; the distinct words of the text are encoded and then put back in
-order.  A word that is a rank itself is one token.  Any other starts as the array of its bytes, each as its rank, and
-a fold merges its adjacent pair of least rank, leftmost first, until no pair is in the rank map.  The fold carries the
-ranks of the pairs along: a merge looks up the two pairs beside it and no others.
-
-Ranks within a word are characters of a string, on which Spark's functions are many times faster than on
-its arrays.  Maps are cut small, as Spark searches a map from end to end.  Words: an array of strings, chosen by
-a hash of the word; beside the words that are ranks it holds the commonest others of all texts, each encoded once by the same
-fold, and every word that it lacks is folded where it occurs.  The array is made by Spark and reaches the tasks as the value of
-a scalar subquery, so no plan spells it out and the driver builds nothing.  Pairs, the rank map of the fold: a literal array of
-strings, chosen by a hash of the pair.  Decoding concatenates the byte strings of the ids.  Documents are never shuffled, only counts of words.
+A text is split by the tokenizer's pattern.  A word that is a rank itself is one token.  Any other starts as the array of
+its bytes, each as its rank, and a fold merges its adjacent pair of least rank, leftmost first, until no pair is in the rank
+map.  The fold carries the ranks of the pairs along: a merge looks up the two pairs beside it and no others.
+
+The distinct words of all texts that occur a few times are folded once, and with the words that are ranks make a table of
+bounded size.  A task looks its texts' words up there by Arrow batches; the words that the table lacks are folded where they
+occur, by the same expression, and put between the others.  Ranks within a word are characters of a string, on which Spark's
+functions are many times faster than on its arrays.  The rank map of the fold is a literal array of strings, chosen by a hash
+of the pair, as Spark searches a map from end to end.  Decoding concatenates the byte strings of the ids.  Documents are never
+shuffled, only counts of words.
 """
 
 from __future__ import annotations
 
 import base64
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm._common import materialise, once, spare
+from murmur.llm._common import materialise, once, ship, spare
 
-#: Words that share a slot, about, and slots of pairs.
-PER_SLOT, PAIR_SLOTS = 4, 1 << 15
+PAIR_SLOTS = 1 << 15
 SPACE = r"\u0009-\u000D\u0020\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-#: What separates words in a slot: no characters of any text that means something.  A text with them is folded word by word.
-OPEN, CLOSE = "\ufdd0", "\ufdd1"
-#: Distinct words to merge in a text: beyond so many they are found by bisection, not by a search of a map.
-FEW = 1024
-#: Words encoded beforehand, at most (some 30 MB in each task), and how often each occurs at least; the others are folded text
-#: by text.
-COMMON, LEAST_COMMON = 1 << 20, 3
+#: Words folded beforehand, at most (some 30 MB), and how often each occurs at least; the others are folded text by text.
+COMMON, LEAST_COMMON = 1 << 20, 2
 
 
 def java_pattern(pattern: str) -> str:
@@ -85,22 +81,6 @@ def _slot_sql(key: str, n: int) -> str:
     return f"CAST(crc32(CAST({key} AS BINARY)) & {n - 1}L AS INT)"
 
 
-def _words_table(words: DataFrame) -> tuple[DataFrame, int]:
-    """One row with ``t``, an array of slots, and their number: the words (w, ids), each between OPEN and CLOSE, then its ids as
-    characters and CLOSE; before them CLOSE."""
-    slots = 1 << max(6, (words.count() // PER_SLOT).bit_length())
-    entry = F.concat(F.lit(OPEN), "w", F.lit(CLOSE), "ids", F.lit(CLOSE))
-    filled = words.groupBy(F.expr(_slot_sql("w", slots)).cast("long").alias("id")).agg(F.array_join(F.array_sort(F.collect_list(entry)), "").alias("s"))
-    every = words.sparkSession.range(slots).join(filled, "id", "left").select("id", F.concat(F.lit(CLOSE), F.coalesce("s", F.lit(""))).alias("s"))
-    one = every.agg(F.array_sort(F.collect_list(F.struct("id", "s"))).alias("a")).select(F.transform("a", lambda x: x["s"]).alias("t"))
-    return materialise(one, "words"), slots
-
-
-def _look(slots: int) -> str:
-    """The ids of a word w, empty if it isn't known; t is the array of words."""
-    return f"substring_index(substring_index(t[{_slot_sql('w', slots)}], concat('{OPEN}', w, '{CLOSE}'), -1), '{CLOSE}', 1)"
-
-
 def _bound(expr: str, **values: str) -> str:
     """expr with names bound to values: transform(array(x), y -> ...)[0] binds x to y."""
     for name, value in values.items():
@@ -171,6 +151,45 @@ def common_words(texts: DataFrame, text_col: str, pattern: str, most: int = COMM
     return words.where(F.lit(False) if least is None else F.col("g") >= least).select("w", "n")
 
 
+class _Words:
+    """Words and their ids, as a task looks them up."""
+
+    def __init__(self, raw: bytes):
+        table = pa.ipc.open_stream(raw).read_all().combine_chunks()
+        self.words = table["w"].combine_chunks().cast(pa.string())
+        ids = table["ids"].combine_chunks()
+        self.flat = ids.values.to_numpy().astype(np.int32)
+        self.start = ids.offsets.to_numpy()[:-1].astype(np.int64)
+        self.size = np.diff(ids.offsets.to_numpy()).astype(np.int64)
+
+    def look(self, words: pa.ListArray) -> pa.StructArray:
+        """(pieces, missing) of each text: the words that are not known, and the ids of the words before, between and after
+        them."""
+        rows = len(words)
+        offsets = words.offsets.to_numpy().astype(np.int64)
+        flat = words.values.slice(offsets[0], offsets[-1] - offsets[0]).cast(pa.string())
+        offsets = offsets - offsets[0]
+        found = pc.index_in(flat, value_set=self.words)
+        gone = np.asarray(found.is_null().to_numpy(zero_copy_only=False), bool)
+        at = np.asarray(found.fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+        size = np.where(gone, 0, self.size[at]) if len(at) else np.zeros(0, np.int64)
+        before = np.r_[0, np.cumsum(size)]
+        ids = self.flat[np.arange(before[-1]) - np.repeat(before[:-1] - self.start[at], size)] if len(at) else self.flat[:0]
+        miss = np.flatnonzero(gone)
+        many = np.searchsorted(miss, offsets)  # missing words before each text
+        # a text's pieces begin with it and at each of its missing words, which have no ids
+        edge = np.empty(rows + len(miss), np.int64)
+        own = np.arange(rows) + many[:-1]
+        edge[own] = offsets[:-1]
+        rest = np.ones(len(edge), bool)
+        rest[own] = False
+        edge[rest] = miss
+        inner = pa.ListArray.from_arrays(pa.array(np.r_[before[edge], before[-1]].astype(np.int32)), pa.array(ids))
+        pieces = pa.ListArray.from_arrays(pa.array(np.r_[own, len(edge)].astype(np.int32)), inner)
+        missing = pa.ListArray.from_arrays(pa.array(many.astype(np.int32)), flat.filter(pa.array(gone)))
+        return pa.StructArray.from_arrays([pieces, missing], ["pieces", "missing"])
+
+
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col: str = "text", out_col: str = "ids", common: int = COMMON) -> DataFrame:
     """df with out_col, the array of token ids of each text; empty for null and empty texts.
 
@@ -182,29 +201,36 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col: st
     if any(bytes([b]) not in ranks for b in range(256)):
         raise ValueError("every byte needs a rank")
     spark = df.sparkSession
+    ship(spark)
     pattern = java_pattern(pattern).replace("\\", "\\\\").replace("'", "\\'")
     code = _Code(ranks)
     fold = _Fold(ranks, code)
     whole = _whole(ranks, code)
-    known = spark.createDataFrame(pa.table({"w": pa.array(list(whole), pa.string()), "ids": pa.array(list(whole.values()), pa.string())}))
+    as_ids = f"IF(p = '', CAST(array() AS ARRAY<INT>), transform(split(p, ''), x -> ascii(x) - {code.first}))"
+    known = spark.createDataFrame(pa.table({"w": pa.array(list(whole), pa.string()), "p": pa.array(list(whole.values()), pa.string())}))
     if common:
         new = common_words(df, text_col, pattern, common).join(known, "w", "left_anti")
-        known = known.union(materialise(once(new, ids=F.expr(_bound(fold.expr, **fold.names))).select("w", "ids"), "folded"))
-    table, slots = _words_table(known.where(f"instr(w, '{OPEN}') = 0 AND instr(w, '{CLOSE}') = 0"))
-    words, held, done = spare(df, "words_", "held_", "done_")
-    df = once(df, **{words: F.expr(f"regexp_extract_all(coalesce(CAST(`{text_col}` AS STRING), ''), '{pattern}', 0)")})
-    strange = " OR ".join(f"instr(coalesce(CAST(`{text_col}` AS STRING), ''), '{c}') > 0" for c in (OPEN, CLOSE))
-    # g: the ids of the known words, or empty; d: the distinct other words; e: the ids of those
-    half = "CAST((q.lo + q.hi) DIV 2 AS INT)"
-    bisect = f"aggregate(sequence(0, CAST(log2(size(d)) AS INT) + 1), struct(0 AS lo, size(d) - 1 AS hi), (q, i) -> IF(q.lo >= q.hi, q, IF(d[{half}] < w, struct({half} + 1 AS lo, q.hi AS hi), struct(q.lo AS lo, {half} AS hi))), q -> q.lo)"
-    found = f"IF(size(d) > {FEW}, e[{bisect}], e[CAST(array_position(d, w) AS INT) - 1])"
-    merged = _bound(f"transform(`{words}`, (w, i) -> IF(g[i] <> '', g[i], {found}))", e=f"transform(d, w -> {fold.expr})")
-    ids = _bound(f"array_join(IF(size(d) = 0, g, {merged}), '')", d=f"sort_array(array_distinct(filter(`{words}`, (w, i) -> g[i] = '')))")
-    ids = _bound(ids, g=f"transform(`{words}`, w -> IF(o, '', {_look(slots)}))", o=strange, t=f"`{held}`", **fold.names)
-    ids = _bound(f"IF(p = '', CAST(array() AS ARRAY<INT>), transform(split(p, ''), x -> ascii(x) - {code.first}))", p=ids)
-    # the one use of the column is where the optimiser puts the subquery, which may not be written there
-    df = df.withColumn(held, table.scalar()).withColumn(done, F.expr(ids)).drop(held, words)
-    return once(df, **{out_col: F.col(done)}).drop(done)
+        known = known.union(once(new, p=F.expr(_bound(fold.expr, **fold.names))).select("w", "p"))
+    table = known.select("w", F.expr(as_ids).alias("ids")).toArrow()  # ``common`` and the ranks, at most
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    held = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    del table, sink
+
+    @F.arrow_udf("struct<pieces: array<array<int>>, missing: array<string>>")
+    def look(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words = _Words(held.value)
+        for b in batches:
+            yield words.look(b)
+
+    (got,) = spare(df, "got_")
+    split = F.expr(f"regexp_extract_all(coalesce(CAST(`{text_col}` AS STRING), ''), '{pattern}', 0)")
+    df = once(df.withColumn(got, look(split)), **{got: F.col(got)})
+    folded = f"transform(transform(`{got}`.missing, w -> {fold.expr}), p -> {as_ids})"
+    parts = f"transform(e, (x, i) -> concat(`{got}`.pieces[i], x))"
+    ids = f"IF(size(`{got}`.missing) = 0, `{got}`.pieces[0], {_bound(f'flatten(concat({parts}, array(`{got}`.pieces[size(e)])))', e=folded, **fold.names)})"
+    return once(df, **{out_col: F.expr(ids)}).drop(got)
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
