@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from murmur.functions.scalars import col, ratio, split_list
 from murmur.operators import matching
 from murmur.operators.quantiles import percentiles
+from murmur.sources.checkpoints import written
 
 
 def reliability(df: DataFrame, prob: str, label: str, *, bins: int = 10, by: list[str] | None = None) -> DataFrame:
@@ -66,6 +67,10 @@ def class_weights(df: DataFrame, group: str) -> DataFrame:
     return df.join(F.broadcast(one), group).withColumn("weight", F.lit(1.0) / (F.col("_g") * F.col("_n"))).drop("_n", "_g")
 
 
+#: Values that one task puts in order, some tens of MB; more are cut into stretches.
+FEW = 500_000
+
+
 def _stretch(value: str, cuts: list[float]) -> Column:
     """How many of the cuts the value reaches, by halving."""
     if not cuts:
@@ -80,11 +85,12 @@ def _stretch(value: str, cuts: list[float]) -> Column:
     return among(0, len(cuts))
 
 
-def cumulative(rows: DataFrame, value: str, sums: list[str], by: list[str], *, stretches: int = 100) -> DataFrame:
+def cumulative(rows: DataFrame, value: str, sums: list[str], by: list[str], *, stretches: int = 100, few: int = FEW) -> DataFrame:
     """rows with cum_<s>, the sum of s up to the row's value in its group, and all_<s>, the group's sum; a group has a
-    value once.  Values are cut at their quantiles over all groups, and the sums of these stretches come first: a task
-    puts about a hundredth of the values in order, whatever their spread."""
-    cuts = sorted(set(rows.approxQuantile(value, [k / stretches for k in range(1, stretches)], 0.25 / stretches)))
+    value once.  Rows are written first.  More than ``few`` values are cut at their quantiles over all groups, and the sums of
+    these stretches come first: a task puts about a hundredth of the values in order, whatever their spread."""
+    rows = written(rows, "values")
+    cuts = sorted(set(rows.approxQuantile(value, [k / stretches for k in range(1, stretches)], 0.25 / stretches))) if rows.count() > few else []
     cut = rows.withColumn("_s", _stretch(value, cuts))
     stretch = cut.groupBy(*by, "_s").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
     order = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)  # a row a stretch

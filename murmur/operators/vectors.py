@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.functions import vocabulary as V
-from murmur.functions.scalars import cosine
+from murmur.functions.scalars import cosine, dot
 
 
 def nearest(vectors: DataFrame, query: list[float], *, k: int | None = V.TOP_K, min_similarity: float | None = V.MIN_SIMILARITY, where: Column | None = None, id_col: str = "event_id", vector: str = "embedding") -> DataFrame:
@@ -28,9 +28,13 @@ def nearest_batch(vectors: DataFrame, queries: DataFrame, *, k: int, id_col: str
     max_queries, each an array in a row of its own; each row of vectors meets each block once, and only the k best of a
     query leave a task."""
     blocks = -(-queries.count() // max_queries) or 1
-    held = queries.select(F.struct(F.col(query_id).alias("q"), F.transform(vector, lambda x: x.cast("double")).alias("v")).alias("h"))
+    double = F.transform(vector, lambda x: x.cast("double"))
+    held = queries.select(F.col(query_id).alias("q"), double.alias("v")).select(F.struct("q", "v", F.sqrt(dot("v", "v")).alias("n")).alias("h"))
     held = held.groupBy(F.pmod(F.xxhash64("h.q"), F.lit(blocks)).alias("block")).agg(F.collect_list("h").alias("held")).select("held")
-    rows = vectors.where(F.col(vector).isNotNull()).select(id_col, vector)
-    scored = rows.crossJoin(held).select(id_col, vector, F.explode("held").alias("h")).select(F.col("h.q").alias(query_id), id_col, cosine(vector, F.col("h.v")).alias("similarity"))
+    # lengths are taken once a row and once a query, not once a pair
+    rows = vectors.where(F.col(vector).isNotNull()).select(id_col, double.alias("_v")).withColumn("_n", F.sqrt(dot("_v", "_v")))
+    paired = rows.crossJoin(held).select(id_col, "_v", "_n", F.explode("held").alias("h"))
+    score = F.when(F.size("_v") == F.size("h.v"), F.try_divide(dot("_v", F.col("h.v")), F.col("_n") * F.col("h.n")))
+    scored = paired.select(F.col("h.q").alias(query_id), id_col, score.alias("similarity"))
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("similarity"), id_col))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)

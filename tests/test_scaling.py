@@ -155,3 +155,14 @@ def test_a_busy_group_of_events_ends(spark):
     began = time.time()
     n = matched(e, ["k"], collar=0.2).agg(F.sum("n")).first()[0]
     assert 30_000 < n <= 50_000 and time.time() - began < 120
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_cumulative_sums_of_groups(spark, few):
+    r = random.Random(9)
+    rows = [(g, float(v), r.randrange(5)) for g in ("a", "b") for v in {round(r.expovariate(0.1), 2) for _ in range(400)}]
+    got = metrics.cumulative(spark.createDataFrame(rows, "g string, v double, n long").repartition(3), "v", ["n"], ["g"], few=few).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        mine = [y for y in rows if y[0] == x.g]
+        assert (x.cum_n, x.all_n) == (sum(y[2] for y in mine if y[1] <= x.v), sum(y[2] for y in mine))
