@@ -16,15 +16,19 @@ _own_dir: str | None = None
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a folder of our own only where none is named."""
+    """The folder the cluster names in spark.checkpoint.dir; a folder of our own only where none is named and Spark is local, as
+    a folder of the driver's is of no use to executors elsewhere."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="murmur-")
     spark.sparkContext.setCheckpointDir(_own_dir)

@@ -50,6 +50,7 @@ def java_pattern(pattern: str) -> str:
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
+    """The ranks of a file of lines with a byte string in base 64 and its rank."""
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 

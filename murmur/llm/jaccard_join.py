@@ -235,6 +235,7 @@ def _filter_words(names: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def in_filter(x: np.ndarray, words: np.ndarray, bits: int) -> np.ndarray:
+    """Which of x a filter of _filter_words may hold."""
     i = x & U(bits - 1)
     return (words[(i >> U(6)).astype(np.int64)] >> (i & U(63))) & U(1) != 0
 

@@ -52,6 +52,7 @@ def normalised(text: str) -> list[str]:
 
 
 def bigrams(words: list[str]) -> list[str]:
+    """The distinct pairs of neighbours, sorted."""
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
@@ -105,22 +106,42 @@ def scan(docs: DataFrame, *, text_col: str = "text", known: list[tuple[str, str]
     return once(df, licenses=F.array_distinct(F.concat(found, more))).drop(tmp, rest, hits, found)
 
 
+#: Lengths of windows, in those of their template: texts that were added to are longer.
+LENGTHS = (1.0, 1.15, 1.3, 1.45)
+
+
 def _windows(hits: str, words: str, known_sql: str, threshold: float) -> str:
     """SQL of the windows that reach the threshold and do not overlap, each from bigram s to bigram e (from 1 on), out of
-    the (p, g) of the bigrams that any template has."""
+    the (p, g) of the bigrams that any template has.
+
+    For each template, windows of LENGTHS begin or end with a run of its bigrams.  How many of its bigrams lie in a window
+    is counted for all windows at once, by sorting their ends in among the places of the bigrams, so the work grows with the
+    places and not with their square.  Windows are then taken by that count over the sizes of
+    both, of equal ones the shortest, and only those that meet no window taken
+    before are compared with the template."""
     last = f"size(`{words}`) - 1"
-    least, longest = f"{threshold / (2 - threshold)}D * k.n", f"{(2 - threshold) / threshold}D * k.m"
-    able = f"filter({known_sql}, k -> size(`{hits}`) >= {least} AND k.m <= {last})"
+    least = f"{threshold / (2 - threshold)}D * x.k.n"
+    able = f"filter({known_sql}, k -> size(`{hits}`) >= {least.replace('x.k.', 'k.')} AND k.m <= {last})"
     own = f"transform({able}, k -> struct(k AS k, filter(`{hits}`, x -> array_contains(k.grams, x.g)) AS o))"
-    enough = f"filter({own}, x -> size(x.o) >= {least.replace('k.', 'x.k.')} AND size(array_distinct(x.o.g)) >= {least.replace('k.', 'x.k.')})"
+    enough = f"filter({own}, x -> size(x.o) >= {least} AND size(array_distinct(x.o.g)) >= {least})"
     heads = "filter(x.o.p, (p, i) -> i = 0 OR x.o[i - 1].p < p - 1)"
     tails = "filter(x.o.p, (p, i) -> i = size(x.o) - 1 OR x.o[i + 1].p > p + 1)"
-    sized = f"concat(transform(filter(h, s -> s + x.k.m - 1 <= {last}), s -> struct(s AS s, s + x.k.m - 1 AS e)), transform(filter(z, e -> e >= x.k.m), e -> struct(e - x.k.m + 1 AS s, e AS e)))"
-    longer = f"flatten(transform(h, s -> transform(filter(z, e -> e - s >= x.k.m AND e - s < {longest.replace('k.', 'x.k.')}), e -> struct(s AS s, e AS e))))"
-    spans = f"transform(array(struct({heads} AS h, {tails} AS z)), y -> array_distinct(concat({sized}, {longer})))[0]".replace("(h,", "(y.h,").replace("(z,", "(y.z,")
-    full = f"filter({spans}, y -> size(filter(x.o, v -> v.p BETWEEN y.s AND y.e)) >= {least.replace('k.', 'x.k.')})"
+    sizes = f"array_distinct(filter(transform(array({', '.join(f'{f}D' for f in LENGTHS)}), f -> CAST(ceil(x.k.m * f) AS INT)), n -> n <= {last}))"
+    spans = f"array_distinct(flatten(transform({sizes}, n -> concat(transform(filter({heads}, s -> s + n - 1 <= {last}), s -> struct(s AS s, s + n - 1 AS e)), transform(filter({tails}, e -> e >= n), e -> struct(e - n + 1 AS s, e AS e))))))"
+
+    def upto(bound: str, side: int) -> str:
+        """For each window in order, how many places lie before its bound, the bound included where side is 1."""
+        among = f"array_sort(concat(transform(x.o.p, p -> struct(p AS v, 0 AS t, -1 AS i)), transform(w, (y, i) -> struct(y.{bound} AS v, {side} AS t, i AS i))))"
+        own = f"filter(transform({among}, (y, j) -> struct(y.i AS i, j AS j)), y -> y.i >= 0)"
+        return f"transform(array_sort(transform({own}, (y, n) -> struct(y.i AS i, y.j - n AS c))), y -> y.c)"
+
+    counted = f"transform(array(struct({upto('e', 1)} AS z, {upto('s', -1)} AS a)), u -> transform(w, (y, i) -> struct(-((u.z[i] - u.a[i]) / (x.k.n + y.e - y.s + 1)) AS q, y.e - y.s AS n, y.s AS s, y.e AS e, u.z[i] - u.a[i] AS c)))[0]"
+    full = f"array_sort(filter(transform(array({spans}), w -> {counted})[0], y -> y.c >= {least}))"
     gram = f"array_distinct(transform(sequence(y.s, y.e), i -> concat(`{words}`[i - 1], ' ', `{words}`[i])))"
     shared = "transform(array(size(array_intersect(g, x.k.grams))), c -> struct(-c AS c, -(2 * c / (x.k.n + size(g))) AS d, x.k.license AS license, y.s AS s, y.e AS e))[0]"
-    found = f"filter(flatten(transform({enough}, x -> transform({full}, y -> transform(array({gram}), g -> {shared})[0]))), w -> -w.d >= {threshold}D)"
+    judged = f"transform(transform(array({gram}), g -> {shared}), r -> IF(-r.d >= {threshold}D, concat(a, array(r)), a))[0]"
+    none = "CAST(array() AS array<struct<c: int, d: double, license: string, s: int, e: int>>)"
+    taken = f"aggregate({full}, {none}, (a, y) -> IF(exists(a, v -> v.s <= y.e AND y.s <= v.e), a, {judged}))"
+    found = f"flatten(transform({enough}, x -> {taken}))"
     kept = "aggregate(slice(f, 2, size(f)), slice(f, 1, 1), (a, w) -> IF(exists(a, v -> v.s <= w.e AND w.s <= v.e), a, concat(a, array(w))))"
     return f"transform(array(array_sort({found})), f -> {kept})[0]"

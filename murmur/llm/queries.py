@@ -21,6 +21,7 @@ from murmur.llm.warc import round_trip
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text, as the tokenizer library counts them."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     df = count_tokens(docs, tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"), pattern=public_tokenizers.PATTERN)
     n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
@@ -28,44 +29,53 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record a page, read back from the archives."""
     df = round_trip(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return df.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text and what they decode to, as digests."""
     return corpus_pipeline.tokens(spark, read(spark, sf_dir, "documents"), sf_dir)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log weight, Gumbel key and decision of every document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return resample(docs, read(spark, sf_dir, "labels")).select("doc_id", "log_weight", "gumbel_key", "kept")
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     df = main_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"), out_col="text")
     return df.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and how alike they are."""
     return fingerprint_pairs(read(spark, sf_dir, "documents"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and least linked id of every document: 3-word shingles, Jaccard 0.9."""
     return jaccard_components(read(spark, sf_dir, "documents"), k=3, threshold="0.9")
 
 
 def op8_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every document without windows of 35 words that occur elsewhere."""
     df = cut_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), k=35)
     return df.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside benchmark windows, and the items they are of."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     df = decontaminate(docs, read(spark, sf_dir, "benchmark"))
     return df.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences found in every document."""
     df = scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
     names = F.array_join(F.array_sort(F.array_distinct("licenses.license")), ",")
     best = F.coalesce(F.array_max("licenses.dice"), F.lit(0.0))
