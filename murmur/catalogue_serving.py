@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from murmur.catalogue import _EF, query
 from murmur.functions import scalars as S
-from murmur.operators import matching, metrics, provenance, runs
-from murmur.sources import readers, sinks
+from murmur.operators import matching, metrics, provenance, runs, studies
+from murmur.sources import readers, sinks, waves
 from murmur.sources.readers import table
 
 _CMP = "(SELECT CASE WHEN event_type IN ('click', 'view') THEN 'synthetic' ELSE 'target' END AS side, event_type, value FROM events)"
@@ -106,3 +106,32 @@ def feedback_checked(spark, d):
     return known.groupBy("event_id", "accepted").agg(F.count("*").alias("n")).union(unknown.groupBy("event_id").agg(F.count("*").alias("n")).select("event_id", F.lit(None).cast("boolean"), "n"))
 
 
+@query("""WITH c AS (SELECT user_id, list(DISTINCT event_type) AS t FROM events GROUP BY user_id)
+  SELECT c_custkey AS clip, list_transform(['click', 'error', 'purchase', 'signup', 'view'], lambda x: CASE WHEN list_contains(coalesce(t, []), x) THEN 1 ELSE 0 END)::VARCHAR AS labels FROM customer LEFT JOIN c ON user_id = c_custkey""")
+def clip_label_vectors(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("clip"), F.col("event_type").alias("class_id"))
+    df = studies.label_vectors(e, table(spark, d, "customer").select(F.col("c_custkey").alias("clip")), ["clip"], ["click", "error", "purchase", "signup", "view"])
+    return df.select("clip", F.concat(F.lit("["), F.array_join(F.col("labels").cast("array<string>"), ", "), F.lit("]")).alias("labels"))
+
+
+@query("SELECT count(*) AS n_clips, count(DISTINCT l_partkey) AS n_videos FROM lineitem")
+def distinct_videos(spark, d):
+    return waves.source_videos(table(spark, d, "lineitem").select(F.col("l_partkey").alias("video_id")))
+
+
+@query("SELECT o_orderpriority AS source, split, count(*) AS n FROM (SELECT *, ['train', 'dev', 'test'][o_custkey % 3 + 1] AS split FROM orders) WHERE split = 'train' OR (split = 'dev' AND o_orderpriority <> '1-URGENT') OR (split = 'test' AND o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW')) GROUP BY ALL")
+def eligible_sources(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("source"), F.get(F.array(F.lit("train"), F.lit("dev"), F.lit("test")), (F.col("o_custkey") % 3).cast("int")).alias("split"))
+    every = table(spark, d, "orders").select(F.col("o_orderpriority").alias("source")).distinct()
+    rules = every.select("source", F.array_compact(F.array(F.lit("train"), F.when(F.col("source") != "1-URGENT", "dev"), F.when(F.col("source").isin("4-NOT SPECIFIED", "5-LOW"), "test"))).alias("splits"))
+    return provenance.eligible(o, rules, "source", "split").groupBy("source", "split").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_custkey AS name, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT user_id FROM events) GROUP BY 1")
+def unmapped_names(spark, d):
+    return provenance.unmapped(table(spark, d, "orders").select(F.col("o_custkey").alias("name")), table(spark, d, "events").select(F.col("user_id").alias("name")), "name")
+
+
+@query("SELECT page_id AS id, sha256(coalesce(html, '')) AS digest FROM pages")
+def content_digests(spark, d):
+    return table(spark, d, "pages").select(F.col("page_id").alias("id"), F.sha2(F.coalesce("html", F.lit("")), 256).alias("digest"))

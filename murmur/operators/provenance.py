@@ -34,6 +34,19 @@ def required(df: DataFrame, dim: DataFrame, key: str, what: str) -> DataFrame:
     return out.withColumn("_known", F.when(F.col("_known"), True).otherwise(F.raise_error(F.concat(F.lit(f"unknown {what}: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))))).where("_known").drop("_known")
 
 
+def eligible(df: DataFrame, rules: DataFrame, source: str, split: str) -> DataFrame:
+    """The rows whose split their source may be used in, by rules (source, splits array); a source without a rule is an error."""
+    known = required(df, rules.select(F.col("source").alias(source), F.col("splits").alias("_splits")), source, "source")
+    return known.where(F.array_contains("_splits", F.col(split))).drop("_splits")
+
+
+def unmapped(names: DataFrame, mapping: DataFrame, name: str) -> DataFrame:
+    """(name, n): names of a second annotation pass that the mapping lacks, with how many rows bear them; a null name is one."""
+    seen = names.groupBy(name).agg(F.count("*").alias("n"))
+    known = mapping.select(F.col(name).alias("_known")).distinct()
+    return seen.join(known, F.col(name).eqNullSafe(F.col("_known")), "left_anti")
+
+
 def leaked(df: DataFrame, source: str, split: str) -> DataFrame:
     """(source, n_splits) for sources found in more than one split."""
     return df.select(source, split).distinct().groupBy(source).agg(F.count("*").alias("n_splits")).where("n_splits > 1")

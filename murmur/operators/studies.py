@@ -17,6 +17,15 @@ def clip_classes(events: DataFrame, key: list[str], *, label: str = "event_label
     return events.withColumnRenamed(label, "class_id").groupBy(*key, "class_id").agg(F.min(onset).alias("onset"))
 
 
+def label_vectors(events: DataFrame, clips: DataFrame, key: list[str], classes: list[str], *, label: str = "class_id") -> DataFrame:
+    """(key, labels): for every clip an array of 0 and 1 in the order of classes, 1 where the clip has an event of the class; a
+    silent clip has zeros.  An event of another class is an error."""
+    known = F.when(F.col(label).isin(classes), F.col(label)).otherwise(F.raise_error(F.concat(F.lit("unknown class: "), F.coalesce(F.col(label).cast("string"), F.lit("null")))))
+    own = events.withColumn("_l", known).groupBy(*key).agg(F.collect_set("_l").alias("_have"))  # classes at most
+    one = [F.coalesce(F.array_contains("_have", c), F.lit(False)).cast("int") for c in classes]
+    return clips.select(*key).distinct().join(own, key, "left").select(*key, F.array(*one).alias("labels"))
+
+
 def background_by_area(backgrounds: DataFrame) -> DataFrame:
     """(area_type, n, minutes) of the clips whose verdict is clean; flagged ones and those without a verdict are left out."""
     return backgrounds.where("verdict = 'clean'").groupBy("area_type").agg(F.count("*").alias("n"), (F.sum("duration") / 60).alias("minutes"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from murmur.operators import placement, studies
+from murmur.operators import placement, provenance, studies
 from murmur.sources import readers, waves
 
 
@@ -171,3 +171,22 @@ def test_silent_clips_survive_the_bundle(spark, tmp_path):
 def test_clips_of_one_video_are_one_source(spark):
     df = spark.createDataFrame([("f1", "v1"), ("f2", "v1"), ("f3", "v2"), ("f4", None)], "file_name string, video_id string")
     assert tuple(waves.source_videos(df).first()) == (4, 2)
+
+
+def test_label_vectors_keep_silent_clips_and_refuse_unknown_classes(spark):
+    e = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y")], "clip string, class_id string")
+    clips = spark.createDataFrame([("a",), ("b",), ("silent",)], "clip string")
+    got = {r.clip: r.labels for r in studies.label_vectors(e, clips, ["clip"], ["x", "y", "z"]).collect()}
+    assert got == {"a": [1, 0, 0], "b": [0, 1, 0], "silent": [0, 0, 0]}
+    with pytest.raises(Exception, match="unknown class: y"):
+        studies.label_vectors(e, clips, ["clip"], ["x"]).collect()
+
+
+def test_sources_without_a_rule_stop(spark):
+    rules = spark.createDataFrame([("bank", ["train", "dev"]), ("gold", ["test"])], "source string, splits array<string>")
+    rows = spark.createDataFrame([("bank", "train"), ("bank", "test"), ("gold", "test")], "source string, split string")
+    assert sorted(map(tuple, provenance.eligible(rows, rules, "source", "split").collect())) == [("bank", "train"), ("gold", "test")]
+    with pytest.raises(Exception, match="unknown source: new"):
+        provenance.eligible(rows.union(spark.createDataFrame([("new", "train")], rows.schema)), rules, "source", "split").collect()
+    names = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "name string")
+    assert sorted(map(str, provenance.unmapped(names, names.where("name = 'a'"), "name").collect())) == ["Row(name='b', n=2)", "Row(name=None, n=1)"]
