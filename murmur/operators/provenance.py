@@ -36,8 +36,11 @@ def required(df: DataFrame, dim: DataFrame, key: str, what: str) -> DataFrame:
 
 def eligible(df: DataFrame, rules: DataFrame, source: str, split: str) -> DataFrame:
     """The rows whose split their source may be used in, by rules (source, splits array); a source without a rule is an error."""
-    known = required(df, rules.select(F.col("source").alias(source), F.col("splits").alias("_splits")), source, "source")
-    return known.where(F.array_contains("_splits", F.col(split))).drop("_splits")
+    held = rules.select(F.col("source").alias("_source"), F.col("splits").alias("_splits"))
+    missing = F.raise_error(F.concat(F.lit("unknown source: "), F.coalesce(F.col(source).cast("string"), F.lit("null"))))
+    # the error is part of the condition, so that no filter can run ahead of it
+    fits = F.when(F.col("_source").isNotNull(), F.array_contains("_splits", F.col(split))).otherwise(missing.cast("boolean"))
+    return df.join(held, F.col(source) == F.col("_source"), "left").where(fits).drop("_source", "_splits")
 
 
 def unmapped(names: DataFrame, mapping: DataFrame, name: str) -> DataFrame:
