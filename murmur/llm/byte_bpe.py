@@ -28,8 +28,8 @@ from murmur.llm._common import materialise, once, ship, spare
 
 PAIR_SLOTS = 1 << 15
 SPACE = r"\u0009-\u000D\u0020\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-#: Words folded beforehand, at most (some 30 MB), and how often each occurs at least; the others are folded text by text.
-COMMON, LEAST_COMMON = 1 << 20, 2
+#: Words folded beforehand, at most (some 12 MB), and how often each occurs at least; the others are folded text by text.
+COMMON, LEAST_COMMON = 1 << 19, 3
 
 
 def java_pattern(pattern: str) -> str:
@@ -155,13 +155,12 @@ def common_words(texts: DataFrame, text_col: str, pattern: str, most: int = COMM
 class _Words:
     """Words and their ids, as a task looks them up."""
 
-    def __init__(self, raw: bytes):
-        table = pa.ipc.open_stream(raw).read_all().combine_chunks()
+    def __init__(self, table: pa.Table, first: int):
         self.words = table["w"].combine_chunks().cast(pa.string())
-        ids = table["ids"].combine_chunks()
-        self.flat = ids.values.to_numpy().astype(np.int32)
-        self.start = ids.offsets.to_numpy()[:-1].astype(np.int64)
-        self.size = np.diff(ids.offsets.to_numpy()).astype(np.int64)
+        characters = table["p"].combine_chunks().cast(pa.string())
+        self.size = pc.utf8_length(characters).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer("".join(characters.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int32) - first
 
     def look(self, words: pa.ListArray) -> pa.StructArray:
         """(pieces, missing) of each text: the words that are not known, and the ids of the words before, between and after
@@ -212,16 +211,13 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col: st
     if common:
         new = common_words(df, text_col, pattern, common).join(known, "w", "left_anti")
         known = known.union(once(new, p=F.expr(_bound(fold.expr, **fold.names))).select("w", "p"))
-    table = known.select("w", F.expr(as_ids).alias("ids")).toArrow()  # ``common`` and the ranks, at most
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as out:
-        out.write_table(table)
-    held = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
-    del table, sink
+    # ``common`` and the ranks, at most; ids stay characters, which take little room on the driver
+    held = spark.sparkContext.broadcast(materialise(known, "words").toArrow())
+    first = code.first
 
     @F.arrow_udf("struct<pieces: array<array<int>>, missing: array<string>>")
     def look(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words = _Words(held.value)
+        words = _Words(held.value, first)
         for b in batches:
             yield words.look(b)
 
