@@ -30,7 +30,7 @@ def percentiles(df: DataFrame, value: str, shares: list[float], by: list[str] |
     state = state.select(*keys, "n", *[c for i, s in enumerate(shares) for c in (F.lit(float(s)).alias(f"s{i}"), (F.lit(float(s)) * (F.col("n") - 1)).alias(f"r{i}"), F.col("_lo").alias(f"a{i}"), F.col("_hi").alias(f"b{i}"), F.lit(0).cast("long").alias(f"under{i}"), F.col("n").alias(f"held{i}"), F.col("n").alias(f"open{i}"))])
     state = written(state, "ranks")
     while (state.agg(F.max(F.greatest(F.lit(0), *[f"open{i}" for i in which]))).first()[0] or 0) > few:
-        state = written(_narrowed(rows, state, keys, len(shares)), "ranks")
+        state = written(_narrowed(rows, state, keys, len(shares), few), "ranks")
     near = _with_state(rows, state, keys)
     hit = F.explode(F.array_compact(F.array(*[F.when((v >= F.col(f"a{i}")) & (v <= F.col(f"b{i}")), F.lit(i)) for i in which]))).alias("_i")
     counts = near.select(*keys, "_v", hit).groupBy(*keys, "_i", "_v").agg(F.count("*").alias("c"))
@@ -55,20 +55,21 @@ def _with_state(rows: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame
     return _joined(rows, F.broadcast(state) if keys == ["_all"] else state, keys)
 
 
-def _narrowed(rows: DataFrame, state: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """The state with narrower brackets: sketches of what each bracket holds, then a count of what is below and inside."""
+def _narrowed(rows: DataFrame, state: DataFrame, keys: list[str], k: int, few: int) -> DataFrame:
+    """The state with narrower brackets: sketches of what each bracket with more than ``few`` open values holds, then a count of
+    what is below and inside."""
     v = F.col("_v")
     inside = lambda i: (v >= F.col(f"a{i}")) & (v <= F.col(f"b{i}"))
     near = _with_state(rows, state, keys)
     grid = F.array(*[F.lit(x / ACCURACY) for x in range(ACCURACY + 1)])
-    sketches = near.groupBy(*keys).agg(*[F.percentile_approx(F.when(inside(i), v), grid, F.lit(4 * ACCURACY)).alias(f"q{i}") for i in range(k)])
+    sketches = near.groupBy(*keys).agg(*[F.percentile_approx(F.when(inside(i) & (F.col(f"open{i}") > few), v), grid, F.lit(4 * ACCURACY)).alias(f"q{i}") for i in range(k)])
     at = _joined(state, sketches, keys)
 
     def bracket(i: int) -> tuple[Column, Column]:
         place = (F.col(f"r{i}") - F.col(f"under{i}")) / F.col(f"held{i}") * ACCURACY  # of the rank among what the bracket holds
         lo = F.get(f"q{i}", (F.floor(place) - 2).cast("int"))
         hi = F.get(f"q{i}", (F.ceil(place) + 2).cast("int"))
-        done = F.col(f"open{i}") == 0
+        done = F.col(f"open{i}") <= few
         return F.when(done, F.col(f"a{i}")).otherwise(F.coalesce(lo, F.col(f"a{i}"))), F.when(done, F.col(f"b{i}")).otherwise(F.coalesce(hi, F.col(f"b{i}")))
 
     pairs = [bracket(i) for i in range(k)]
