@@ -37,8 +37,8 @@ ORDERS = 2
 #: Tokens whose counts the orders tell apart, at most; all others count as rare.
 COMMON = 1 << 18
 LEAST_COMMON = 8
-#: Tokens counted at a time in a task (some 100 MB).
-COUNTED = 1 << 22
+#: Tokens counted at a time in a task (some 60 MB).
+COUNTED = 1 << 21
 #: A set of n tokens shares 1 + n // PER_SHARED prefix tokens with one that is alike and no smaller.
 PER_SHARED = 150
 #: Documents that share a prefix token: up to so many give their pairs, more are chained.
@@ -100,7 +100,7 @@ def _order(docs: DataFrame, k: int) -> Order:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         fresh, held = [], 0
-        for b in _then_none(sliced(batches)):
+        for b in _then_none(sliced(batches, 1000)):
             for s in shingle_sets(b.column(0), k) if b is not None else ():
                 if len(s) and (c := class_of(s)) not in seen:
                     seen.add(c)
@@ -132,7 +132,7 @@ def _prefixes(docs: DataFrame, k: int, t: Fraction, common, order: int, some) ->
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in sliced(batches):
+        for b in sliced(batches, 1000):
             tokens, names, sizes, many = [], [], [], []
             for s in shingle_sets(b.column(0), k):
                 if len(s) and (c := class_of(s)) not in seen:
@@ -245,7 +245,7 @@ def _texts_of(texts: DataFrame, k: int, some) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in sliced(batches):
+        for b in sliced(batches, 1000):
             names, sizes, packed = [], [], []
             for s, x in zip(shingle_sets(b.column(0), k), b.column(0)):
                 if len(s) and (c := class_of(s)) not in seen and in_filter(np.array([c], np.int64).view(U), *some.value)[0]:
@@ -416,7 +416,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     id_type = dict(source.dtypes)["id"]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
+        for b in sliced(batches, 1000):
             sets = shingle_sets(b.column(1), k)
             yield pa.record_batch([b.column(0), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["id", "cls", "n"])
 
