@@ -72,7 +72,7 @@ def once(df: DataFrame, **exprs) -> DataFrame:
 
 _shipped: set[str] = set()
 #: Bytes of an Arrow batch, of 10,000 long texts otherwise: Spark and the Python worker each hold one or two a task.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
