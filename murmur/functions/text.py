@@ -57,18 +57,25 @@ def answers(found: DataFrame, questions: DataFrame, key: str = "question_id") ->
     return questions.select(key).join(rows, key, "left").select(key, F.coalesce(text, F.lit(V.NO_EVIDENCE_VI)).alias("answer"))
 
 
-def tokens(text) -> Column:
-    """Lower-cased words; an apostrophe ending in n't counts as a word of its own."""
-    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(col(text), F.lit(""))), "n't", " n't"), r"[^\p{L}\p{N}']+"), lambda w: w != "")
+def _lower(text) -> Column:
+    """Lower case, letter by letter: a dotted capital I stays one letter, so a word with one stays whole."""
+    return F.lower(F.translate(col(text), "\u0130", "i"))
+
+
+def tokens(text, apart: bool = True) -> Column:
+    """Lower-cased words; an apostrophe ending in n't counts as a word of its own, unless ``apart`` is false."""
+    low = _lower(F.coalesce(col(text), F.lit("")))
+    return F.filter(F.split(F.regexp_replace(low, "n't", " n't") if apart else low, r"[^\p{L}\p{N}']+"), lambda w: w != "")
 
 
 def phrase_matches(texts: DataFrame, lexicon: DataFrame, *, key: str, text: str = "text", lang: str = "en", window: int = V.NEGATION_WINDOW) -> DataFrame:
-    """(key, class_id, n): occurrences of the phrases of each class that no negation precedes within the window.
+    """(key, class_id, n): occurrences of the phrases of each class that no negation precedes within the window.  A window of 0
+    counts every occurrence, and n't stays part of its word.
 
     A phrase matches on whole words, in any case.  Words are exploded with their positions once, phrases meet them by
     their first word, and the rest of a phrase is compared in place: no text is compared with every phrase.
     """
-    phrases = lexicon.where(F.col("lang") == lang).select("class_id", tokens("phrase").alias("p")).where(F.size("p") > 0).withColumn("first", F.col("p")[0])
+    phrases = lexicon.where(F.col("lang") == lang).select("class_id", tokens("phrase", window > 0).alias("p")).where(F.size("p") > 0).withColumn("first", F.col("p")[0])
     rows = phrases.select("first", F.size("p").alias("n")).collect()  # a lexicon is a small dimension
     firsts, longest = sorted({r["first"] for r in rows}), max((r["n"] for r in rows), default=1)
     negated = [n.split() for n in V.NEGATIONS[lang]]
@@ -76,13 +83,13 @@ def phrase_matches(texts: DataFrame, lexicon: DataFrame, *, key: str, text: str
     around = lambda w, i: F.struct(F.get(w, i).alias("first"), F.slice(w, i + 1, F.lit(longest)).alias("ahead"), F.slice(w, F.greatest(F.lit(1), i + 1 - window), F.least(i, F.lit(window))).alias("before"))
     begins = lambda w: F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i).isin(firsts))
     some = lambda w: F.when(F.size(w) > 0, F.transform(begins(w), lambda i: around(w, i)))
-    seen = texts.where(F.lower(text).rlike("|".join(re.escape(f) for f in firsts)) if firsts else F.lit(False))
-    words = seen.select(key, F.explode(F.element_at(F.transform(F.array(tokens(text)), some), 1)).alias("x")).select(key, "x.*")
+    seen = texts.where(_lower(text).rlike("|".join(re.escape(f) for f in firsts)) if firsts else F.lit(False))
+    words = seen.select(key, F.explode(F.element_at(F.transform(F.array(tokens(text, window > 0)), some), 1)).alias("x")).select(key, "x.*")
     hits = words.join(F.broadcast(phrases), "first").where(F.slice("ahead", F.lit(1), F.size("p")) == F.col("p"))
     before = F.col("before")
     said = F.concat(F.lit(" "), F.array_join(before, " "), F.lit(" "))
     no = F.lit(False)
-    for n in negated:
+    for n in negated if window > 0 else []:
         no = no | F.contains(said, F.lit(f" {' '.join(n)} "))
     return hits.where(~no).groupBy(key, "class_id").agg(F.count("*").alias("n"))
 

@@ -166,6 +166,18 @@ def test_phrases_and_negation(spark):
     assert {r.id: r.n for r in X.phrase_matches(texts, lex, key="id").collect()} == {1: 2, 4: 1, 6: 1}
 
 
+def test_lexicon_match_counts_as_its_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from murmur import catalogue
+
+    rows = [(1, "no one of THE two"), (2, "then't ain't of"), (3, "\u0130of Of"), (4, None), (5, "and, and"), (6, "without the and")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = dict(db.execute(catalogue.ORACLES["lexicon_match"]).fetchall())
+    assert want == {"the": 2, "of": 3, "and": 3} and {r.class_id: r.n for r in catalogue.QUERIES["lexicon_match"](spark, str(tmp_path)).collect()} == want
+
+
 def test_ece_exact_cases(spark):
     df = spark.createDataFrame([("a", 0.3, float(i < 3)) for i in range(10)] + [("b", 0.99, float(i < 2)) for i in range(10)], "c string, p double, y double")
     got = {r.group: r.ece for r in metrics.ece(df, "p", "y", group="c").collect()}
