@@ -300,6 +300,30 @@ def test_batch_of_more_queries_than_a_block(spark):
     assert vectors.nearest_batch(df, q.limit(0), k=3, id_col="vec_id").count() == 0
 
 
+def test_batch_of_odd_vectors(spark):
+    nan = float("nan")
+    rows = [(9, [1.0, 0.0]), (2, [1.0, 0.0]), (5, [2.0, 0.0]), (4, [0.0, 0.0]), (3, [1.0]), (7, [nan, 1.0]), (6, [None, 1.0]), (8, None), (1, []), (0, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<float>")
+    q = spark.createDataFrame([("a", [3.0, 0.0]), ("b", [0.0, 0.0]), ("c", None)], "query_id string, embedding array<float>")
+    for size in (1, 3, 100):
+        got = vectors.nearest_batch(df, q, k=6, id_col="vec_id", max_queries=size, max_rows=size)
+        assert got.columns == ["query_id", "vec_id", "similarity", "rank"]
+        by = {}
+        for r in sorted(got.collect(), key=lambda r: r["rank"]):
+            by.setdefault(r.query_id, []).append((r.vec_id, r.similarity))
+        assert [i for i, _ in by["a"]] == [7, 2, 5, 9, 0, 1] and [s for _, s in by["a"]][1:] == [1.0, 1.0, 1.0, 0.0, None]
+        assert [i for i, _ in by["b"]] == [7, 0, 1, 2, 3, 4]
+        assert by["c"] == [(i, None) for i in range(6)]
+
+
+def test_batch_takes_no_pair_to_a_row(spark):
+    df = spark.range(3000).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id")).alias("embedding"))
+    q = df.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
+    plan = vectors.nearest_batch(df, q, k=2, id_col="vec_id")
+    assert "MapInArrow" in plan._jdf.queryExecution().toString() and "Generate" not in plan._jdf.queryExecution().toString()
+    assert plan.where("query_id = vec_id AND similarity > 0.999999").count() == 300
+
+
 def test_signal_kernels():
     rate = 8000
     t = np.arange(rate) / rate
