@@ -139,28 +139,31 @@ def likeness(a: str, b: str) -> Column:
     return F.expr(f"CAST(IF(`{a}` = `{b}`, 1.0D, transform(array({best}), x -> IF(x.n = 0, 0.0D, x.same / x.n))[0]) AS DOUBLE)")
 
 
-def next_rows(df: DataFrame, order_col: str, carry: list[str], *, per_block: int = 50_000) -> DataFrame:
+def next_rows(df: DataFrame, order_col: str, carry: list[str], *, per_block: int = 50_000, keys: DataFrame | None = None) -> DataFrame:
     """df with next_<c> for each carried column: its value in the next row by order_col (an integer column),
     ascending, nulls first, ties by the carried columns; after the last row comes the first.
 
     Rows are dealt to blocks between quantiles of order_col, so no task sees the whole order.  The rows that
     tie for the first of a block are dealt to the block before it as well, behind its own rows.  A table of
-    one row is its own next row.  The driver holds one number a block, MAX_BLOCKS at most.
+    one row is its own next row.  The driver holds one number a block, MAX_BLOCKS at most.  ``keys`` has the values of order_col
+    that df has, as often: the blocks are found there, in three passes, where df takes work to compute.
     """
-    n = df.count()
+    keys = (df if keys is None else keys).select(order_col)
+    n = keys.count()
     blocks = min(MAX_BLOCKS, max(n // per_block, min(n // 50, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))) or 1
-    cuts = sorted(set(df.approxQuantile(order_col, [k / blocks for k in range(1, blocks)], 0.2 / blocks))) if blocks > 1 else []
+    cuts = sorted(set(keys.approxQuantile(order_col, [k / blocks for k in range(1, blocks)], 0.2 / blocks))) if blocks > 1 else []
     block, spot = spare(df, "block_", "spot_")
     if cuts:
         # bisection: how many of the cuts the value reaches
         cut = f"array({','.join(f'{c!r}D' for c in cuts)})"
         step = f"IF(CAST(`{order_col}` AS DOUBLE) >= {cut}[div(s.lo + s.hi, 2)], struct(CAST(div(s.lo + s.hi, 2) + 1 AS INT) AS lo, s.hi AS hi), struct(s.lo AS lo, CAST(div(s.lo + s.hi, 2) AS INT) AS hi))"
         found = f"aggregate(sequence(0, {len(cuts).bit_length()}), struct(0 AS lo, {len(cuts)} AS hi), (s, i) -> IF(s.lo >= s.hi, s, {step}), s -> s.lo)"
-        df = df.withColumn(block, F.coalesce(F.expr(found.replace("div(s.lo + s.hi, 2)", "((s.lo + s.hi) DIV 2)")), F.lit(0)))
+        of = F.coalesce(F.expr(found.replace("div(s.lo + s.hi, 2)", "((s.lo + s.hi) DIV 2)")), F.lit(0))
     else:
-        df = df.withColumn(block, F.lit(0))
+        of = F.lit(0)
+    df, keys = df.withColumn(block, of), keys.withColumn(block, of)
     first = F.min(F.struct(F.col(order_col).isNotNull().alias("some"), F.col(order_col).cast("long").alias("value"))).alias("first")
-    heads = [(r[block], r["first"]["value"]) for r in df.groupBy(block).agg(first).orderBy(block).collect()]
+    heads = [(r[block], r["first"]["value"]) for r in keys.groupBy(block).agg(first).orderBy(block).collect()]
     if heads:
         value, before = ["NULL"] * (heads[-1][0] + 1), ["NULL"] * (heads[-1][0] + 1)
         for k, (b, v) in enumerate(heads):
@@ -185,7 +188,7 @@ def fingerprint_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     lex = lexicon(docs, text_col, low=low, high=high)
     df = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     df = with_fingerprint(df, F.col("text"), lex, "fingerprint", F.col(id_col))
-    df = next_rows(df, id_col, ["text", "fingerprint"])
+    df = next_rows(df, id_col, ["text", "fingerprint"], keys=docs)
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     df = df.withColumn("edited", F.concat(F.left("text", n - quarter), F.left("next_text", quarter))).withColumn("n_chars", n.cast("long"))

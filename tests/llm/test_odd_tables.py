@@ -79,3 +79,17 @@ def test_decontamination_beyond_the_literal(spark, monkeypatch):
     assert sorted(map(str, ROWS["op9"](odd(spark, TEXTS)).collect())) == want
     monkeypatch.setattr(decontaminate, "MAX_BROADCAST", 0)
     assert sorted(map(str, ROWS["op9"](odd(spark, TEXTS)).collect())) == want
+
+
+def test_blocks_of_the_order_are_found_without_fingerprints(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(i):
+        seen.add(1)
+        return f"the text of document {i} and {i % 7}"
+
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), text("id").alias("text"))
+    df = imatch.fingerprint_pairs(docs)
+    assert seen.value <= 500  # the count of terms alone reads texts before the result is asked for
+    assert df.count() == 500
