@@ -58,3 +58,15 @@ def test_spans_have_true_counts_and_sources(spark, parts):
                 assert (last["count"], last["source1"], last["source2"], last["source_at"] + last["n"]) != (s["count"], s["source1"], s["source2"], s["source_at"])
             last = s
     assert got == want
+
+
+def test_workers_give_memory_back_after_each_batch(monkeypatch):
+    import pyarrow as pa
+
+    from murmur.llm import _words
+
+    _words.give_back()
+    calls = []
+    monkeypatch.setattr(_words, "give_back", lambda: calls.append(1))
+    batches = [pa.record_batch([pa.array(range(n))], ["a"]) for n in (5, 3)]
+    assert [len(b) for b in _words.sliced(iter(batches), 2)] == [2, 2, 1, 2, 1] and len(calls) == 2
