@@ -5,9 +5,9 @@ distinct, and hashed once for each of several random subsets of that lexicon.  T
 terms in a subset agree have the same hash there, so the share of equal hashes tells how alike they are.
 
 Everything is a built-in Spark expression.  Document frequencies are counted over all documents for each
-term, known by 62 bits of its hash.  Up to MAX_LITERAL terms in the band are an array, a hash table in which
-a term has two places, that tasks get as the value of a scalar subquery; beyond, the band is a table that terms are
-joined with.  A subset keeps the terms whose hash has a run of
+term, known by 62 bits of its hash.  Up to MAX_LITERAL terms in the band are an array, in which the entries at three places
+of a term make up its key, that tasks get as the value of a scalar subquery; beyond, the band is a table that terms are
+joined with, which moves each term of each text.  A subset keeps the terms whose hash has a run of
 zero bits at its own place: LEVELS rates (1/2, 1/8, ...) times SUBSETS places, so that texts of a few
 words and of many thousands both have subsets which hold a few of their terms.
 """
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from murmur.llm._common import materialise, once, spare
 
-#: Terms in the band that an array holds, 18 bytes a term.
-MAX_LITERAL = 1 << 20
+#: Terms in the band that an array holds, 10 bytes a term; the band grows more slowly than the corpus.
+MAX_LITERAL = 1 << 23
+#: Bits by which a key is shifted for its place in each third of the array.
+SHIFTS = (0, 21, 35)
 #: Tasks that share the join of equal texts beyond MAX_LITERAL.
 SHARES = 64
 #: The band: idf as a share of its greatest value, ln N, for N documents.
@@ -66,34 +68,46 @@ def lexicon(docs: DataFrame, text_col: str = "text", *, low: float = IDF_LOW, hi
 
 
 class Table:
-    """Distinct keys, none 0, in an array: each at one of two places, a free place being 0.  ``rows`` is one row with the array t."""
+    """Distinct keys, none 0, in an array of some 1.23 longs a key: a key has a place in each third of it, and is held if the
+    longs there, xored, are the key.  For another key they are so by chance only, as rarely as keys of 62 bits agree.  ``rows``
+    is one row with the array t."""
 
     def __init__(self, spark: SparkSession, keys: np.ndarray):
-        self.size = 2 * len(keys) + len(keys) // 4 + 64
+        self.third = len(keys) * 41 // 100 + 32
         while (laid := self._laid(keys)) is None:
-            self.size += self.size // 8 + 1
-        one = pa.table({"t": pa.ListArray.from_arrays(pa.array([0, self.size], pa.int32()), pa.array(laid))})
+            self.third += self.third // 16 + 1
+        one = pa.table({"t": pa.ListArray.from_arrays(pa.array([0, len(laid)], pa.int32()), pa.array(laid))})
         self.rows = materialise(spark.createDataFrame(one, "t array<bigint>"), "places")
 
     def _laid(self, keys: np.ndarray) -> np.ndarray | None:
-        table = np.zeros(self.size, np.int64)
-        one, two = lambda k: k % self.size, lambda k: (k >> 20) % self.size
-        k, at = keys, one(keys)
-        for _ in range(1000):
-            if not len(k):
-                return table
-            out = table[at]
-            table[at] = k
-            put = table[at] == k
-            gone = put & (out != 0)
-            k, at = np.r_[k[~put], out[gone]], np.r_[at[~put], at[gone]]
-            at = np.where(at == one(k), two(k), one(k))
-        return None
+        """Keys that have a place of their own are set aside, round by round, and laid in the opposite order; None if some stay."""
+        size = len(SHIFTS) * self.third
+        at = np.stack([(j * self.third + (keys >> shift) % self.third).astype(np.int32) for j, shift in enumerate(SHIFTS)])
+        many, held = np.bincount(at.ravel(), minlength=size).astype(np.int32), np.zeros(size, np.int32)
+        for places in at:
+            np.bitwise_xor.at(held, places, np.arange(len(keys), dtype=np.int32))
+        rounds, left = [], len(keys)
+        alone = np.flatnonzero(many == 1)
+        while len(alone):
+            which, first = np.unique(held[alone], return_index=True)
+            rounds.append((which, alone[first]))
+            left -= len(which)
+            for places in at:
+                np.subtract.at(many, places[which], 1)
+                np.bitwise_xor.at(held, places[which], which)
+            alone = np.unique(at[:, which])
+            alone = alone[many[alone] == 1]
+        if left:
+            return None
+        table = np.zeros(size, np.int64)
+        for which, place in reversed(rounds):
+            table[place] = keys[which] ^ np.bitwise_xor.reduce(table[at[:, which]], axis=0)
+        return table
 
     def holds(self, key: Column, table: Column) -> Column:
-        """Whether a key of _key() has a place in the array."""
-        at = lambda p: F.get(table, F.pmod(p, F.lit(self.size)).cast("int"))
-        return (at(key) == key) | (at(F.shiftright(key, 20)) == key)
+        """Whether the array holds a key of _key()."""
+        one, two, three = (F.get(table, (F.pmod(F.shiftright(key, shift), F.lit(self.third)) + j * self.third).cast("int")) for j, shift in enumerate(SHIFTS))
+        return one.bitwiseXOR(two).bitwiseXOR(three) == key
 
 
 def with_fingerprint(df: DataFrame, text: Column, lex: DataFrame | Table | None, out_col: str, spread: Column | None = None) -> DataFrame:
